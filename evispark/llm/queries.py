@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evispark.llm import packing, secrets, sql
 from evispark.llm.quality_rules import quality_rules
+from evispark.llm.simhash import near_duplicates
+from evispark.llm.token_counts import token_counts
 from evispark.session import table
 
 
@@ -14,47 +19,47 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "lost_chars")
 
 
-OP1_SQL = r"""
-WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
-         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         string_split(coalesce(text, ''), chr(10)) AS lines
-  FROM documents),
-triples AS (
-  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t
-  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
-rep AS (
-  SELECT r, count(DISTINCT p) AS n FROM (
-    SELECT r, unnest([i, i + 1, i + 2]) AS p
-    FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS n FROM triples) WHERE n > 1)
-  GROUP BY r),
-line AS (
-  SELECT r, l, length(l) AS size, lower(l) AS low, regexp_matches(l, '[^\x20\x09-\x0D]') AS filled
-  FROM (SELECT r, unnest(lines) AS l FROM d)),
-judged AS (
-  SELECT *, filled AND (
-      NOT regexp_matches(l, '[.!?…。！？।؟]')
-      OR (size <= 24 AND regexp_matches(low, '^\W*(home|menu|login|log in|sign in|sign up|next|previous|search|contact us|about us|back to top|read more|share this)\W*$'))
-      OR (size <= 200 AND regexp_matches(low, 'all rights reserved|copyright ©|terms of use|terms of service|privacy policy|cookie policy|we use cookies|accept cookies|enable javascript|lorem ipsum|powered by wordpress|subscribe to our newsletter'))
-      OR len(list_filter(regexp_split_to_array(l, '\s'), lambda x: length(x) = 1 AND regexp_matches(x, '[|›»·•]'))) * 100 > size * 3
-      OR len(regexp_extract_all(l, '[#*$%&|<>]+|[!?]{2,}')) * 100 > size * 4) AS fails
-  FROM line),
-cleaned AS (
-  SELECT r, count(*) FILTER (fails) AS removed, coalesce(sum(size) FILTER (fails), 0) AS lost, sum(size) AS size,
-         count(*) FILTER (filled) - count(DISTINCT l) FILTER (filled) AS dup
-  FROM judged GROUP BY r),
-base AS (
-  SELECT doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars,
-         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-         dup AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, removed AS n_lines_removed, lost AS lost_chars, size
-  FROM d JOIN cleaned USING (r) LEFT JOIN rep USING (r))
-SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words::BIGINT AS n_repeat_words,
-       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars * 100 <= size * 50 AS kept,
-       n_lines_removed::BIGINT AS n_lines_removed, lost_chars::BIGINT AS lost_chars
-FROM base
-"""
-
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL}
+def span_list(spans: Column) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("secrets")
+    base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
+    return secrets.scan_secrets(docs).select(
+        "doc_id",
+        *[count_of(spans, k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(spans).alias("spans"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scans": op2_secret_scans,
+    "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
+    "op7_simhash": op7_simhash,
+}
+ORACLE_SQL = {"op1_quality_rules": sql.OP1}

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evispark.llm.arrow import encoded
 from evispark.llm.automaton import build
 
 #: Bytes scanned together.
@@ -102,10 +103,6 @@ def code_points(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[in
     return [(int(before[a]), r, int(before[b])) for a, r, b in spans]
 
 
-def encoded(batch: pa.Array) -> list[bytes]:
-    return [t or b"" for t in batch.cast(pa.large_binary()).to_pylist()]
-
-
 def span_array(rows: list[list[tuple[int, int, int]]], kinds: list[str]) -> pa.Array:
     flat = [s for row in rows for s in row]
     fields = [pa.array([kinds[s[1]] for s in flat], pa.string()), pa.array([s[0] for s in flat], pa.int64()), pa.array([s[2] for s in flat], pa.int64())]

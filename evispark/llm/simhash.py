@@ -4,9 +4,9 @@ A text's fingerprint holds, for each of 64 bits, whether most of its word shingl
 when their fingerprints differ in at most ``radius`` bits, and a component is all that links reach.
 
 Search: each bit gets a random code of radius + 1 bits. Table v (one for each non-zero v of radius + 1 bits)
-keeps the bits whose code has an even number of ones in common with v. Any radius differing bits give radius
-linear equations in radius + 1 unknowns, so some v leaves all of them out: every pair within the radius agrees
-on the kept bits of some table. Only distinct fingerprints are searched. Those that agree in a table meet in one
+keeps the bits whose code has an odd number of ones in common with v. Any radius differing bits give radius
+homogeneous equations over GF(2) in radius + 1 unknowns, so some v other than zero leaves all of them out: every
+pair within the radius agrees on the kept bits of some table. Only distinct fingerprints are searched. Those that agree in a table meet in one
 sorted run; a run is linked by a breadth-first walk that gives a spanning forest instead of all pairs, and runs
 above ``run_limit`` are dealt out as pairs of blocks, so none is held whole by one task and no link is lost.
 
@@ -61,7 +61,7 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
 def tables(radius: int, seed: int = 7) -> list[int]:
     """The masks of the 2^(radius+1) - 1 tables, as signed 64-bit numbers."""
     codes = np.random.default_rng(seed).integers(0, 1 << (radius + 1), 64)
-    kept = ([bin(int(c) & v).count("1") % 2 == 0 for c in codes] for v in range(1, 1 << (radius + 1)))
+    kept = ([bin(int(c) & v).count("1") % 2 == 1 for c in codes] for v in range(1, 1 << (radius + 1)))
     return [int.from_bytes(np.packbits(k).tobytes(), "big", signed=True) for k in kept]
 
 
