@@ -23,8 +23,16 @@ def local_session(name: str = "evispark", cpus: int = 8, partitions: int = 8) ->
     )
 
 
+def show_package(spark: SparkSession) -> None:
+    """Lets Python workers that aren't started from this folder import the package (a cluster has it installed)."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; Spark resolves the path, so any store it can read works."""
+    show_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
