@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
+import numpy as np
 import pyarrow as pa
 
 
@@ -25,6 +28,26 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         at = upto
 
 
+class Numbers:
+    """Numbers for tokens in order of first sight, forgotten as a whole once there are more than limit."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.reset()
+
+    def reset(self) -> None:
+        self.of: defaultdict[bytes, int] = defaultdict(count().__next__)
+
+    def full(self) -> bool:
+        return len(self.of) > self.limit
+
+    def __call__(self, tokens: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The tokens' numbers, and those tokens that are new, in order of their numbers."""
+        before = len(self.of)
+        at = np.fromiter(map(self.of.__getitem__, tokens), np.int64, len(tokens))
+        return at, list(islice(self.of, before, None))
+
+
 def tokenizer_of(path: str):
     """Per worker process: the tokenizer of a file, on one thread, as each task has one core."""
     if path not in _TOKENIZERS:
