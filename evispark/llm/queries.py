@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import chat_format, language_id, packing, quality_classifier, secrets, sql
+from evispark.llm import chat_format, decontaminate, language_id, packing, quality_classifier, secrets, sql
 from evispark.llm.quality_rules import quality_rules
 from evispark.llm.simhash import near_duplicates
 from evispark.llm.token_counts import token_counts
@@ -74,6 +74,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", "leak.item_id", "leak.score", "leak.start", "leak.end")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = F.lit("<|im_end|><|im_start|>assistant ok").alias("text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
@@ -101,6 +107,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL = {"op1_quality_rules": sql.OP1, "op10_chat_format": sql.OP10}
