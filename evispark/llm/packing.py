@@ -17,8 +17,11 @@ rows are packed one by one; an empty table gives an empty table; other columns o
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,62 +29,78 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.arrow import encoded, slices, tokenizer_of
+from evispark.llm.arrow import Numbers, encoded, slices, tokenizer_of
 from evispark.session import cut_lineage
 
 CAPACITY = 2048
 PIECE = 256
 WINDOWS = 128
 #: Bytes whose words are looked up together, and words that a task remembers.
-CALL, MEMORY = 4_000_000, 300_000
+CALL, MEMORY = 4_000_000, 800_000
+#: A stem that ends in an ASCII letter or digit or a Latin-1 letter, and closing ASCII punctuation.
+CLOSED = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([^a-z0-9\x80-\xff]+)", re.S)
 PIECES = "struct<doc_tokens:bigint,pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint,ids:array<int>>>>"
 
 
 class WordEncoder:
-    """Ids of texts whose tokenizer never lets a token span ASCII white space and drops it: each different word is encoded once."""
+    """Ids of texts whose tokenizer drops ASCII white space and lets no token span it: each different word is encoded once.
+
+    Such tokenizers also lower-case and never let a token span the place between a letter or digit and the ASCII
+    punctuation behind it, so a word's stem and its closing punctuation are remembered apart. Words that could
+    hold a special string stay whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer_of(path)
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.lengths: list[np.ndarray] = []
-        self.count = 0
+        self.words, self.units = Numbers(MEMORY), Numbers(MEMORY)
+        self.first, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        for a in range(0, len(words), 50_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 50_000]], add_special_tokens=False)]
+        stems, ends = [], []
+        for w in words:
+            if b"<|" not in w:
+                w = w.lower()
+                if m := CLOSED.fullmatch(w):
+                    stems.append(m[1])
+                    ends.append(m[2])
+                    continue
+            stems.append(w)
+            ends.append(b"")
+        units, new = self.units(stems + ends)
+        self.first, self.second = np.concatenate([self.first, units[: len(words)]]), np.concatenate([self.second, units[len(words) :]])
+        for a in range(0, len(new), 50_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[a : a + 50_000]], add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids.append(np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum())))
-            self.lengths.append(lengths)
-            for w in words[a : a + 50_000]:
-                self.number[w] = len(self.number)
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+            self.lengths = np.concatenate([self.lengths, lengths])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        flat = [w for words in split for w in words]
-        unseen = [w for w in dict.fromkeys(flat) if w not in self.number]
-        if len(self.number) + len(unseen) > MEMORY and self.number:
+        if self.words.full() or self.units.full():
             self.reset()
-            unseen = list(dict.fromkeys(flat))
-        if unseen:
-            self.learn(unseen)
-        if not flat:
-            return [np.zeros(0, np.uint32) for _ in texts]
-        if len(self.ids) > 1:
-            self.ids, self.lengths = [np.concatenate(self.ids)], [np.concatenate(self.lengths)]
-        ids, lengths = self.ids[0], self.lengths[0]
-        starts = np.cumsum(lengths) - lengths
-        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        size = lengths[at]
+        split = [t.split() for t in texts]
+        at, new = self.words(list(chain.from_iterable(split)))
+        if new:
+            self.learn(new)
+        units = np.stack([self.first[at], self.second[at]], axis=1).ravel()
+        size = self.lengths[units]
         ends = np.cumsum(size)
-        tokens = ids[np.arange(int(ends[-1])) + np.repeat(starts[at] - ends + size, size)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        starts = np.cumsum(self.lengths) - self.lengths
+        total = int(ends[-1]) if len(ends) else 0
+        tokens = self.ids[np.arange(total) + np.repeat(starts[units] - ends + size, size)]
+        bounds = np.concatenate([[0], ends])[2 * np.cumsum([0, *map(len, split)])]
         return [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+@lru_cache(maxsize=4)
+def word_encoder(path: str) -> WordEncoder:
+    """Per worker process, so that its memory outlives a task."""
+    return WordEncoder(path)
+
+
 def parts_of(text: bytes, limit: int) -> Iterator[bytes]:
     """A long text in parts of about limit bytes, cut at ASCII white space."""
     at = 0
@@ -99,7 +118,7 @@ def document_ids(text: Column, tokenizer: str, end_id: int, capacity: int, piece
 
     @F.arrow_udf(PIECES)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode, end = WordEncoder(tokenizer), np.array([end_id], "<u4")
+        encode, end = word_encoder(tokenizer), np.array([end_id], "<u4")
         for batch in batches:
             texts, rows = encoded(batch), []
             for a, b in slices(list(map(len, texts)), CALL):
