@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import chat_format, decontaminate, language_id, packing, quality_classifier, secrets, sql
+from evispark.llm import chat_format, decontaminate, language_id, packing, pii, quality_classifier, secrets, sql
 from evispark.llm.quality_rules import quality_rules
 from evispark.llm.simhash import near_duplicates
 from evispark.llm.token_counts import token_counts
@@ -74,6 +74,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("personal")
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
+    return pii.find_personal_data(docs).select(
+        "doc_id",
+        *[count_of(spans, k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(spans).alias("spans"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
@@ -107,6 +119,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }

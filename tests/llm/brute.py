@@ -72,3 +72,18 @@ def components(fps: dict[int, list[int]], radius: int) -> dict[int, int]:
         least = min(min(fps[g]) for g in seen)
         root |= {g: least for g in seen}
     return root
+
+
+def luhn(digits: str) -> bool:
+    doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
+def personal_base(text: str | None) -> list[tuple[str, int, int]]:
+    text, out = text or "", []
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out += [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m)) <= 15]
+    return out
