@@ -118,3 +118,15 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost_percent: int = M
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("__all") * max_lost_percent))
     return out.drop("__words", "__lines", "__good", "__h", "__s", "__filled", "__all")
+
+
+def kept_documents(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+    """The rows that are kept, with the columns of docs and their cleaned text.
+
+    Rejected rows leave through an inlined array and not through a filter: a filter would be pushed below the
+    projections and there repeat every expression that the verdict rests on.
+    """
+    judged = quality_rules(docs, text, max_lost_percent)
+    row = F.struct(*[F.col("cleaned" if c == text else f"`{c}`").alias(c) for c in docs.columns])
+    return judged.select(F.inline(F.when(F.col("kept"), F.array(row))))
+
