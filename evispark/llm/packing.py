@@ -52,12 +52,14 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer_of(path)
+        special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")}
+        self.mark, self.mark_id = min(special.items(), default=("", -1))
         self.reset()
 
     def reset(self) -> None:
         self.words, self.units = Numbers(MEMORY), Numbers(MEMORY)
         self.first, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
         stems, ends = [], []
@@ -73,10 +75,25 @@ class WordEncoder:
         units, new = self.units(stems + ends)
         self.first, self.second = np.concatenate([self.first, units[: len(words)]]), np.concatenate([self.second, units[len(words) :]])
         for a in range(0, len(new), 50_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[a : a + 50_000]], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
-            self.lengths = np.concatenate([self.lengths, lengths])
+            self.encode([w.decode() for w in new[a : a + 50_000]])
+
+    def encode(self, words: list[str]) -> None:
+        """Remembers the ids of words. Those that hold no special string are encoded many at a time, parted by one."""
+        plain = [k for k, w in enumerate(words) if "<|" not in w] if self.mark else []
+        rest = sorted(set(range(len(words))) - set(plain))
+        texts = [self.mark.join(words[k] for k in plain[a : a + 200]) + self.mark for a in range(0, len(plain), 200)]
+        run = lambda some: np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), np.uint32)
+        ids = run(texts)
+        marks = np.flatnonzero(ids == self.mark_id)
+        lengths = np.empty(len(words), np.int64)
+        lengths[plain] = np.diff(marks, prepend=-1) - 1
+        alone = [run([words[k]]) for k in rest]
+        lengths[rest] = [len(x) for x in alone]
+        order = np.array(plain + rest, np.int64)
+        starts = np.empty(len(words), np.int64)
+        starts[order] = len(self.ids) + np.cumsum(lengths[order]) - lengths[order]
+        self.ids = np.concatenate([self.ids, ids[ids != self.mark_id], *alone])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.words.full() or self.units.full():
@@ -88,9 +105,8 @@ class WordEncoder:
         units = np.stack([self.first[at], self.second[at]], axis=1).ravel()
         size = self.lengths[units]
         ends = np.cumsum(size)
-        starts = np.cumsum(self.lengths) - self.lengths
         total = int(ends[-1]) if len(ends) else 0
-        tokens = self.ids[np.arange(total) + np.repeat(starts[units] - ends + size, size)]
+        tokens = self.ids[np.arange(total) + np.repeat(self.starts[units] - ends + size, size)]
         bounds = np.concatenate([[0], ends])[2 * np.cumsum([0, *map(len, split)])]
         return [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
