@@ -26,18 +26,20 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.arrow import Numbers, encoded, slices, tokenizer_of
+from evispark.llm.arrow import Numbers, slices, tokenizer_of
 from evispark.session import cut_lineage
 
 CAPACITY = 2048
 PIECE = 256
 WINDOWS = 128
 #: Bytes whose words are looked up together, and words that a task remembers.
-CALL, MEMORY = 4_000_000, 800_000
+CALL, MEMORY = 2_000_000, 500_000
 #: A stem that ends in an ASCII letter or digit or a Latin-1 letter, and closing ASCII punctuation.
+CLOSING = frozenset(c for c in range(128) if not chr(c).isalnum())
 CLOSED = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([^a-z0-9\x80-\xff]+)", re.S)
 PIECES = "struct<doc_tokens:bigint,pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint,ids:array<int>>>>"
 
@@ -66,7 +68,7 @@ class WordEncoder:
         for w in words:
             if b"<|" not in w:
                 w = w.lower()
-                if m := CLOSED.fullmatch(w):
+                if w and w[-1] in CLOSING and (m := CLOSED.fullmatch(w)):
                     stems.append(m[1])
                     ends.append(m[2])
                     continue
@@ -95,19 +97,23 @@ class WordEncoder:
         self.ids = np.concatenate([self.ids, ids[ids != self.mark_id], *alone])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; the words are split and told apart by Arrow, and only different ones are looked up here."""
         if self.words.full() or self.units.full():
             self.reset()
-        split = [t.split() for t in texts]
-        at, new = self.words(list(chain.from_iterable(split)))
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        at, new = self.words([w or b"" for w in words.dictionary.cast(pa.large_binary()).to_pylist()])
         if new:
             self.learn(new)
+        at = at[words.indices.to_numpy(zero_copy_only=False)] if len(words) else at[:0]
         units = np.stack([self.first[at], self.second[at]], axis=1).ravel()
         size = self.lengths[units]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         tokens = self.ids[np.arange(total) + np.repeat(self.starts[units] - ends + size, size)]
-        bounds = np.concatenate([[0], ends])[2 * np.cumsum([0, *map(len, split)])]
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], ends])[2 * np.cumsum(np.concatenate([[0], counts])).astype(np.int64)]
         return [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
@@ -117,18 +123,6 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def parts_of(text: bytes, limit: int) -> Iterator[bytes]:
-    """A long text in parts of about limit bytes, cut at ASCII white space."""
-    at = 0
-    while len(text) - at > limit:
-        cut = max(text.find(c, at + limit) for c in (b" ", b"\n", b"\t", b"\r"))
-        if cut < 0:
-            break
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def document_ids(text: Column, tokenizer: str, end_id: int, capacity: int, piece: int, with_ids: bool) -> Column:
     """doc_tokens, and the pieces of each text: start, length, checksum, and the ids where they are asked for."""
 
@@ -136,13 +130,9 @@ def document_ids(text: Column, tokenizer: str, end_id: int, capacity: int, piece
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode, end = word_encoder(tokenizer), np.array([end_id], "<u4")
         for batch in batches:
-            texts, rows = encoded(batch), []
-            for a, b in slices(list(map(len, texts)), CALL):
-                if b - a == 1 and len(texts[a]) > CALL:
-                    found = [np.concatenate([encode([p])[0] for p in parts_of(texts[a], CALL)])]
-                else:
-                    found = encode(texts[a:b])
-                for ids in found:
+            texts, rows = pc.fill_null(batch.cast(pa.large_string()), ""), []
+            for a, b in slices(pc.binary_length(texts).to_pylist(), CALL):
+                for ids in encode(texts[a:b]):
                     ids = np.concatenate([ids, end]).astype("<u4")
                     full = len(ids) // capacity * capacity
                     cuts = [*range(0, full, capacity), *range(full, len(ids), piece), len(ids)]
