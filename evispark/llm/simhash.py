@@ -18,6 +18,7 @@ component; columns with the names of results are replaced; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ SHINGLE = 4
 RADIUS = 4
 RUN_LIMIT = 50_000
 SEED = 42
+#: Keys with more than this part of a table's rows are joined by broadcast, and the least number of rows for that.
+HOT_SHARE, HOT_ROWS = 500, 1_000
 
 
 def fingerprint_of(text: bytes, shingle: int) -> int:
@@ -38,12 +41,12 @@ def fingerprint_of(text: bytes, shingle: int) -> int:
     if not words:
         return 0
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8)
-    n = len(hashes) // 8
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):  # bounded memory for very long texts
-        ones += np.unpackbits(hashes[at * 8 : (at + 65_536) * 8]).reshape(-1, 64).sum(0, dtype=np.int64)
+    hashes = map(xxhash.xxh64_digest, grams, repeat(SEED))
+    ones, n = np.zeros(64, np.int64), 0
+    while part := b"".join(islice(hashes, 65_536)):  # bounded memory for very long texts
+        bits = np.unpackbits(np.frombuffer(part, np.uint8)).reshape(-1, 64)
+        ones += bits.sum(0, dtype=np.int64)
+        n += len(bits)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
@@ -161,25 +164,38 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, run_limit: int = RUN_LI
     return sorted_runs.mapInArrow(linked(radius), "a bigint, b bigint").distinct()
 
 
+def join_keyed(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to a lookup with one row per key and ``n``, the number of rows that have the key.
+
+    Keys with more than 1/HOT_SHARE of ``total`` rows (and HOT_ROWS at least) are HOT_SHARE at most, so their part
+    of the lookup is broadcast and their rows stay where they are; all other keys meet in a shuffled join.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(lookup.where(F.col("n") > limit).drop("n"))
+    cold = lookup.where(F.col("n") <= limit).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, root) for every node of the edges; root is the smallest node that links reach.
 
-    Alternating large-star and small-star rounds; each is written to the shared checkpoint folder.
+    Alternating large-star and small-star rounds; each is written to the shared checkpoint folder. The hub of a
+    large component has most of its edges, so hubs' rows are joined apart.
     """
     edges = cut_lineage(edges.select("a", "b").where("a <> b"))
-    mark = None
+    total, mark = edges.count(), None
     for _ in range(limit):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = join_keyed(both, least, "a", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = cut_lineage(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_keyed(down, least, "a", down.count()).select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b"))
         edges = cut_lineage(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        total, now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (total, now) == mark:
             break
-        mark = now
+        mark = total, now
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
@@ -193,7 +209,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     fps = cut_lineage(docs.select(F.col(key).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")))
     distinct = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct.select("fp"), radius, run_limit))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id")
+    named = cut_lineage(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = cut_lineage(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    labels = join_keyed(named, least, "root", named.count()).select("fp", "component_id")
     return fps.join(labels, "fp").select(F.col("doc_id").alias(key), "fp", "component_id")

@@ -28,6 +28,21 @@ def test_every_pair_within_the_radius_meets_in_a_table():
         assert any(m & diff == 0 for m in masks)
 
 
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    rng = random.Random(9)
+    pairs = [(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(400, 460)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)]
+    pairs += [(-5, 299), (450, 299)]
+    parent = list(range(1300))
+    find = lambda x: x if x < 0 or parent[x] == x else find(parent[x])
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    nodes = {x for p in pairs for x in p if p[0] != p[1]}
+    assert got == {x: find(x) for x in nodes}
+
+
 def test_crowded_runs_lose_no_link(spark):
     rng = random.Random(4)
     centres = [rng.getrandbits(64) for _ in range(12)]
