@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.functions.keyed import first_wins
@@ -30,11 +30,12 @@ def scores(files: DataFrame, entities: DataFrame, relations: DataFrame, seed: st
 def strata(scored: DataFrame, size: int) -> DataFrame:
     """(path, stratum) of each language's best file, languages in order of their first file, at most ``size``.
 
-    Equal scores go by path in the order of the Unicode collation.
+    Equal scores go by path in the order of the Unicode collation. One aggregation, so that a language with a third
+    of all files is reduced before it moves.
     """
-    best = Window.partitionBy("language").orderBy(F.desc("score"), F.collate("path", "UNICODE"))
-    ranked = scored.withColumn("rank", F.row_number().over(best)).withColumn("first", F.min("seq").over(Window.partitionBy("language")))
-    return ranked.where("rank = 1").orderBy("first").limit(size).select("path", F.col("first").alias("stratum"))
+    order = F.struct(-F.col("score"), F.collate("path", "UNICODE"))
+    best = scored.groupBy("language").agg(F.min_by("path", order).alias("path"), F.min("seq").alias("stratum"))
+    return best.select("path", "stratum").orderBy("stratum").limit(size)
 
 
 def sample(scored: DataFrame, size: int) -> DataFrame:
