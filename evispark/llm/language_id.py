@@ -70,6 +70,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         return Model([], {}, {}, np.zeros((0, 0), np.float32), np.zeros(0))
     share = min(1.0, sample_rows / total)
     drawn = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample_rows)
+    drawn = drawn.repartition(labelled.sparkSession.sparkContext.defaultParallelism)  # a limit leaves one partition
     words = drawn.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
     try:
