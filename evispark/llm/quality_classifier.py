@@ -166,7 +166,8 @@ def learn(docs: DataFrame, positive_keys: DataFrame, text: str = "text", key: st
     docs = docs.where(F.col(key).isNotNull())
     trusted = drawn(positive_keys.select(key).where(F.col(key).isNotNull()).distinct(), key, positives, 5)
     chosen = [docs.join(F.broadcast(trusted), key, "left_semi").limit(4 * positives), drawn(docs, key, unlabelled, 6)]
-    sides = [np.array(d.select(measured(F.col(text)).alias("m")).toPandas()["m"].tolist()).reshape(-1, MEASURES) for d in chosen]
+    tasks = docs.sparkSession.sparkContext.defaultParallelism  # a limit leaves one partition
+    sides = [np.array(d.repartition(tasks).select(measured(F.col(text)).alias("m")).toPandas()["m"].tolist()).reshape(-1, MEASURES) for d in chosen]
     return fit(*sides)
 
 
