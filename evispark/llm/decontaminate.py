@@ -7,9 +7,11 @@ The second pass joins seeds to the documents' n-grams where the documents lie, b
 words it shares with the item, and aligns what remains: 2 for an equal word, -1 for a changed, added or lost one.
 The score is the best local alignment's share of a whole copy's; from ``threshold`` on the item has leaked.
 
-Scale: documents never move. The test items are held in memory in blocks of at most ``block_words`` words, as
-many blocks as they need, and each block's index is sent to the executors once. Items longer than ``SEGMENT``
-words are aligned in segments and score as their best one, so memory is bounded for any item and any document.
+Scale: documents never move. The test items are indexed in blocks of at most ``block_words`` words, as many blocks
+as they need, and each block's index is sent to the executors once; a Python worker holds about 50 bytes for each
+word of the items, so sets of tens of millions of words are best searched in several calls. Items longer than
+``SEGMENT`` words are aligned in segments and score as their best one, so the memory of an alignment is bounded
+for any item and any document.
 
 Defined results: a null or empty text has no leaks; items of fewer than ``min_words`` words (or null) are never
 found, as chance would copy them; equal items are reported one by one, a repeated item key once with its best
