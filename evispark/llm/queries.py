@@ -10,11 +10,15 @@ from evispark.llm import chat_format, decontaminate, language_id, packing, pii,
 from evispark.llm.quality_rules import quality_rules
 from evispark.llm.simhash import near_duplicates
 from evispark.llm.token_counts import token_counts
-from evispark.session import table
+from evispark.session import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     judged = quality_rules(docs)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "lost_chars")
 
@@ -34,7 +38,7 @@ def remainder(divisor: int) -> Column:
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     spans = F.col("secrets")
     base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
     return secrets.scan_secrets(docs).select(
@@ -46,7 +50,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels")
     positive = labels.where((F.col("quality") == 1) & (remainder(4) != 2)).select("doc_id")
     model = quality_classifier.learn(docs, positive)
@@ -54,28 +58,28 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(5) == 0)
+    docs = documents(spark, sf_dir, "lang").withColumn("held_out", remainder(5) == 0)
     model = language_id.learn(docs.where(~F.col("held_out")))
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     spans = F.col("personal")
     base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
     return pii.find_personal_data(docs).select(
@@ -87,7 +91,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
     return found.select("doc_id", "leak.item_id", "leak.score", "leak.start", "leak.end")
 
