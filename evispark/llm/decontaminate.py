@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs without white space and ASCII punctuation. A first pass over all documents counts in
-how many of them each n-gram of the test items stands. Of every ``window`` neighbouring n-grams of an item the
-rarest becomes a seed, so any copied run of ``n + window - 1`` words holds one, however common its words are.
-The second pass joins seeds to the documents' n-grams where the documents lie, bounds a candidate's score by the
-words it shares with the item, and aligns what remains: 2 for an equal word, -1 for a changed, added or lost one.
+Words are lower-cased runs without white space and ASCII punctuation. Every n-gram of the test items is a seed, so
+any document with a copied run of ``n`` words is a candidate, however common the words are and whatever lies around
+them; copies without such a run are not found. One pass joins seeds to the documents' n-grams where the documents
+lie, bounds a candidate's score by the words it shares with the item, and aligns what remains: 2 for an equal word,
+-1 for a changed, added or lost one.
 The score is the best local alignment's share of a whole copy's; from ``threshold`` on the item has leaked.
 
 Scale: documents never move. The test items are indexed in blocks of at most ``block_words`` words, as many blocks
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from evispark.llm.arrow import slices
 
-N, WINDOW, MIN_WORDS, SEGMENT = 4, 2, 8, 512
+N, MIN_WORDS, SEGMENT = 4, 8, 512
+#: The tests' own gate asks for a run of N + WINDOW - 1 words; the search itself needs one of N.
+WINDOW = 2
 THRESHOLD = 0.5
 BLOCK_WORDS = 2_000_000
 CALL = 4_000_000
@@ -56,31 +58,26 @@ def gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Items in word numbers, their sorted distinct n-gram keys, and the seeds: for each, the places it stands at."""
+    """Items in word numbers, and the seeds: the sorted distinct n-gram keys, and for each the places it stands at."""
 
     vocabulary: dict[bytes, int]
     items: list[tuple[int, np.ndarray]]
-    keys: np.ndarray
     seeds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     places: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
 
-    def plant(self, frequency: dict[int, int], n: int, window: int) -> None:
-        """Chooses the rarest n-gram of every window; ties go to the smaller key."""
-        found = []
-        for k, (_, ids) in enumerate(self.items):
-            keys = gram_keys(ids, n)
-            ranks = [(frequency.get(x, 0), x) for x in keys.tolist()]
-            chosen = {min(range(a, min(a + window, len(ranks))), key=ranks.__getitem__) for a in range(max(1, len(ranks) - window + 1))}
-            found += [(keys[p], k, p) for p in sorted(chosen)]
-        found.sort(key=lambda x: (int(x[0]), x[1], x[2]))
-        keys = np.array([x[0] for x in found], np.uint64)
-        self.seeds, starts = np.unique(keys, return_index=True)
-        self.first = np.append(starts, len(keys))
-        self.places = np.array([x[1:] for x in found], np.int64).reshape(-1, 2)
-
-
-def blocks_of(items: DataFrame, key: str, text: str, n: int, min_words: int, block_words: int) -> Iterator[Block]:
+    def plant(self, n: int) -> None:
+        """Makes every n-gram of the items a seed."""
+        each = [gram_keys(ids, n) for _, ids in self.items]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        keys, item = np.concatenate(each), np.repeat(np.arange(len(each)), sizes)
+        places = np.column_stack([item, np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)])
+        order = np.argsort(keys, kind="stable")
+        self.seeds, starts = np.unique(keys[order], return_index=True)
+        self.first, self.places = np.append(starts, len(keys)), places[order]
+
+
+def blocks_of(items: DataFrame, key: str, text: str, min_words: int, block_words: int) -> Iterator[Block]:
     """Blocks of at most block_words words (or one item's segment), read one partition of the items at a time."""
     vocabulary: dict[bytes, int] = {}
     held: list[tuple[int, np.ndarray]] = []
@@ -94,10 +91,10 @@ def blocks_of(items: DataFrame, key: str, text: str, n: int, min_words: int, blo
             held.append((row["k"], np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in part], np.int64)))
             size += len(part)
             if size >= block_words:
-                yield Block(vocabulary, held, np.unique(np.concatenate([gram_keys(i, n) for _, i in held])))
+                yield Block(vocabulary, held)
                 vocabulary, held, size = {}, [], 0
     if held:
-        yield Block(vocabulary, held, np.unique(np.concatenate([gram_keys(i, n) for _, i in held])))
+        yield Block(vocabulary, held)
 
 
 def numbered(texts: list[str], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,29 +129,6 @@ def present(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[place] == keys, place, -1)
 
 
-def document_frequency(docs: DataFrame, text: str, block: Block, n: int) -> dict[int, int]:
-    """In how many documents each n-gram of the block stands; one row per gram and task is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast((block.vocabulary, block.keys))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, keys = shared.value
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in slices(list(map(len, texts)), CALL):
-                ids, bounds = numbered(texts[a:b], vocabulary)
-                at, key = known_grams(ids, bounds, n)
-                place = present(key, keys)
-                doc = np.searchsorted(bounds, at, "right") - 1
-                pairs = np.unique(doc[place >= 0] * len(keys) + place[place >= 0])
-                total += np.bincount(pairs % len(keys), minlength=len(keys))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["gram", "n"])
-
-    counted = docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {int(block.keys[r["gram"]]): r["n"] for r in counted.collect()}
-
-
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman with linear gaps, row by row: (best score, start, end) within words."""
     m = len(words)
@@ -237,11 +211,11 @@ def leaks(text: Column, block: Block, n: int, threshold: float, spark) -> Column
     return search(text)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", into: str = "leaks", n: int = N, window: int = WINDOW, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", into: str = "leaks", n: int = N, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Adds the array of leaked items (item_id, score, start and end in words) to every row."""
     found = []
-    for block in blocks_of(items, item_key, item_text, n, min_words, block_words):
-        block.plant(document_frequency(docs, text, block, n), n, window)
+    for block in blocks_of(items, item_key, item_text, min_words, block_words):
+        block.plant(n)
         found.append(leaks(F.col(text), block, n, threshold, docs.sparkSession))
     own = [c for c in docs.columns if c != into]
     held = {f"__leaks{k}": c for k, c in enumerate(found)}

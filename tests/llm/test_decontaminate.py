@@ -96,3 +96,16 @@ def test_odd_rows(spark):
     assert {r.text[:10] for r in rows if r.leaks} == {"long words"}
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0
     assert all(not r.leaks for r in decontaminate.find_leaks(docs, items.limit(0)).collect())
+
+
+def test_runs_of_one_seed_are_found(spark):
+    """Against the alignment of all pairs, whether or not they share a longer run."""
+    rng = random.Random(12)
+    items = [(k, [f"i{k}w{j}" for j in range(rng.randrange(30, 60))]) for k in range(12)]
+    docs = [(k, [f"d{k}w{j}" for j in range(50)] + [f"new{k}w{j}" if j % 5 == 4 else w for j, w in enumerate(words)]) for k, words in items]
+    docs += [(100 + k, items[k][1][3:7]) for k in range(12)]  # other n-grams stand in documents, and are as rare
+    scores = {(d, i): round(smith_waterman(a, b) / (2 * len(a)), 6) for i, a in items for d, b in docs}
+    want = {p: s for p, s in scores.items() if s >= decontaminate.THRESHOLD}
+    assert len(want) == 12
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{key} long, text string") for rows, key in ((docs, "doc_id"), (items, "item_id"))]
+    assert got(decontaminate.find_leaks(*frames)) == want
