@@ -5,13 +5,14 @@ any document with a copied run of ``n`` words is a candidate, however common the
 them; copies without such a run are not found. One pass joins seeds to the documents' n-grams where the documents
 lie, bounds a candidate's score by the words it shares with the item, and aligns what remains: 2 for an equal word,
 -1 for a changed, added or lost one.
-The score is the best local alignment's share of a whole copy's; from ``threshold`` on the item has leaked.
+The score is the best local alignment's share of a whole copy's; from ``threshold`` on the item has leaked. So it
+has, whatever the share, where the alignment is worth ``excerpt`` equal words.
 
 Scale: documents never move. The test items are indexed in blocks of at most ``block_words`` words, as many blocks
 as they need, and each block's index is sent to the executors once; a Python worker holds about 50 bytes for each
 word of the items, so sets of tens of millions of words are best searched in several calls. Items longer than
-``SEGMENT`` words are aligned in segments and score as their best one, so the memory of an alignment is bounded
-for any item and any document.
+``SEGMENT`` words are aligned in segments of that length that overlap by half, the last one at the item's end, and
+score as their best one, so the memory of an alignment is bounded for any item and any document.
 
 Defined results: a null or empty text has no leaks; items of fewer than ``min_words`` words (or null) are never
 found, as chance would copy them; equal items are reported one by one, a repeated item key once with its best
@@ -36,6 +37,8 @@ N, MIN_WORDS, SEGMENT = 4, 8, 512
 #: The tests' own gate asks for a run of N + WINDOW - 1 words; the search itself needs one of N.
 WINDOW = 2
 THRESHOLD = 0.5
+#: More than 100 words: that many of a long item are no leak.
+EXCERPT = 101
 BLOCK_WORDS = 2_000_000
 CALL = 4_000_000
 LEAKS = "array<struct<item_id:bigint,score:double,start:int,end:int>>"
@@ -84,10 +87,11 @@ def blocks_of(items: DataFrame, key: str, text: str, min_words: int, block_words
     size = 0
     for row in items.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col(key).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
         words = words_of(row["t"])
-        for a in range(0, max(1, len(words)), SEGMENT):
-            part = words[a : a + SEGMENT] if a + SEGMENT + min_words < len(words) or a == 0 else words[a:]
-            if len(part) < min_words:
-                continue
+        if len(words) < min_words:
+            continue
+        last = max(0, len(words) - SEGMENT)
+        for a in [*range(0, last, SEGMENT // 2), last]:
+            part = words[a : a + SEGMENT]
             held.append((row["k"], np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in part], np.int64)))
             size += len(part)
             if size >= block_words:
@@ -159,7 +163,7 @@ def shared_words(item: np.ndarray, words: np.ndarray) -> int:
     return int(np.minimum(counts, np.bincount(place[place >= 0], minlength=len(values))).sum())
 
 
-def leaks_of(ids: np.ndarray, at: np.ndarray, seed: np.ndarray, block: Block, threshold: float) -> dict[int, tuple[float, int, int]]:
+def leaks_of(ids: np.ndarray, at: np.ndarray, seed: np.ndarray, block: Block, threshold: float, excerpt: int) -> dict[int, tuple[float, int, int]]:
     """Item key to (score, start, end) for one document: ids, and the places and numbers of its seeds."""
     starts: dict[int, list[int]] = {}
     for p, s in zip(at.tolist(), seed.tolist()):
@@ -168,25 +172,26 @@ def leaks_of(ids: np.ndarray, at: np.ndarray, seed: np.ndarray, block: Block, th
     found: dict[int, tuple[float, int, int]] = {}
     for item, begins in starts.items():
         key, words = block.items[item]
-        reach = len(words)  # an alignment at the threshold can't hold more gaps, so it lies within reach of its seeds
+        least = min(threshold * len(words), excerpt)
+        reach = max(len(words), 2 * (len(words) - excerpt))  # a reported alignment can't hold more gaps, so it lies within reach of its seeds
         begins = sorted(set(begins))
         low = begins[0]
         for begin, after in zip(begins, [*begins[1:], None]):
             if after is not None and after - begin <= 3 * reach and after - low <= 6 * reach:
                 continue
-            a, b = max(0, low - reach), min(len(ids), begin + 2 * reach)
+            a, b = max(0, low - reach), min(len(ids), begin + len(words) + reach)
             low = after
             part = ids[a:b]
-            if shared_words(words, part) < threshold * len(words):
+            if shared_words(words, part) < least:
                 continue
             score, start, end = align(words, part)
             share = score / (2 * len(words))
-            if share >= threshold and share > found.get(key, (0.0,))[0]:
+            if (share >= threshold or score >= 2 * excerpt) and share > found.get(key, (0.0,))[0]:
                 found[key] = (share, a + start, a + end)
     return found
 
 
-def leaks(text: Column, block: Block, n: int, threshold: float, spark) -> Column:
+def leaks(text: Column, block: Block, n: int, threshold: float, excerpt: int, spark) -> Column:
     """The block's items that leaked into each text, by item key."""
     shared = spark.sparkContext.broadcast(block)
 
@@ -203,7 +208,7 @@ def leaks(text: Column, block: Block, n: int, threshold: float, spark) -> Column
                 cuts = np.searchsorted(at, bounds)
                 for k in range(b - a):
                     lo, hi = cuts[k], cuts[k + 1]
-                    hit = leaks_of(ids[bounds[k] : bounds[k + 1]], at[lo:hi] - bounds[k], seed[lo:hi], held, threshold) if hi > lo else {}
+                    hit = leaks_of(ids[bounds[k] : bounds[k + 1]], at[lo:hi] - bounds[k], seed[lo:hi], held, threshold, excerpt) if hi > lo else {}
                     rows.append([{"item_id": i, "score": s, "start": x, "end": y} for i, (s, x, y) in sorted(hit.items())])
             kind = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
             yield pa.array(rows, pa.list_(kind))
@@ -211,12 +216,12 @@ def leaks(text: Column, block: Block, n: int, threshold: float, spark) -> Column
     return search(text)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", into: str = "leaks", n: int = N, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", into: str = "leaks", n: int = N, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, excerpt: int = EXCERPT) -> DataFrame:
     """Adds the array of leaked items (item_id, score, start and end in words) to every row."""
     found = []
     for block in blocks_of(items, item_key, item_text, min_words, block_words):
         block.plant(n)
-        found.append(leaks(F.col(text), block, n, threshold, docs.sparkSession))
+        found.append(leaks(F.col(text), block, n, threshold, excerpt, docs.sparkSession))
     own = [c for c in docs.columns if c != into]
     held = {f"__leaks{k}": c for k, c in enumerate(found)}
     every = F.concat(*held) if held else F.array().cast(LEAKS)

@@ -109,3 +109,12 @@ def test_runs_of_one_seed_are_found(spark):
     assert len(want) == 12
     frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{key} long, text string") for rows, key in ((docs, "doc_id"), (items, "item_id"))]
     assert got(decontaminate.find_leaks(*frames)) == want
+
+
+def test_long_excerpts_leak_whatever_their_share(spark):
+    sizes = {1: 450, 2: 512, 3: 1300, 4: 1032}
+    items = {k: [f"i{k}w{j}" for j in range(n)] for k, n in sizes.items()}
+    cuts = {1: (items[1][100:300], 1), 2: (items[2][200:450], 2), 3: (items[3][450:580], 3), 4: (items[4][-8:], None), 5: (items[1][:100], None)}
+    docs = spark.createDataFrame([(d, " ".join(["other"] * 30 + words)) for d, (words, _) in cuts.items()], "doc_id long, text string")
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    assert set(got(decontaminate.find_leaks(docs, frame))) == {(d, i) for d, (_, i) in cuts.items() if i}
