@@ -31,11 +31,13 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: what a match consumes; keep: what a whole match must look like to be reported ('' for any)."""
+    """pattern: what a match consumes; keep: what a whole match must look like to be reported ('' for any); more: what
+    a match goes on to consume where it stands behind it."""
 
     kind: str
     pattern: str
     keep: str = ""
+    more: str = ""
 
 
 def caseless(word: str) -> str:
@@ -45,12 +47,17 @@ def caseless(word: str) -> str:
 KEYWORDS = "|".join(caseless(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = f"(?:{KEYWORDS})" + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]"""
 
+SPACE = r"(?:[\x09-\x0D\x20]|\x5C[nrt])"
+# A private key's fields and body up to its END line; without one, its runs of 16 base64 characters and more.
+KEY_FIELDS = rf"(?:{SPACE}*(?:Proc-Type|DEK-Info):[\x20A-Za-z0-9,-]*)*"
+KEY_BODY = rf"{KEY_FIELDS}(?:(?:[A-Za-z0-9+/=]|{SPACE})*-----END [A-Z ]*PRIVATE KEY-----|(?:{SPACE}*[A-Za-z0-9+/=]{{16,}})*)"
+
 # The formats of the rules, base rules first.
 RULES = (
     Rule("assign", ASSIGN + "+", ASSIGN + "{6,}"),
     Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}"),
     Rule("hex", "[0-9a-f]{24,}"),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", more=KEY_BODY),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]{35}"),
@@ -63,7 +70,7 @@ BASE = ("assign", "access", "hex")
 @lru_cache(maxsize=8)
 def compiled(rules: tuple[Rule, ...]):
     """Per worker process: the common automaton, and each rule's own forward automata."""
-    return build([r.pattern for r in rules], backward=True), [(build([r.pattern], anchored=True), build([r.keep], anchored=True) if r.keep else None) for r in rules]
+    return build([r.pattern for r in rules], backward=True), [(build([f"{r.pattern}(?:{r.more})?" if r.more else r.pattern], anchored=True), build([r.keep], anchored=True) if r.keep else None) for r in rules]
 
 
 def byte_spans(texts: list[bytes], rules: tuple[Rule, ...]) -> Iterator[list[tuple[int, int, int]]]:

@@ -50,3 +50,14 @@ def test_odd_rows(spark):
 def test_redaction(spark):
     docs = spark.createDataFrame([("é password=abcdef1 b",), (None,), ("clean",)], "text string")
     assert [r[0] for r in docs.select(secrets.redacted(docs.text)).collect()] == ["é [SECRET] b", None, "clean"]
+
+
+def test_private_keys_are_masked_whole(spark):
+    body, kind = "\n".join(["MIIEpAIBAAKCAQEA7bq+/9Zk" * 2] * 3 + ["Qx3="]), "RSA PRIVATE KEY-----"
+    key = f"-----BEGIN {kind}\n{body}\n-----END {kind}"
+    fields = f"-----BEGIN {kind}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n{body}\n-----END {kind}"
+    cut = f"-----BEGIN {kind}\n" + "MIIEpAIBAAKCAQEA7bq+/9Zk\n" * 3 + "Then some words."
+    texts = [f"a {key}. b", "k: " + key.replace("\n", "\\n") + "!", f"{fields} {key}", cut, f"no -----BEGIN {kind} here"]
+    want = ["a [SECRET]. b", "k: [SECRET]!", "[SECRET] [SECRET]", "[SECRET]\nThen some words.", "no [SECRET] here"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    assert [r[0] for r in docs.orderBy("id").select(secrets.redacted(docs.text)).collect()] == want
