@@ -75,6 +75,9 @@ MAPPINGS = (
     Mapping("instruction", ("instruction", "output"), ("input", "system"), instructed),
 )
 
+# A table's row as a record of one turn; a null role or text leaves its path unfilled.
+TURN = Mapping("turn", (), ("role", "text"), lambda col: F.array(F.struct(col("role").cast("string").alias("role"), col("text").cast("string").alias("text"))))
+
 
 def filled_paths(kind: T.DataType, at: Column, path: str) -> list[tuple[str, Column]]:
     """(path, whether the row fills it) for every leaf below a column."""
@@ -157,8 +160,10 @@ def rendered(turns: DataFrame, key: str) -> DataFrame:
 
 
 def format_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Formats a table with a row for each turn (key, order, role, text)."""
-    return rendered(turns.select(F.col(key).alias(key), F.col(order).alias("at"), "role", "text"), key)
+    """Formats a table with a row for each turn (key, order, role, text), each a record of the layout ``TURN``."""
+    records = turns.select(F.col(key).alias("__key"), F.col(order).alias("at"), "role", "text")
+    rows = canonical_turns(records, ["role", "text"], (TURN,)).select("__key", "at", F.explode("turns_").alias("t"))
+    return rendered(rows.select(F.col("__key").alias(key), "at", "t.role", "t.text"), key)
 
 
 def format_records(records: DataFrame, key: str, fields: list[str] | None = None) -> DataFrame:

@@ -73,3 +73,15 @@ def test_layouts_are_told_apart_row_by_row(spark):
         8: (None, []),
         9: (None, []),
     }
+
+
+def test_query_selects_its_mapping_by_fingerprint(spark, monkeypatch):
+    from evispark.llm.queries import op10_chat_format
+
+    seen = []
+    real = chat_format.canonical_turns
+    monkeypatch.setattr(chat_format, "canonical_turns", lambda *a: seen.append(a[2]) or real(*a))
+    assert op10_chat_format(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [(chat_format.TURN,)]
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, None, None)], "conv_id long, turn long, role string, text string")
+    assert {r.layout for r in real(turns, ["role", "text"], (chat_format.TURN,)).collect()} == {"turn"}
