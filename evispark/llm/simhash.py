@@ -164,27 +164,29 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, run_limit: int = RUN_LI
     return sorted_runs.mapInArrow(linked(radius), "a bigint, b bigint").distinct()
 
 
-def join_keyed(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined to a lookup with one row per key and ``n``, the number of rows that have the key.
+def join_keyed(rows: DataFrame, lookup: DataFrame, key: str, total: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """rows joined to a lookup with one row per key and ``n``, the number of rows that have the key (dropped unless kept).
 
-    Keys with more than 1/HOT_SHARE of ``total`` rows (and HOT_ROWS at least) are HOT_SHARE at most, so their part
-    of the lookup is broadcast and their rows stay where they are; all other keys meet in a shuffled join.
+    A key is hot with more than its share of ``total`` rows: HOT_SHARE of them, or two for each shuffle partition where
+    that is more, and HOT_ROWS at least. So hot keys are no more than that, their part of the lookup is broadcast and
+    their rows stay where they are; all other keys meet in a shuffled join.
     """
-    limit = max(HOT_ROWS, total // HOT_SHARE)
-    hot = F.broadcast(lookup.where(F.col("n") > limit).drop("n"))
-    cold = lookup.where(F.col("n") <= limit).drop("n")
+    shares = max(HOT_SHARE, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limit, gone = max(HOT_ROWS, total // shares), [] if "n" in keep else ["n"]
+    hot = F.broadcast(lookup.where(F.col("n") > limit).drop(*gone))
+    cold = lookup.where(F.col("n") <= limit).drop(*gone)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges; root is the smallest node that links reach.
 
-    Alternating large-star and small-star rounds; each is written to the shared checkpoint folder. The hub of a
-    large component has most of its edges, so hubs' rows are joined apart.
+    Alternating large-star and small-star rounds until one changes nothing; each is written to the shared checkpoint
+    folder. The hub of a large component has most of its edges, so hubs' rows are joined apart.
     """
     edges = cut_lineage(edges.select("a", "b").where("a <> b"))
     total, mark = edges.count(), None
-    for _ in range(limit):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         large = join_keyed(both, least, "a", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -212,4 +214,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     named = cut_lineage(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = cut_lineage(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
     labels = join_keyed(named, least, "root", named.count()).select("fp", "component_id")
-    return fps.join(labels, "fp").select(F.col("doc_id").alias(key), "fp", "component_id")
+    labels = cut_lineage(labels.join(fps.groupBy("fp").agg(F.count("*").alias("n")), "fp"))
+    return join_keyed(fps, labels, "fp", fps.count()).select(F.col("doc_id").alias(key), "fp", "component_id")
