@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evispark.llm import decontaminate
@@ -21,23 +23,46 @@ def smith_waterman(a, b):
     return best
 
 
-def brute(docs, items, run=decontaminate.N + decontaminate.WINDOW - 1):
-    """(doc, item) to score of all pairs at the threshold that share an unbroken run of words."""
-    out = {}
+def diagonal_scores(a, texts):
+    """The same best scores of one item against many texts at once, along the table's diagonals."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(a))}
+    item, m = np.array([number[w] for w in a]), max(map(len, texts))
+    words = np.full((len(texts), m), -1)
+    for k, t in enumerate(texts):
+        words[k, : len(t)] = [number.get(w, -1) for w in t]
+    before = last = np.zeros((len(texts), len(a) + 1), int)
+    best = np.zeros(len(texts), int)
+    for diagonal in range(len(a) + m - 1):  # cell (i, j) with i + j = diagonal stands in column i + 1
+        now = np.zeros_like(last)
+        i = np.arange(max(0, diagonal - m + 1), min(len(a), diagonal + 1))
+        equal = words[:, diagonal - i] == item[i]
+        now[:, i + 1] = np.maximum(np.maximum(before[:, i] + np.where(equal, 2, -1), np.maximum(last[:, i], last[:, i + 1]) - 1), 0)
+        best = np.maximum(best, now.max(1))
+        before, last = last, now
+    return best
+
+
+def brute(docs, items):
+    """(doc, item) to score of all pairs that leak, by aligning every item with every text."""
+    out, texts = {}, [decontaminate.words_of(t or "") for _, t in docs]
     for i, item in items:
         a = decontaminate.words_of(item or "")
-        if len(a) < decontaminate.MIN_WORDS:
+        if len(a) < decontaminate.LEAST_WORDS:
             continue
-        runs = {tuple(a[k : k + run]) for k in range(len(a) - run + 1)}
-        for d, text in docs:
-            b = decontaminate.words_of(text or "")
-            if any(tuple(b[k : k + run]) in runs for k in range(len(b) - run + 1)):
-                score = smith_waterman(a, b) / (2 * len(a))
-                if score >= decontaminate.THRESHOLD:
-                    out[d, i] = round(score, 6)
+        for (d, _), score in zip(docs, diagonal_scores(a, texts).tolist()):
+            if score >= 2 * len(a) * (decontaminate.THRESHOLD if len(a) >= decontaminate.MIN_WORDS else 1):
+                out[d, i] = round(score / (2 * len(a)), 6)
     return out
 
 
+def test_the_brute_force_by_cells():
+    rng = random.Random(1)
+    for _ in range(60):
+        a = [f"w{rng.randrange(9)}" for _ in range(rng.randrange(1, 12))]
+        texts = [[f"w{rng.randrange(12)}" for _ in range(rng.randrange(20))] for _ in range(5)] + [["w1"]]
+        assert diagonal_scores(a, texts).tolist() == [smith_waterman(a, t) for t in texts]
+
+
 def got(frame, key="doc_id"):
     return {(r[key], r.item_id): round(r.score, 6) for r in frame.select(key, F.explode("leaks").alias("x")).select(key, "x.*").collect()}
 
@@ -81,7 +106,60 @@ def test_edited_copies_in_any_number_of_blocks(spark):
         assert got(decontaminate.find_leaks(table_of_docs, table_of_items, block_words=words)) == want
 
 
-def test_long_items_are_aligned_in_segments(spark):
+def test_every_alignment_is_the_best(spark):
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(n)] for n in (rng.randrange(1, 20), rng.randrange(1, 60)))
+        score, start, end = decontaminate.align(np.array(a), np.array(b))
+        assert score == smith_waterman(a, b) == smith_waterman(a, b[start:end])
+
+
+def test_recall_of_edited_copies(spark):
+    """Against the alignment of all pairs, for edits of ten to thirty percent and of every fourth word."""
+    rng = random.Random(9)
+    common, rare = [f"c{k}" for k in range(40)], [f"r{k}" for k in range(2000)]
+    some = lambda n: [rng.choice(common if rng.random() < 0.5 else rare) for _ in range(n)]
+    items = [(k, some(rng.randrange(8, 31))) for k in range(150)]
+    kinds = {share: (lambda w, s=share: edited(w, rng, s)) for share in (0.1, 0.15, 0.2, 0.25, 0.3)}
+    kinds[4] = lambda w: [f"x{x}" if k % 4 == 3 else x for k, x in enumerate(w)]
+    docs, made = [], {}
+    for kind, change in kinds.items():
+        for i, words in items:
+            made[len(docs)] = kind
+            docs.append((len(docs), " ".join(some(30) + change(words) + some(30))))
+    texts = [(i, " ".join(w)) for i, w in items]
+    want = brute(docs, texts)
+    found = got(decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")))
+    assert set(found) <= set(want)
+    for kind in kinds:
+        true = [p for p in want if made[p[0]] == kind]
+        assert len(true) > 60 and sum(found.get(p) == want[p] for p in true) >= 0.99 * len(true)
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 10])
+def test_items_of_any_length_and_key(spark, block_words):
+    """Short items leak as a whole and unchanged; with least_words and min_words of 1 every length is searched."""
+    words = [f"v{k}" for k in range(9)]
+    items = spark.createDataFrame([(f"k{n}", " ".join(words[:n])) for n in range(1, 8)] + [("k7", " ".join(words[1:8])), (None, "v1 v2 v3 v4 v5")], "`the id` string, `t.x` string")
+    rows = [("0", " ".join(words[:5])), ("1", " ".join(words[:4] + ["other"] + words[5:7])), ("2", "v0 v1"), ("2", "v0 v1"), ("3", None), ("4", " ".join(words))]
+    docs = spark.createDataFrame([(*r, "kept", "gone") for r in rows], "doc_id string, `a.text` string, mark string, leaks string")
+
+    def found(**kw):
+        out = decontaminate.find_leaks(docs, items, text="a.text", item_key="the id", item_text="t.x", block_words=block_words, **kw)
+        assert out.columns == ["doc_id", "a.text", "mark", "leaks"] and out.where("mark = 'kept'").count() == len(rows)
+        return set(got(out))
+
+    assert found() == {("0", "k5"), ("4", "k5"), ("4", "k6"), ("4", "k7")}
+    every = found(least_words=1, min_words=1)
+    want = brute_any(rows, [(f"k{n}", words[:n]) for n in range(1, 8)] + [("k7", words[1:8])])
+    assert every == want
+
+
+def brute_any(docs, items):
+    return {(d, i) for i, a in items for d, t in docs if t and smith_waterman(a, t.split()) >= len(a)}
+
+
+def test_long_items(spark):
     words = [f"v{k}" for k in range(3000)]
     docs = spark.createDataFrame([(1, " ".join(words[1024:1536])), (2, " ".join(words)), (3, " ".join(words[:100]))], "doc_id long, text string")
     items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")

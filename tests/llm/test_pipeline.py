@@ -1,13 +1,11 @@
 """Every stage against a plain version of it, each over what the stage before kept."""
 
-from collections import defaultdict
-
 import corpus_pipeline
-from evispark.llm import secrets, simhash
+from evispark.llm import secrets
 from evispark.llm.queries import ORACLE_SQL
 from evispark.session import table
-from tests.llm.brute import components, fingerprint
 from tests.llm.test_decontaminate import brute
+from tests.llm.test_near_copies import jaccard_groups
 from tests.llm.test_tokens import whole_packing
 from tests.oracle import rows_of_sql
 
@@ -42,11 +40,8 @@ def test_stages(spark, tmp_path):
     bare = lambda t: len(t.replace("\n", ""))
     assert all(bare(texts[r.doc_id]) - bare(r.text) == kept[r.doc_id] and r.n_chars == len(r.text) for r in first)
 
-    fps = defaultdict(list)
-    for r in first:
-        fps[fingerprint(r.text)].append(r.doc_id)
     second = held["near_dedup"]
-    assert sorted(r.doc_id for r in second) == sorted(set(components(fps, simhash.RADIUS).values()))
+    assert sorted(r.doc_id for r in second) == sorted(set(jaccard_groups([(r.doc_id, r.text) for r in first]).values()))
 
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     leaked = {d for d, _ in brute([(r.doc_id, r.text) for r in second], items)}
