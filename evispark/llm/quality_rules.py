@@ -5,9 +5,9 @@ fail are removed, and a document that loses too much of its text is rejected, as
 base rules (too few words, too many repeated three-word windows).
 
 Defined results: a null or empty text has no words, fails the base rules and gives the cleaned text
-``''``; repeated rows are judged alike; an existing column with the name of a result is replaced; an
-empty table gives an empty table with the same columns. Every step is local to its row, so no row moves
-between tasks.
+``''``; repeated rows are judged alike; other columns of any name are kept, but ``quality_rules`` replaces
+one with the name of a result (``kept_documents`` keeps it); an empty table gives an empty table with the
+same columns. Every step is local to its row, so no row moves between tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evispark.llm.columns import at, by_place, named
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -37,6 +39,7 @@ BOILERPLATE = (
 )
 NAVIGATION = ("home", "menu", "login", "log in", "sign in", "sign up", "next", "previous", "search", "contact us", "about us", "back to top", "read more", "share this")
 
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "cleaned", "lost_chars", "base_failed", "kept"]
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
@@ -91,10 +94,14 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost_percent: int = M
     ``max_lost_percent``: a document whose removed lines hold more than this share of its characters is
     not kept. Blank lines are neither judged nor counted as lost.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    return judged(by_place(docs), at(docs, text), max_lost_percent).select(*named(docs, RESULTS))
+
+
+def judged(docs: DataFrame, text: Column, max_lost_percent: int) -> DataFrame:
+    """docs, whose columns are named by place, with the results."""
+    body = F.coalesce(text, F.lit(""))
     lines = F.split(body, "\n")
-    own = [c for c in docs.columns if not c.startswith("__")]
-    out = docs.select(*own).withColumns({"__words": words_of(body), "__lines": lines, "__good": F.filter(lines, lambda x: ~line_fails(x))})
+    out = docs.withColumns({"__words": words_of(body), "__lines": lines, "__good": F.filter(lines, lambda x: ~line_fails(x))})
     w, n = F.col("__words"), F.size("__words")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
     out = out.withColumn("__h", windows)
@@ -116,8 +123,7 @@ def quality_rules(docs: DataFrame, text: str = "text", max_lost_percent: int = M
     )
     out = out.withColumn("lost_chars", (F.col("__all") - F.char_length(F.replace("cleaned", F.lit("\n"), F.lit("")))).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("__all") * max_lost_percent))
-    return out.drop("__words", "__lines", "__good", "__h", "__s", "__filled", "__all")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("__all") * max_lost_percent))
 
 
 def kept_documents(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -126,7 +132,6 @@ def kept_documents(docs: DataFrame, text: str = "text", max_lost_percent: int =
     Rejected rows leave through an inlined array and not through a filter: a filter would be pushed below the
     projections and there repeat every expression that the verdict rests on.
     """
-    judged = quality_rules(docs, text, max_lost_percent)
-    row = F.struct(*[F.col("cleaned" if c == text else f"`{c}`").alias(c) for c in docs.columns])
-    return judged.select(F.inline(F.when(F.col("kept"), F.array(row))))
-
+    rows = judged(by_place(docs), at(docs, text), max_lost_percent)
+    row = F.struct(*[(F.col("cleaned") if c == text else F.col(f"c{k}")).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    return rows.select(F.inline(F.when(F.col("kept"), F.array(row)))).toDF(*docs.columns)
