@@ -2,101 +2,114 @@
 
 A word that the training rows know counts with its log frequency in each language. An unseen word falls back
 to those of its n-grams that are known, at the greatest length (``MAX_GRAM`` down to one character) at which any
-is known; they count with the mean of their log frequencies. A text's languages are compared by the sum over its
+is known; they count with the mean of their log frequencies. A word is a letter and the letters and marks behind it. A text's languages are compared by the sum over its
 words; ``score`` is the share of the best one after the sum has been flattened by ``TEMPERATURE``.
 
-Learning takes a bounded sample: about ``sample_rows`` labelled rows, chosen by a hash of the key. Words and
-n-grams are counted by Spark; only the ``vocabulary`` most frequent of each reach the driver and the executors.
+Learning takes a bounded sample of every language that the labels name: ``sample_rows`` rows of each, or all where it
+has fewer, chosen by a hash of key and text. Words and n-grams are counted by Spark, also those that occur once; each
+language keeps its own ``vocabulary`` most frequent words and n-grams (fewer where there are so many languages that
+all would keep more than ``MOST``), and only those reach the driver and the executors.
 
 Defined results: a null text, a text without letters, and any text when nothing has been learned give ``und``
-with score 0; ties go to the language with more training words, then to the first by name; rows with a null
-label are not learned from; repeated rows get equal results; columns with the names of results are replaced; an
-empty table gives an empty table.
+with score 0; ties go to the language with more labelled rows, then to the first by name; rows with a null
+label are not learned from, and rows that repeat key, label and text teach once; repeated rows get equal results;
+columns with the names of results are replaced, others of any name are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.llm.arrow import Numbers, encoded, slices
+from evispark.llm.columns import at, by_place, named
 
-SAMPLE_ROWS, VOCABULARY, MAX_LANGUAGES = 20_000, 100_000, 200
+SAMPLE_ROWS, VOCABULARY, MOST = 5_000, 50_000, 1_000_000
 MAX_GRAM = 5
 UNKNOWN = "und"
 #: Evidence is divided by the words' number to this power: neighbouring words aren't independent.
 TEMPERATURE = 0.5
-CALL, MEMORY = 4_000_000, 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of text taken together; numbers (a token's sums by language) that a task remembers.
+CALL, MEMORY = 4_000_000, 2_000_000
+WORD = r"\p{L}[\p{L}\p{M}]*"
+WORDS = regex.compile(WORD)
 
 
 @dataclass
 class Model:
-    """rows: the log frequencies by language; words and grams: their rows; prior: log share of each language's words."""
+    """items: the number of each word (marked by a space) and n-gram; first: where an item's entries begin in language
+    and gain, which is what its count adds to the log frequency of an unseen item; floors: that of each kind of item (0
+    for words, n for n-grams) by language; prior: the log share of each language's rows."""
 
     languages: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    rows: np.ndarray
+    items: dict[str, int]
+    first: np.ndarray
+    language: np.ndarray
+    gain: np.ndarray
+    floors: np.ndarray
     prior: np.ndarray
 
 
-def log_frequencies(counts: np.ndarray) -> np.ndarray:
-    """Smoothed by half an occurrence in every language."""
-    return np.log((counts + 0.5) / (counts.sum(0) + 0.5 * max(1, len(counts)))).astype(np.float32)
-
-
-def table_of(counts: DataFrame, item: str, languages: list[str], most: int) -> tuple[list[str], np.ndarray]:
-    """The most frequent items and their counts by language."""
-    sums = [F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)) for name in languages]
-    ranked = counts.groupBy(item).agg(F.sum("n").alias("total"), F.array(*sums).alias("each")).where("total > 1").orderBy(F.desc("total"), item).limit(most)
-    found = ranked.select(item, "each").toPandas()
-    return found[item].tolist(), np.array(found["each"].tolist(), np.float64).reshape(len(found), len(languages))
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` items of each language with the greatest counts."""
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("lang", "item", "n")
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model:
     """A model of the labelled rows; rows without text or label teach nothing."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    by_lang = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    total, names = sum(r["count"] for r in by_lang), sorted(r["lang"] for r in by_lang)
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL AND lang IS NOT NULL")
+    of = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    names = sorted(of)
     if not names:
-        return Model([], {}, {}, np.zeros((0, 0), np.float32), np.zeros(0))
-    share = min(1.0, sample_rows / total)
-    drawn = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample_rows)
-    drawn = drawn.repartition(labelled.sparkSession.sparkContext.defaultParallelism)  # a limit leaves one partition
-    words = drawn.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
+        return model_of([], [], [], {})
+    shares = spark.createDataFrame([(name, int(min(1.0, sample_rows / of[name]) * (1 << 30))) for name in names], "lang string, share long")
+    drawn = rows.withColumn("h", F.xxhash64("key", "text")).join(shares, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share"))
+    drawn = drawn.dropDuplicates(["lang", "h"]).repartition(spark.sparkContext.defaultParallelism)
+    words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("item"))
+    counts = words.groupBy("lang", "item").agg(F.count("*").alias("n")).persist()
+    most = min(vocabulary, max(1, MOST // len(names)))
     try:
-        known, each = table_of(counts, "word", names, vocabulary)
-        marked = F.concat(F.lit("^"), "word", F.lit("$"))
+        known = most_frequent(counts, most).toPandas()
+        marked = F.concat(F.lit("^"), "item", F.lit("$"))
         grams = F.flatten(F.array(*[gram_list(marked, n) for n in range(1, MAX_GRAM + 1)]))
-        pieces = counts.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        short, short_each = table_of(pieces, "gram", names, vocabulary)
+        pieces = counts.select("lang", "n", F.explode(grams).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+        short = most_frequent(pieces, most).toPandas()
     finally:
         counts.unpersist()
-    rows_of = np.concatenate([log_frequencies(each), *gram_rows(short, short_each)]) if len(short) else log_frequencies(each)
-    order = [k for n in range(1, MAX_GRAM + 1) for k, g in enumerate(short) if len(g) == n]
-    spoken = each.sum(0) + 1
-    return Model(names, {w: k for k, w in enumerate(known)}, {short[k]: len(known) + i for i, k in enumerate(order)}, rows_of, np.log(spoken / spoken.sum()))
+    entries = [(f" {w}", lang, n) for w, lang, n in zip(known["item"], known["lang"], known["n"])]
+    return model_of(names, entries, list(zip(short["item"], short["lang"], short["n"])), of)
+
+
+def model_of(names: list[str], words: list[tuple], grams: list[tuple], rows: dict[str, int]) -> Model:
+    """words and grams: (item, language, count), words with a space in front."""
+    entries = sorted(words + grams)
+    items: dict[str, int] = {}
+    number = np.array([items.setdefault(e[0], len(items)) for e in entries], np.int64)
+    place = {name: k for k, name in enumerate(names)}
+    language = np.array([place[e[1]] for e in entries], np.int64)
+    count = np.array([e[2] for e in entries], np.float64)
+    kind_of = np.array([0 if i[0] == " " else len(i) for i in items], np.int64)
+    total = np.zeros((MAX_GRAM + 1, len(names)))
+    np.add.at(total, (kind_of[number], language), count)
+    different = np.bincount(kind_of, minlength=MAX_GRAM + 1)
+    floors = np.log(0.5 / (total + 0.5 * np.maximum(1, different)[:, None]))  # half an occurrence more of every item
+    share = np.array([rows[name] for name in names], np.float64)
+    return Model(names, items, np.searchsorted(number, np.arange(len(items) + 1)), language, np.log((count + 0.5) / 0.5), floors, np.log(share / share.sum()) if names else share)
 
 
 def gram_list(word: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(word) - n + 1, F.lit(1))), lambda i: word.substr(i, F.lit(n)))
 
 
-def gram_rows(grams: list[str], each: np.ndarray) -> list[np.ndarray]:
-    """Log frequencies among the n-grams of the same length, shortest first."""
-    lengths = np.fromiter(map(len, grams), np.int64, len(grams))
-    return [log_frequencies(each[lengths == n]) for n in range(1, MAX_GRAM + 1)]
-
-
 class Scorer:
     """Sums of log frequencies of texts; each different token is looked up once."""
 
@@ -105,36 +118,42 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        self.numbers = Numbers(MEMORY)
+        self.numbers = Numbers(max(1_000, MEMORY // max(1, len(self.model.languages))))
         self.sums = np.zeros((0, len(self.model.languages)), np.float32)
         self.runs = np.zeros(0, np.int32)
 
-    def rows_of(self, word: str) -> list[int]:
-        known = self.model.words.get(word)
-        if known is not None:
-            return [known]
-        marked, grams = f"^{word}$", self.model.grams
+    def items_of(self, word: str) -> tuple[int, list[int]]:
+        """The kind and the numbers of the items that speak for a word."""
+        items = self.model.items
+        if (known := items.get(f" {word}")) is not None:
+            return 0, [known]
+        marked = f"^{word}$"
         for n in range(min(MAX_GRAM, len(marked)), 0, -1):
-            found = [grams[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in grams]
+            found = [items[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in items]
             if found:
-                return found
-        return []
+                return n, found
+        return 0, []
 
     def learn(self, tokens: list[bytes]) -> None:
-        flat, sizes, owner, runs = [], [], [], []
+        flat, weights, owner, runs = [], [], [], []
+        kinds = np.zeros((len(tokens), MAX_GRAM + 1))
         for k, t in enumerate(tokens):
-            words = LETTERS.findall(t.decode().lower())
+            words = WORDS.findall(t.decode().lower())
             runs.append(len(words))
             for w in words:
-                if rows := self.rows_of(w):
-                    flat += rows
-                    sizes.append(len(rows))
-                    owner.append(k)
-        sums = np.zeros((len(tokens), len(self.model.languages)), np.float32)
-        if flat:
-            means = np.add.reduceat(self.model.rows[flat], np.cumsum([0, *sizes[:-1]]), axis=0) / np.array(sizes, np.float32)[:, None]
-            np.add.at(sums, owner, means)
-        self.sums, self.runs = np.concatenate([self.sums, sums]), np.concatenate([self.runs, np.array(runs, np.int32)])
+                kind, found = self.items_of(w)
+                if found:
+                    kinds[k, kind] += 1
+                    flat += found
+                    weights += [1 / len(found)] * len(found)
+                    owner += [k] * len(found)
+        model, flat = self.model, np.array(flat, np.int64)
+        size = model.first[flat + 1] - model.first[flat]
+        entry = np.arange(int(size.sum())) + np.repeat(model.first[flat] - np.cumsum(size) + size, size)
+        sums = kinds @ model.floors
+        np.add.at(sums, (np.repeat(np.array(owner, np.int64), size), model.language[entry]), model.gain[entry] * np.repeat(weights, size))
+        self.sums = np.concatenate([self.sums, sums.astype(np.float32)])
+        self.runs = np.concatenate([self.runs, np.array(runs, np.int32)])
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sums by language, and numbers of words."""
@@ -176,5 +195,5 @@ def language(text: Column, model: Model) -> Column:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score to every row."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("__found", language(F.col(text), model)).select(*own, "__found.lang_pred", "__found.score")
+    found = by_place(docs).withColumn("found", language(at(docs, text), model)).withColumns({"lang_pred": F.col("found.lang_pred"), "score": F.col("found.score")})
+    return found.select(*named(docs, ["lang_pred", "score"]))

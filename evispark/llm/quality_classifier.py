@@ -9,13 +9,15 @@ learning is minimised over a linear score of the measures and their squares:
 with the logistic loss; where the second part falls below zero the step goes back up, as the estimator asks.
 The class prior is estimated from a first fit of positives against unlabelled rows: the lowest ratio of the
 unlabelled to the positive rows' tails over all thresholds, each with an allowance for its sample. The score is
-shifted at last so that all but ``RECALL_LOSS`` of the positives reach the threshold.
+calibrated on that prior: shifted so that the prior's share of the unlabelled rows reaches ``THRESHOLD``.
 
-Learning takes bounded samples, drawn by a hash of the key: ``positives`` and ``unlabelled`` rows at most twice.
+Learning takes bounded samples, drawn by a hash of the key: about ``positives`` and ``unlabelled`` rows. Samples are
+put in the order of that hash, so partitions and retries don't change a model.
 
-Defined results: a null text scores as an empty one; rows with a null key are never learned from; with fewer than
-two positive rows every score is the prior 0.5; repeated rows score alike; columns with the names of results are
-replaced; an empty table gives an empty table.
+Defined results: a null text scores as an empty one; rows with a null key are never learned from; a positive key
+teaches once, with one of its rows, and rows that repeat key and text teach once; with fewer than two positive rows
+every score is the prior 0.5; repeated rows score alike; columns with the names of results are replaced, others of
+any name are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm.arrow import encoded
+from evispark.llm.columns import at, by_place, named
 
 POSITIVES, UNLABELLED = 6_000, 12_000
 THRESHOLD = 0.7
@@ -36,8 +39,6 @@ THRESHOLD = 0.7
 STEPS, RATE, DECAY = 600, 0.05, 3.0
 #: Tails of fewer rows than this share of the positives say nothing about the prior.
 LEAST_TAIL = 0.1
-#: Share of the trusted positives that may score below the threshold.
-RECALL_LOSS = 0.004
 MARKS = b"!?.,;:|#*$%&<>/\\_=+-()[]{}\"'"
 MEASURES = len(MARKS) + 15
 
@@ -141,8 +142,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
 
     model.prior = prior
     model.weights = descend(gradient, xp.shape[1], decay)
-    # The threshold is where the lowest RECALL_LOSS of the trusted positives begin.
-    model.weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(xp @ model.weights, RECALL_LOSS)
+    model.weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(xu @ model.weights, 1 - prior)
     return model
 
 
@@ -155,20 +155,27 @@ def measured(text: Column) -> Column:
     return measure(text)
 
 
-def drawn(rows: DataFrame, key: str, most: int, salt: int) -> DataFrame:
-    """About most rows by a hash of the key, twice as many at the very most."""
+def drawn(rows: DataFrame, most: int, salt: int) -> DataFrame:
+    """About most rows by a hash of the key; rows that repeat a key (and text) count once."""
     share = min(1.0, most / max(1, rows.count()))
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * most)
+    h = F.xxhash64(*rows.columns, F.lit(salt))
+    return rows.withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["h"])
+
+
+def sample(rows: DataFrame) -> np.ndarray:
+    """The measures of rows (h, text) in the order of h, so that neither partitions nor retries change a model."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    found = rows.repartition(tasks, "h").select("h", measured(F.col("text")).alias("m")).toPandas().sort_values("h")
+    return np.array(found["m"].tolist()).reshape(-1, MEASURES)
 
 
 def learn(docs: DataFrame, positive_keys: DataFrame, text: str = "text", key: str = "doc_id", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """docs: the rows that may be learned from; positive_keys: the keys of trusted positives."""
-    docs = docs.where(F.col(key).isNotNull())
-    trusted = drawn(positive_keys.select(key).where(F.col(key).isNotNull()).distinct(), key, positives, 5)
-    chosen = [docs.join(F.broadcast(trusted), key, "left_semi").limit(4 * positives), drawn(docs, key, unlabelled, 6)]
-    tasks = docs.sparkSession.sparkContext.defaultParallelism  # a limit leaves one partition
-    sides = [np.array(d.repartition(tasks).select(measured(F.col(text)).alias("m")).toPandas()["m"].tolist()).reshape(-1, MEASURES) for d in chosen]
-    return fit(*sides)
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("key IS NOT NULL")
+    keys = positive_keys.select(F.col(f"`{key}`").alias("key")).where("key IS NOT NULL").distinct()
+    trusted = docs.join(F.broadcast(drawn(keys, positives, 5)), "key")
+    trusted = trusted.groupBy("h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one row of each key
+    return fit(sample(trusted), sample(drawn(docs, unlabelled, 6)))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -180,4 +187,5 @@ def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float
             rows = [measures(t) for t in encoded(batch)]
             yield pa.array(model.score(np.array(rows).reshape(-1, MEASURES)), pa.float64())
 
-    return docs.withColumn("score", scored(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    found = by_place(docs).withColumn("score", scored(at(docs, text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return found.select(*named(docs, ["score", "predicted"]))

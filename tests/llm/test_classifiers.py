@@ -1,3 +1,9 @@
+import math
+import random
+import unicodedata
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -25,6 +31,40 @@ def test_positive_unlabelled_learning_finds_the_prior():
     assert (model.score(good(500)) >= 0.7).mean() > 0.95 and (model.score(bad(500)) < 0.7).mean() > 0.95
 
 
+def test_partitions_do_not_change_a_model(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    good = table(spark, "/root/testdata/sf0.01", "labels").where("quality = 1").select("doc_id")
+    one, two = (quality_classifier.learn(docs.repartition(n), good, positives=200, unlabelled=300) for n in (3, 7))
+    assert one.prior == two.prior and (one.weights == two.weights).all()
+
+
+def test_the_risk_is_minimised():
+    """Against plain gradient descent on the non-negative risk, which the prior must part as calibrated."""
+    rng = np.random.default_rng(4)
+    good = lambda n: rng.normal(0.5, 0.5, (n, quality_classifier.MEASURES))
+    bad = lambda n: rng.normal(-0.5, 0.5, (n, quality_classifier.MEASURES))
+    p, u = good(120), np.concatenate([good(90), bad(60)])
+    model = quality_classifier.fit(p, u, prior=0.6)
+    xp, xu = model.features(p), model.features(u)
+    loss = lambda z: np.log1p(np.exp(-z))
+    ridge = quality_classifier.DECAY / len(p)
+
+    def risk(w):
+        return 0.6 * loss(xp @ w).mean() + max(0.0, loss(-(xu @ w)).mean() - 0.6 * loss(-(xp @ w)).mean()) + ridge * (w @ w) / 2
+
+    w = np.zeros(xp.shape[1])
+    for _ in range(4000):
+        s, t = 1 / (1 + np.exp(-(xp @ w))), 1 / (1 + np.exp(-(xu @ w)))
+        rest = loss(-(xu @ w)).mean() - 0.6 * loss(-(xp @ w)).mean()
+        of_rest = xu.T @ t / len(xu) - 0.6 * xp.T @ s / len(xp)
+        w -= 0.05 * ((of_rest - 0.6 * xp.T @ (1 - s) / len(xp) if rest >= 0 else -of_rest) + ridge * w)
+    assert abs((model.score(u) >= 0.7).mean() - 0.6) < 0.01
+    mine = model.weights.copy()
+    mine[0] += min(np.linspace(-8, 8, 1601), key=lambda shift: risk(mine + np.eye(1, len(mine))[0] * shift))  # the fit before its calibration
+    assert risk(mine) <= risk(w) * 1.03
+    assert ((xu @ mine > 0) == (xu @ w > 0)).mean() > 0.97
+
+
 def test_odd_rows_are_scored(spark):
     docs = odd_docs(spark, "score string, predicted string")
     untaught = quality_classifier.learn(docs, docs.select("doc_id").limit(0))
@@ -41,29 +81,88 @@ def test_language_of_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def brute_sums(model, text):
-    """The sums of one text, word by word."""
-    total = np.zeros(len(model.languages))
-    for w in language_id.LETTERS.findall(text.lower()):
-        if w in model.words:
-            total += model.rows[model.words[w]]
-            continue
-        marked = f"^{w}$"
-        for n in range(min(language_id.MAX_GRAM, len(marked)), 0, -1):
-            found = [model.rows[model.grams[marked[i : i + n]]] for i in range(len(marked) - n + 1) if marked[i : i + n] in model.grams]
-            if found:
-                total += np.mean(found, axis=0)
-                break
-    return total
-
-
-def test_backing_off_equals_brute_force(spark):
-    docs = spark.createDataFrame([(k, t, x) for k in range(40) for t, x in (("the cat sat on the mat here", "en"), ("le chat est sur la table ici", "fr"))], "doc_id long, text string, lang string")
-    model = language_id.learn(docs.withColumn("doc_id", F.monotonically_increasing_id()))
-    texts = ["the cats", "chats sur, tables!", "zzz", "qqq1x the", "", "123", "le\x85chat é"]
-    sums, n = language_id.Scorer(model)([t.encode() for t in texts])
-    for t, s, k in zip(texts, sums, n):
-        assert np.allclose(s, brute_sums(model, t), atol=1e-3) and k == len(language_id.LETTERS.findall(t))
+def letters_of(text):
+    """Words by the characters' categories: a letter, then letters and marks."""
+    words, word = [], ""
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or (kind == "M" and word):
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    return [*words, word] if word else words
+
+
+def brute_language(rows, temperature=0.5, longest=5):
+    """text -> (language, score) learned from (language, text) rows, with plain dictionaries."""
+    names, tables = sorted({name for name, _ in rows}), [Counter() for _ in range(longest + 1)]
+    for name, text in rows:
+        for w in letters_of(text.lower()):
+            tables[0][w, name] += 1
+            for n in range(1, longest + 1):
+                m = f"^{w}$"
+                for i in range(max(1, len(m) - n + 1)):
+                    tables[n if len(m) >= n else len(m)][m[i : i + n], name] += 1
+    known = [{item for item, _ in t} for t in tables]
+    total = [{name: sum(n for (_, x), n in t.items() if x == name) for name in names} for t in tables]
+    per = Counter(name for name, _ in rows)
+
+    def log(n, item, name):
+        return math.log((tables[n][item, name] + 0.5) / (total[n][name] + 0.5 * len(known[n])))
+
+    def predict(text):
+        words, sums = letters_of((text or "").lower()), {name: math.log(per[name] / len(rows)) for name in names}
+        for w in words:
+            if w in known[0]:
+                n, found = 0, [w]
+            else:
+                m = f"^{w}$"
+                n, found = next(((n, f) for n in range(min(longest, len(m)), 0, -1) if (f := [m[i : i + n] for i in range(len(m) - n + 1) if m[i : i + n] in known[n]])), (0, []))
+            for name in names:
+                sums[name] += sum(log(n, x, name) for x in found) / max(1, len(found))
+        if not words:
+            return "und", 0.0
+        best = max(names, key=sums.get)
+        return best, 1 / sum(math.exp((sums[name] - sums[best]) / len(words) ** temperature) for name in names)
+
+    return predict
+
+
+def test_query_equals_brute_force(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").collect()
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+    predict = brute_language([(r.lang, r.text) for r in docs if r.lang is not None and r.text is not None and not held(r)])
+    got = {r.doc_id: r for r in op6_language_id(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        want, score = predict(r.text)
+        assert got[r.doc_id].lang_pred == want and abs(got[r.doc_id].score - score) < 1e-3 and got[r.doc_id].held_out == held(r)
+
+
+def test_backing_off_and_letters(spark):
+    rows = [("en", "the cat sat on the mat here"), ("fr", "le chat est sur la table ici"), ("hi", "यह एक बिल्ली है")]
+    docs = spark.createDataFrame([(k, t, x) for k in range(40) for x, t in rows], "`the.id` long, text string, lang string")
+    model = language_id.learn(docs.withColumn("the.id", F.monotonically_increasing_id()), key="the.id")
+    predict = brute_language([r for r in rows for _ in range(40)])
+    texts = ["the cats", "chats sur, tables!", "zzz", "qqq1x the", "", "123", "le\x85chat é", "½ ²", "Ⅳ ①", "है ½", None]
+    found = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), model).orderBy("id").collect()
+    for r in found:
+        want, score = predict(r.text)
+        assert r.lang_pred == want and abs(r.score - score) < 1e-3, r.text
+    assert [r.lang_pred for r in found][7:9] == ["und", "und"] and found[9].lang_pred == "hi"
+
+
+def test_rare_languages_keep_their_words(spark):
+    """A language with a few rows among many others' keeps its vocabulary, and every language is learned."""
+    rng = random.Random(3)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)] for k in range(230)}
+    rows = [(f"l{k:03}", " ".join(rng.choices(words[f"l{k:03}"], k=8))) for k in range(230) for _ in range(200 if k == 0 else 3)]
+    docs = spark.createDataFrame([(k, x, t) for k, (x, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    model = language_id.learn(docs, sample_rows=20)
+    assert model.languages == sorted(words)
+    got = language_id.identify(docs, model).where("lang <> 'l000'").collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
 
 
 def test_odd_rows_get_a_language(spark):
@@ -72,7 +171,7 @@ def test_odd_rows_get_a_language(spark):
     rows = language_id.identify(docs, model).collect()
     assert len(rows) == docs.count()
     for r in rows:
-        assert r.lang_pred == ("x" if language_id.LETTERS.search(r.text or "") else "und")
+        assert r.lang_pred == ("x" if letters_of(r.text or "") else "und")
     untaught = language_id.learn(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(docs, untaught).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), model).count() == 0
