@@ -5,13 +5,15 @@ paths of one layout (prompt and completion, instruction and output, message list
 canonical turns; the fingerprint selects the mapping, so tables that mix layouts are converted row by row.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` for every turn. Control strings inside roles and texts
-are escaped: a backslash is put between ``<`` (with any backslashes behind it) and ``|``, which can be taken
-back exactly. The loss mask is a list of spans of the formatted text that cover the assistants' texts.
-
-Defined results: a null text is empty, a null role becomes ``user``; a record that fits no mapping keeps its
-row with layout null and no turns; turns with equal order are ordered by role and text; a null conversation
-id is a conversation of its own; an empty table gives an empty table; other columns of turn tables are not
-carried. A conversation is one text, so its turns meet in one row; conversations are not split.
+are escaped: a backslash is put between ``<`` (with any backslashes behind it) and ``|``, and then a line feed in a
+role is written ``<|lf|>``; both can be taken back exactly. The loss mask is a list of spans of the formatted text
+that cover the assistants' texts.
+
+Defined results: a null text or role is empty; roles of the layout ``turn`` stay as they are, those of message lists
+are given their canonical names (``user`` where there is none); a record that fits no mapping keeps its row with
+layout null and no turns, and a row of a turn table that fits none is an empty turn; turns with equal order are
+ordered by role and text; a null conversation id is a conversation of its own; an empty table gives an empty table;
+other columns of turn tables are not carried. A conversation is one text, so its turns meet in one row; conversations are not split.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-START, END = "<|im_start|>", "<|im_end|>"
+START, END, LINE_FEED = "<|im_start|>", "<|im_end|>", "<|lf|>"
 TURNS = "array<struct<role:string,text:string>>"
 
 # Names that data sets give to the three roles.
@@ -50,7 +52,12 @@ def turn(role: str, text: Column) -> Column:
 
 def listed(field: str, role: str, text: str) -> Callable:
     """Turns from a list of messages."""
-    return lambda col: F.transform(col(field), lambda m: F.struct(m[role].cast("string").alias("role"), m[text].cast("string").alias("text")))
+    return lambda col: F.transform(col(field), lambda m: F.struct(canonical_role(m[role].cast("string")).alias("role"), m[text].cast("string").alias("text")))
+
+
+def single(role: str, text: str, named: Callable[[Column], Column]) -> Callable:
+    """The turn of a record that is one."""
+    return lambda col: F.array(F.struct(named(col(role).cast("string")).alias("role"), col(text).cast("string").alias("text")))
 
 
 def spoken(*parts: tuple[str, str]) -> Callable:
@@ -75,8 +82,12 @@ MAPPINGS = (
     Mapping("instruction", ("instruction", "output"), ("input", "system"), instructed),
 )
 
-# A table's row as a record of one turn; a null role or text leaves its path unfilled.
-TURN = Mapping("turn", (), ("role", "text"), lambda col: F.array(F.struct(col("role").cast("string").alias("role"), col("text").cast("string").alias("text"))))
+# The layouts of tables with a row for each turn; a null leaves its path unfilled, and a row of nulls is a ``turn``.
+TURN_MAPPINGS = (
+    Mapping("message", (), ("content", "role"), single("role", "content", lambda r: canonical_role(r))),
+    Mapping("share", (), ("from", "value"), single("from", "value", lambda r: canonical_role(r))),
+    Mapping("turn", (), ("role", "text"), single("role", "text", lambda r: r)),
+)
 
 
 def filled_paths(kind: T.DataType, at: Column, path: str) -> list[tuple[str, Column]]:
@@ -137,8 +148,12 @@ def unescaped(text: Column) -> Column:
 
 
 def escaped_role(role: Column) -> Column:
-    """Roles are one line: line feeds in them become spaces."""
-    return escaped(F.translate(canonical_role(role), "\n", " "))
+    """Roles are one line; no escaped text holds the string that stands for their line feeds."""
+    return F.replace(escaped(role), F.lit("\n"), F.lit(LINE_FEED))
+
+
+def unescaped_role(role: Column) -> Column:
+    return unescaped(F.replace(role, F.lit(LINE_FEED), F.lit("\n")))
 
 
 def rendered(turns: DataFrame, key: str) -> DataFrame:
@@ -160,9 +175,10 @@ def rendered(turns: DataFrame, key: str) -> DataFrame:
 
 
 def format_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Formats a table with a row for each turn (key, order, role, text), each a record of the layout ``TURN``."""
-    records = turns.select(F.col(key).alias("__key"), F.col(order).alias("at"), "role", "text")
-    rows = canonical_turns(records, ["role", "text"], (TURN,)).select("__key", "at", F.explode("turns_").alias("t"))
+    """Formats a table with a row for each turn (key, order, and the fields of the layouts of ``TURN_MAPPINGS``)."""
+    fields = [c for c in turns.columns if any(c in m.optional for m in TURN_MAPPINGS)]
+    records = turns.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{order}`").alias("at"), *fields)
+    rows = canonical_turns(records, fields, TURN_MAPPINGS).select("__key", "at", F.explode_outer("turns_").alias("t"))
     return rendered(rows.select(F.col("__key").alias(key), "at", "t.role", "t.text"), key)
 
 
@@ -177,7 +193,7 @@ def read_back(formatted: Column) -> Column:
     """The turns of a formatted text, unescaped."""
     parts = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 1 << 30)
     body = lambda p: F.substring(p, F.instr(p, "\n") + 1, F.char_length(p))
-    return F.transform(parts, lambda p: F.struct(unescaped(F.substring_index(p, "\n", 1)).alias("role"), unescaped(F.regexp_replace(body(p), r"<\|im_end\|>\n\z", "")).alias("text")))
+    return F.transform(parts, lambda p: F.struct(unescaped_role(F.substring_index(p, "\n", 1)).alias("role"), unescaped(F.regexp_replace(body(p), r"<\|im_end\|>\n\z", "")).alias("text")))
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:

@@ -19,7 +19,8 @@ def test_control_strings_survive_the_round_trip(spark):
     rng = random.Random(3)
     bits = ["<", "|", "\\", "im_start", "im_end", "|>", "<|im_end|>\n", "<|im_start|>", "\n", "é", "🙂", " a", "$1"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(300)]
-    rows = [(k // 3, k, ("user", "assistant", "system")[k % 3], t) for k, t in enumerate(texts)]
+    roles = lambda k: "assistant" if k % 3 == 1 else "".join(rng.choice([*bits, "<|lf|>", "\n", "user"]) for _ in range(rng.randrange(6)))
+    rows = [(k // 3, k, roles(k), t) for k, t in enumerate(texts)]
     out = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert not python_of(out)
     got = formatted(out)
@@ -33,7 +34,7 @@ def test_odd_turns(spark):
     rows = [(1, 0, None, None), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "gpt", ""), (None, 1, "assistant", "x" * 200_000), (2, 5, "human", "q"), (2, 5, "human", "q")]
     turns = spark.createDataFrame([(*r, "z", "y") for r in rows], "conv_id long, turn long, role string, text string, key string, formatted string")
     got = formatted(chat_format.format_turns(turns))
-    assert [(t.role, t.text) for t in got[1].turns] == [("assistant", ""), ("user", ""), ("user", "a"), ("user", "b")]
+    assert [(t.role, t.text) for t in got[1].turns] == [("gpt", ""), ("", ""), ("user", "a"), ("user", "b")]
     assert got[None].loss == "x" * 200_000
     assert len(got[2].turns) == 2 and got[2].loss == ""
     assert chat_format.format_turns(turns.limit(0)).count() == 0
@@ -75,13 +76,22 @@ def test_layouts_are_told_apart_row_by_row(spark):
     }
 
 
-def test_query_selects_its_mapping_by_fingerprint(spark, monkeypatch):
+def test_the_query_selects_mappings_by_fingerprint(spark, tmp_path):
+    """The query's own path over a table of its layout, and over one that mixes the layouts of turn tables."""
     from evispark.llm.queries import op10_chat_format
 
-    seen = []
-    real = chat_format.canonical_turns
-    monkeypatch.setattr(chat_format, "canonical_turns", lambda *a: seen.append(a[2]) or real(*a))
-    assert op10_chat_format(spark, "/root/testdata/sf0.001").count() > 0
-    assert seen == [(chat_format.TURN,)]
-    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, None, None)], "conv_id long, turn long, role string, text string")
-    assert {r.layout for r in real(turns, ["role", "text"], (chat_format.TURN,)).collect()} == {"turn"}
+    out = op10_chat_format(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "__fingerprint" in plan and not python_of(out)
+    schema = "conv_id long, turn long, role string, text string, content string, `from` string, value string"
+    rows = [
+        (1, 0, "human", "kept", None, None, None),
+        (1, 1, "developer", None, "canonical", None, None),
+        (1, 2, None, None, None, "gpt", "said"),
+        (1, 3, None, None, None, None, None),
+        (1, 4, "user", None, None, None, "no layout"),
+        (1, 5, "x\ny", "two lines", None, None, None),
+    ]
+    got = formatted(chat_format.format_turns(spark.createDataFrame(rows, schema)))
+    assert [(t.role, t.text) for t in got[1].turns] == [("human", "kept"), ("system", "canonical"), ("assistant", "said"), ("", ""), ("", ""), ("x\ny", "two lines")]
+    assert got[1].loss == "said"
