@@ -2,7 +2,7 @@
 
 A document's ids end with ``end_id``. Every full sequence length of a document fills a sequence alone; the
 rest is cut into pieces of at most ``piece`` ids. Rests are dealt at random into groups of about ``windows``
-sequences, and within a group multiway differencing (Karmarkar-Karp) places them: each piece begins as a
+sequences and ``most_pieces`` pieces at most, which bounds a task's memory however short the documents are, and within a group multiway differencing (Karmarkar-Karp) places them: each piece begins as a
 partition of its own, and the two partitions with the largest spread are merged, largest window of one with
 smallest of the other, until one partition is left. Its windows are nearly equal; where one exceeds the
 capacity, the group is packed again into one window more.
@@ -35,7 +35,8 @@ from evispark.session import cut_lineage
 
 CAPACITY = 2048
 PIECE = 256
-WINDOWS = 128
+#: Sequences of a group, and its pieces where they are so small that they would be more.
+WINDOWS, MOST_PIECES = 128, 32_768
 #: Bytes whose words are looked up together, and words that a task remembers.
 CALL, MEMORY = 2_000_000, 500_000
 #: A stem that ends in an ASCII letter or digit or a Latin-1 letter, and closing ASCII punctuation.
@@ -192,15 +193,15 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
         windows += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, windows: int = WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, windows: int = WINDOWS, most_pieces: int = MOST_PIECES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     pieces = cut_lineage(document_pieces(docs, tokenizer, text, key, end_id, capacity, piece, False))
     numbered = pieces.withColumn("row", F.monotonically_increasing_id())
     full = numbered.where(F.col("length") == capacity).select(*names, (F.col("row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = numbered.where(F.col("length") < capacity)
-    total = rest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    groups = max(1, round(total / (windows * capacity)))
+    total, count = rest.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    groups = max(1, round(total / (windows * capacity)), round(count / most_pieces))
     grouped = rest.withColumn("lot", F.pmod(F.xxhash64("row"), F.lit(groups)))
     kind = ", ".join(f"{c} {t}" for c, t in rest.select(*names).dtypes)
 

@@ -34,6 +34,8 @@ RUN_LIMIT = 50_000
 SEED = 42
 #: Keys with more than this part of a table's rows are joined by broadcast, and the least number of rows for that.
 HOT_SHARE, HOT_ROWS = 500, 1_000
+#: Crowded runs that are broadcast.
+FEW = 100_000
 
 
 def fingerprint_of(text: bytes, shingle: int) -> int:
@@ -145,16 +147,30 @@ def linked(radius: int):
     return walk
 
 
+def with_crowds(keyed: DataFrame, crowded: DataFrame) -> DataFrame:
+    """keyed with the size n of each crowded run, null for others.
+
+    Up to FEW crowded runs are broadcast. More are joined by exchange, but for the hot ones, which join_keyed bounds.
+    """
+    if (runs := crowded.count()) <= FEW:
+        return keyed.join(F.broadcast(crowded), ["t", "k"], "left")
+    shares = max(HOT_SHARE, 2 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limit = crowded.agg(F.sum("n")).first()[0] // min(runs, shares)  # so many runs can be larger at most
+    hot = F.broadcast(crowded.where(F.col("n") > limit))
+    rest = keyed.join(hot.select("t", "k"), ["t", "k"], "left_anti").join(crowded.where(F.col("n") <= limit), ["t", "k"], "left")
+    return keyed.join(hot, ["t", "k"]).unionByName(rest)
+
+
 def links(fingerprints: DataFrame, radius: int = RADIUS, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that connect exactly what links within radius connect."""
     masks = F.array(*[F.lit(m).cast("long") for m in tables(radius)])
     keyed = fingerprints.select("fp", F.posexplode(masks).alias("t", "m")).select("fp", F.col("t").cast("short").alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("k"))
-    crowded = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > run_limit)
+    crowded = cut_lineage(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > run_limit))
     blocks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / run_limit).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("left"), F.greatest("own", j).alias("right")))
     dealt = (
-        keyed.join(crowded, ["t", "k"], "left")
+        with_crowds(keyed, crowded)
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .select("fp", "t", "k", "own", F.explode(pairs).alias("p"))

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from evispark.llm import simhash
 from evispark.llm.queries import op7_simhash
 from evispark.session import table
@@ -43,13 +45,30 @@ def test_hubs_are_joined_apart(spark, monkeypatch):
     assert got == {x: find(x) for x in nodes}
 
 
-def test_crowded_runs_lose_no_link(spark):
+def test_a_chain_of_any_length_is_one_component(spark):
+    got = simhash.components(spark.createDataFrame([(k, k + 1) for k in range(700)], "a long, b long")).collect()
+    assert len(got) == 701 and {r.root for r in got} == {0}
+
+
+def test_one_fingerprint_of_most_rows(spark, monkeypatch):
+    """Rows of a hot fingerprint stay in their partitions."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", 50)
+    monkeypatch.setattr(simhash, "HOT_SHARE", 10)
+    docs = spark.createDataFrame([(k, "the same text for all" if k % 3 else f"text {k} of its own here") for k in range(600)], "doc_id long, text string").repartition(6, "doc_id")
+    out = simhash.near_duplicates(docs)
+    assert len({r.component_id for r in out.where("doc_id % 3 <> 0").collect()}) == 1
+    same = out.where("doc_id % 3 <> 0").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(same) > 1 and max(r["count"] for r in same) < 400
+
+
+def test_crowded_runs_lose_no_link(spark, monkeypatch):
     rng = random.Random(4)
     centres = [rng.getrandbits(64) for _ in range(12)]
     values = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for c in centres for _ in range(40)}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     want = components({v: [k] for k, v in enumerate(signed)}, 4)
-    for limit in (50_000, 7):
+    for limit, few in ((50_000, 100_000), (7, 100_000), (7, 2)):
+        monkeypatch.setattr(simhash, "FEW", few)
         edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), run_limit=limit)
         got = {r.node: r.root for r in simhash.components(edges).collect()}
         groups, wanted = defaultdict(set), defaultdict(set)

@@ -77,6 +77,17 @@ def test_packing_is_whole_and_tight(spark):
     assert whole_packing(op5_packing(spark, SF).collect(), texts) < 0.02
 
 
+def test_groups_of_tiny_documents_are_bounded(spark):
+    texts = {k: "word " * (k % 3) for k in range(3000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = packing.pack(docs, WORDS, most_pieces=500).collect()
+    whole_packing(rows, texts)
+    groups = defaultdict(int)
+    for r in rows:
+        groups[r.sequence_id >> 25] += 1
+    assert len(groups) == 6 and max(groups.values()) < 700
+
+
 def test_odd_rows_are_packed(spark):
     docs = spark.createDataFrame([(k, t, "z") for k, t in enumerate(ODD_TEXTS)], "doc_id long, text string, length string")
     packed = packing.pack(docs, WORDS)
