@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a table that may be dealt out anew.
+SMALL = 256 << 20
+
 
 def local_session(name: str = "evispark", cpus: int = 8, partitions: int = 8) -> SparkSession:
     """A local session with the settings that results depend on (UTC, AQE)."""
@@ -37,19 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as tasks can run at once, if it has fewer: a small file is one partition, whatever work its rows need."""
+    """df over as many partitions as tasks can run at once, if it is ``SMALL`` and has fewer: a small file is one
+    partition, whatever work its rows need. Larger tables stay as they are read, so they are never moved for this."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+    return df.repartition(tasks) if small and df.rdd.getNumPartitions() < tasks else df
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir as the cluster names it.
 
-    Where it is unset (tests, a laptop) a fresh temporary folder is set for this application.
+    Where it is unset, a local master (tests, a laptop) gets a fresh temporary folder for this application; on a
+    cluster that would be a folder of one machine, so there it is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = named or tempfile.mkdtemp(prefix="evispark-checkpoint-")
         sc.setCheckpointDir(named)
     return named or sc._jsc.sc().getCheckpointDir().get()
@@ -59,3 +68,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder, so a lost executor never forces a recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
