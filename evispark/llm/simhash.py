@@ -33,7 +33,7 @@ RADIUS = 4
 RUN_LIMIT = 50_000
 SEED = 42
 #: Keys with more than this part of a table's rows are joined by broadcast, and the least number of rows for that.
-HOT_SHARE, HOT_ROWS = 500, 1_000
+HOT_SHARE, HOT_ROWS = 500, 300
 #: Crowded runs that are broadcast.
 FEW = 100_000
 
