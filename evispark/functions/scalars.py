@@ -119,8 +119,3 @@ def joined_path(folder: Column, relative: Column) -> Column:
 
 def is_entry_path(path: Column) -> Column:
     return F.rlike(path, F.lit(ENTRY_PATH))
-
-
-def is_below(path: Column, root: Column) -> Column:
-    """Whether a root holds a path; the root itself counts."""
-    return (root == "") | (path == root) | F.startswith(path, F.concat(root, F.lit("/")))

@@ -101,7 +101,7 @@ def import_edges(imports: DataFrame, files: DataFrame, provenance: str) -> tuple
         F.lit("imports").alias("kind"), "source", F.concat(F.lit("external:"), stable_id(F.col("name"))).alias("target"), F.col("file_path").alias("source_name"),
         F.col("name").alias("target_name"), "file_path", F.lit("external").alias("resolution"), F.lit(provenance).alias("provenance"), "seq",
     )
-    last = last_wins(edges, ["kind", "source", "target_name"])
+    last = last_wins(edges, ["kind", "source_name", "target_name"])
     return conform(symbols, ENTITIES), conform(last.withColumn("id", relation_id(F.col("kind"), F.col("source"), F.col("target"))), RELATIONS)
 
 
@@ -114,4 +114,4 @@ def build(nodes: DataFrame, edges: DataFrame, files: DataFrame, repository: str,
     met = visited_edges(edges, nodes)
     entities = with_files.unionByName(complete_endpoints(with_files, met))
     relations = project_edges(met, entities, provenance).unionByName(contain_files(entities, repository, path))
-    return entities, last_wins(relations, ["kind", "source", "target"])
+    return entities, last_wins(relations, ["kind", "source", "target", "source_name", "target_name"])  # two paths can share a label

@@ -38,9 +38,12 @@ def strata(scored: DataFrame, size: int) -> DataFrame:
     return best.select("path", "stratum").orderBy("stratum").limit(size)
 
 
-def sample(scored: DataFrame, size: int) -> DataFrame:
-    """(path, selected, reasons) of every file; ``size`` 0 selects all, as does one that no fewer files than that exist."""
-    if size == 0 or scored.limit(size + 1).count() <= size:
+def sample(scored: DataFrame, size: int, files: DataFrame | None = None) -> DataFrame:
+    """(path, selected, reasons) of every file; ``size`` 0 selects all, as does one that no fewer files than that exist.
+
+    files: what was scored; counting them costs less than scoring them twice.
+    """
+    if size == 0 or (scored if files is None else files).limit(size + 1).count() <= size:
         return scored.select("path", F.lit(True).alias("selected"), F.array(F.lit(ALL_REASON)).alias("reasons"))
     marked = scored.join(strata(scored, size), "path", "left")
     chosen = marked.orderBy(F.col("stratum").isNull(), "stratum", F.desc("score"), F.collate("path", "UNICODE")).limit(size).select("path", F.lit(True).alias("selected"))
@@ -49,10 +52,18 @@ def sample(scored: DataFrame, size: int) -> DataFrame:
 
 
 def review_seed(entities: DataFrame, relations: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of the selected files (path), with the endpoints of those relations, marked as manual."""
+    """(entities, relations) of the selected files (path), with the endpoints of those relations, marked as manual.
+
+    An endpoint is told by id and name; where no entity of its id has that name, by its id alone.
+    """
     paths = selected.select(F.col("path").alias("file_path")).distinct()
     edges = relations.where("file_path <> ''").join(paths, "file_path", "left_semi").select(*relations.columns)
-    own = entities.where("file_path <> ''").join(paths, "file_path", "left_semi").select("id")
-    ends = edges.select(F.explode(F.array("source", "target")).alias("id"))
-    kept = entities.join(own.unionByName(ends).distinct(), "id", "left_semi").select(*entities.columns)
+    end = lambda side: F.struct(F.col(side).alias("id"), F.col(f"{side}_name").alias("name"))
+    ends = edges.select(F.explode(F.array(end("source"), end("target"))).alias("e")).groupBy("e.id").agg(F.collect_set("e.name").alias("names"), F.bool_or(F.col("e.name").isNull()).alias("any"))
+    met = entities.join(ends, "id").withColumn("named", F.coalesce(F.array_contains("names", F.col("qualified_name")), F.lit(False)))
+    known = met.where("named").select("id").distinct()
+    by_id = met.where("NOT named").join(known, "id", "left_anti")
+    own = entities.where("file_path <> ''").join(paths, "file_path", "left_semi")
+    outside = met.where("named").unionByName(by_id).join(paths, "file_path", "left_anti")
+    kept = own.select(*entities.columns).unionByName(outside.select(*entities.columns))
     return kept.withColumn("provenance", F.lit("manual")), edges.withColumn("provenance", F.lit("manual"))

@@ -46,10 +46,12 @@ def first_of_root(declared: DataFrame) -> DataFrame:
 def contained_files(roots: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of roots (root, ...) joined to the files (file_path, ...) below them; nested roots each hold the file.
 
-    Each file is expanded to the roots that could hold it, so the prefix test is an equality join.
+    Each file is expanded to the roots that could hold it, so the prefix test is an equality join. The top holds every
+    file; its rows (one for each kind of root, as first_of_root leaves them) are sent to the files instead.
     """
-    expanded = files.withColumn("root", F.explode(ancestors(F.col("file_path"))))
-    return roots.join(expanded, "root")
+    expanded = files.withColumn("root", F.explode(ancestors(F.col("file_path")))).where("root <> ''")
+    top = F.broadcast(roots.where("root = ''"))
+    return roots.join(expanded, "root").unionByName(files.withColumn("root", F.when(F.col("file_path").isNotNull(), "")).join(top, "root").select(*roots.columns, *[c for c in files.columns if c != "root"]))
 
 
 def structure(manifests: DataFrame, files: DataFrame, repository: str, path: str) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +88,8 @@ def applying(entities: DataFrame, scope: DataFrame) -> DataFrame:
     folder = F.when(F.contains("file_path", F.lit("/")), F.regexp_replace(F.lower("file_path"), r"/[^/]*$", "")).otherwise(F.lit(""))
     root = F.when(F.col("kind") == "module", F.lower(F.coalesce("metadata.root", F.lit("")))).when(F.col("kind") == "package", folder)
     keyed = entities.withColumns({"__path": F.when(F.col("file_path") != "", F.lower("file_path")), "__root": root})
-    by_path = lowered.select(F.col("path").alias("__path"), F.lit(True).alias("__in"))
-    by_root = roots.select(F.col("root").alias("__root"), F.lit(True).alias("__below"))
-    met = keyed.join(by_path, "__path", "left").join(by_root, "__root", "left")
-    return met.where("__in OR __below").select(*entities.columns)
+    by_path = lowered.select(F.col("path").alias("__path"))
+    by_root = roots.select(F.col("root").alias("__root"))
+    own = keyed.join(by_path, "__path", "left_semi")  # rows without a file fall out before the exchange
+    below = keyed.where(F.col("kind").isin("module", "package")).join(by_path, "__path", "left_anti").join(by_root, "__root", "left_semi")
+    return own.select(*entities.columns).unionByName(below.select(*entities.columns))

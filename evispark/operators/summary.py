@@ -23,13 +23,18 @@ def by_language(files: DataFrame, entities: DataFrame, relations: DataFrame) ->
     """(language, files, entities, relations), zero where a language lacks one of them.
 
     A file's language is its first file entity's, 'unknown' without one; a relation's is its source's, 'none'
-    without one. The three tables are tagged and summed together, so no outer join is needed.
+    without one. Where entities share an id, the one with the source's name counts, else the first. The three tables are tagged and summed together, so no outer join is needed.
     """
     file_languages = first_wins(entities.where("kind = 'file'").select(F.col("file_path").alias("path"), "language", "seq"), ["path"]).drop("seq")
+    named = first_wins(entities.select("id", "qualified_name", "language", "seq"), ["id", "qualified_name"])
+    held = F.sort_array(F.collect_list(F.struct("seq", "qualified_name", "language")))  # as many as names share a label
+    spoken = named.groupBy("id").agg(held.alias("held"))
+    same = F.filter("held", lambda h: h["qualified_name"].eqNullSafe(F.col("source_name")))
+    source = F.coalesce(F.get(same, F.lit(0))["language"], F.get("held", F.lit(0))["language"], F.lit("none"))
     tagged = [
         files.select("path").join(file_languages, "path", "left").select(F.coalesce("language", F.lit("unknown")).alias("language"), F.lit("files").alias("measure")),
         entities.select("language", F.lit("entities").alias("measure")),
-        relations.select(F.col("source").alias("id")).join(first_wins(entities.select("id", "language", "seq"), ["id"]).drop("seq"), "id", "left").select(F.coalesce("language", F.lit("none")).alias("language"), F.lit("relations").alias("measure")),
+        relations.select(F.col("source").alias("id"), "source_name").join(spoken, "id", "left").select(source.alias("language"), F.lit("relations").alias("measure")),
     ]
     counted = [t.groupBy("language", "measure").agg(F.count("*").alias("n")) for t in tagged]
     every = counted[0].unionByName(counted[1]).unionByName(counted[2])

@@ -141,7 +141,7 @@ ORACLE_SQL = {
       SELECT root, count(*) AS n_files FROM roots JOIN files ON root = '' OR path = root OR starts_with(path, root || '/') GROUP BY root""",
     "module_applies": f"""WITH {FILES}, owners AS (
         SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'module' ELSE 'package' END AS kind, n_nationkey, lower('R' || n_regionkey || '/n' || n_nationkey) AS root FROM nation)
-      SELECT kind || ':' || n_nationkey AS id, kind FROM owners WHERE EXISTS (SELECT 1 FROM files WHERE seq % 50 = 0 AND starts_with(lower(path), root || '/'))""",
+      SELECT kind || ':' || n_nationkey AS id, kind FROM owners WHERE EXISTS (SELECT 1 FROM files WHERE is_indexed AND starts_with(lower(path), root || '/'))""",
     "coverage": f"""WITH {FILES} SELECT count(DISTINCT lower(path)) AS candidate_files, count(DISTINCT lower(path)) FILTER (is_indexed) AS indexed_files,
         count(DISTINCT lower(path)) FILTER (is_indexed) AS covered_files,
         coalesce(count(DISTINCT lower(path)) FILTER (is_indexed) / nullif(count(DISTINCT lower(path)), 0)::DOUBLE, 1.0) AS file_coverage FROM files""",
@@ -157,7 +157,7 @@ ORACLE_SQL = {
       UNION ALL SELECT 2, (SELECT count(*) FROM z) || ' indexed source file(s) produced zero symbols: ' || (SELECT string_agg(path, ', ' ORDER BY path) FROM (SELECT path FROM z ORDER BY path LIMIT 10)) WHERE (SELECT count(*) FROM z) > 0""",
     "entity_precision_recall": f"WITH {STARS}, {overlap(f'{ENT_KEY} FROM a_ents WHERE {EVALUATED}', f'{ENT_KEY} FROM t_ents WHERE {EVALUATED}')} {RATES}",
     "edge_precision_recall": f"WITH {STARS}, {overlap(f'{REL_KEY} FROM rels WHERE is_actual', f'{REL_KEY} FROM rels WHERE is_truth')} {RATES}",
-    "engine_agreement": f"""WITH {STARS}, scope AS (SELECT path FROM files WHERE is_indexed AND seq % 3 = 0),
+    "engine_agreement": f"""WITH {STARS}, scope AS (SELECT path FROM files WHERE is_indexed),
       {overlap(f'{ENT_KEY} FROM a_ents WHERE {EVALUATED} AND file_path IN (FROM scope)', f'{ENT_KEY} FROM t_ents WHERE {EVALUATED} AND file_path IN (FROM scope)', '_e')},
       {overlap(f'{REL_KEY} FROM rels WHERE is_actual AND file_path IN (FROM scope)', f'{REL_KEY} FROM rels WHERE is_truth AND file_path IN (FROM scope)')}
       SELECT 1.0::DOUBLE AS file_coverage, (SELECT count(*) FROM scope) AS candidate_files, (SELECT count(*) FROM scope) AS indexed_files,
@@ -194,6 +194,30 @@ ORACLE_SQL = {
     "import_edges": f"""WITH {LINES} SELECT DISTINCT 'file:' || file_path AS source, 'external:' || {fnv('name')} AS target, file_path AS source_name, name AS target_name, 'external' AS resolution FROM lines WHERE name <> ''""",
     "incremental_replace": """SELECT user_id, event_id, event_type, value FROM events WHERE user_id % 7 <> 3
       UNION ALL SELECT user_id, event_id + 1000000, event_type, value * 2 FROM events WHERE user_id % 7 = 3 AND event_id % 2 = 0""",
+    "graph_build_entities": f"""WITH {RELATIONS}
+      SELECT id, kind, name, qualified_name, file_path, language, 'graph' AS provenance FROM ents
+      UNION ALL SELECT 'repository:' || {fnv("'/repo'")}, 'repository', 'repo', 'repo', '', 'mixed', 'synthetic'
+      UNION ALL SELECT 'file:' || {fnv('path')}, 'file', string_split(path, '/')[-1], path, path, language, 'synthetic' FROM files WHERE is_indexed
+      UNION ALL SELECT DISTINCT target, 'external_symbol', target, target, '', 'none', 'synthetic' FROM rels""",
+    "graph_build_relations": f"""WITH {RELATIONS}
+      SELECT DISTINCT kind, source, target, source_name, target AS target_name, file_path, 'external' AS resolution, 'graph' AS provenance FROM rels
+      UNION ALL SELECT 'contains', 'repository:' || {fnv("'/repo'")}, 'file:' || {fnv('path')}, 'repo', path, path, 'internal', 'synthetic' FROM files WHERE is_indexed""",
+    "entry_paths": """SELECT path, regexp_matches(path, '(?i)(entry|main|ability|service|controller|router|test)') AS is_entry FROM (
+        SELECT ['src/Main', 'lib/core', 'entryability', 'x/UserService', 'app/router', 'docs', 'unit-tests', 'controller'][doc_id % 8 + 1] || '/d' || doc_id || '.ts' AS path FROM documents)""",
+    "speaking_owners": f"""WITH {LINES} SELECT owner_kind, count(*) AS n
+      FROM (SELECT ['file', 'function', 'repository', 'method', 'import', 'class'][seq % 6 + 1] AS owner_kind FROM lines WHERE text <> '') WHERE owner_kind NOT IN ('file', 'repository', 'import') GROUP BY 1""",
+    "figures_without_truth": f"""WITH {STARS} SELECT
+        (SELECT count(*) FILTER (is_indexed) / count(*)::DOUBLE FROM files) AS file_coverage, (SELECT count(*) FROM files) AS candidate_files, (SELECT count(*) FILTER (is_indexed) FROM files) AS indexed_files,
+        (SELECT count(*) FROM a_ents WHERE {EVALUATED}) AS entities, (SELECT count(*) FROM rels WHERE is_actual) AS relations,
+        NULL::DOUBLE AS entity_recall, NULL::DOUBLE AS entity_precision, NULL::DOUBLE AS edge_recall, NULL::DOUBLE AS edge_precision""",
+    "profile_modules": f"""WITH {MANIFESTS}, one AS (SELECT path, folder, min(o_orderkey) AS k FROM packs GROUP BY path, folder), declared AS (
+        SELECT regexp_replace(path, '(?i)/src/main/module\\.json5$', '') AS root, 'mod' || k AS name, path AS manifest, 0 AS pos FROM one WHERE path LIKE '%/module.json5'
+        UNION ALL SELECT folder || '/entry', 'm' || k, path, 0 FROM one WHERE path LIKE '%/build-profile.json5'
+        UNION ALL SELECT folder || '/lib/core', 'n' || k, path, 2 FROM one WHERE path LIKE '%/build-profile.json5')
+      SELECT root, name, manifest FROM declared QUALIFY row_number() OVER (PARTITION BY root ORDER BY manifest, pos) = 1""",
+    "affected_relations": f"""WITH {LINES}, {DOT_TEXTS}, rel AS (SELECT DISTINCT l.id AS source, c.first_id AS target, l.file_path FROM lines l JOIN cand c ON l.text = c.text WHERE l.text <> ''),
+      changed AS (SELECT path FROM dfiles WHERE NOT is_indexed), ids AS (SELECT id FROM lines WHERE file_path IN (FROM changed))
+      SELECT 'calls' AS kind, source, target, file_path FROM rel WHERE file_path NOT IN (FROM changed) AND (source IN (FROM ids) OR target IN (FROM ids))""",
     "project_structure": f"""WITH {FILES}, {MANIFESTS}, one AS (SELECT path, folder, arg_min(o_orderkey, content) AS o_orderkey, min(content) AS content FROM packs GROUP BY path, folder),
       mods AS (SELECT 'module' AS kind, regexp_replace(path, '(?i)/src/main/module\\.json5$', '') AS root, path AS manifest FROM one WHERE path LIKE '%/module.json5'),
       pks AS (SELECT 'package' AS kind, CASE WHEN folder = '.' THEN '' ELSE folder END AS root, path AS manifest,

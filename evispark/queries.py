@@ -162,7 +162,7 @@ def module_applies(spark: SparkSession, sf_dir: str) -> DataFrame:
     metadata = F.struct(*[F.lit(None).cast("string")] * 2, F.lit(None).cast("boolean"), root, *[F.lit(None).cast("string")] * 2)
     kind = F.when(F.col("n_nationkey") % 2 == 0, "module").otherwise("package")
     rows = nations.select(F.concat(kind, F.lit(":"), text("n_nationkey")).alias("id"), kind.alias("kind"), F.concat(root, F.lit("/manifest.json")).alias("file_path"), metadata.alias("metadata"), F.col("n_nationkey").alias("seq"))
-    scope = fixtures.star_files(spark, sf_dir).where("seq % 50 = 0").select("path")
+    scope = fixtures.star_files(spark, sf_dir).where("is_indexed").select("path")
     return structure.applying(conform(rows, ENTITIES), scope).select("id", "kind")
 
 
@@ -180,7 +180,7 @@ def orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbols_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A symbol for every line whose first word has four letters at least."""
+    """A symbol for every line whose first word has fourteen letters at least."""
     rows = fixtures.doc_lines(spark, sf_dir).where(F.char_length("name") >= 14)
     return conform(rows.withColumn("kind", F.lit("function")), ENTITIES)
 
@@ -209,7 +209,7 @@ def edge_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def engine_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     actual, other = fixtures.star_observations(spark, sf_dir)
-    return metrics.evaluate(actual, other, actual.files.where("is_indexed AND seq % 3 = 0").select("path"))
+    return metrics.evaluate(actual, other, actual.files.where("is_indexed").select("path"))
 
 
 def count_entities_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,9 +264,12 @@ def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_rows(spark, sf_dir).groupBy("event_type").agg(keyed.first_value("user_id", "event_id").alias("first_user"))
 
 
+def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.star_files(spark, sf_dir).where("is_indexed")
+
+
 def star_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = fixtures.star_files(spark, sf_dir).where("is_indexed")
-    return sampling.scores(files, with_file_entities(spark, sf_dir), fixtures.star_relations(spark, sf_dir), SEED)
+    return sampling.scores(indexed_files(spark, sf_dir), with_file_entities(spark, sf_dir), fixtures.star_relations(spark, sf_dir), SEED)
 
 
 def sample_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,16 +281,16 @@ def sample_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample(star_scores(spark, sf_dir), SAMPLE).where("selected").select("path")
+    return sampling.sample(star_scores(spark, sf_dir), SAMPLE, indexed_files(spark, sf_dir)).where("selected").select("path")
 
 
 def sample_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = sampling.sample(star_scores(spark, sf_dir), SAMPLE)
+    held = sampling.sample(star_scores(spark, sf_dir), SAMPLE, indexed_files(spark, sf_dir))
     return held.groupBy(F.array_join("reasons", "; ").alias("reasons"), "selected").agg(F.count("*").alias("n"))
 
 
 def review_seed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chosen = sampling.sample(star_scores(spark, sf_dir), SAMPLE).where("selected").select("path")
+    chosen = sampling.sample(star_scores(spark, sf_dir), SAMPLE, indexed_files(spark, sf_dir)).where("selected").select("path")
     return sampling.review_seed(every_star_entity(spark, sf_dir), conform(fixtures.star_relations(spark, sf_dir), RELATIONS), chosen)
 
 
@@ -352,6 +355,54 @@ def project_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.join(held, "id", "left").select("kind", "name", "file_path", F.coalesce(F.col("metadata.root"), F.lit("-")).alias("root"), F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 
+def star_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of a store that holds the orders as nodes, their lines as edges, and the indexed files."""
+    return graph.build(fixtures.star_entities(spark, sf_dir), star_edges(spark, sf_dir), indexed_files(spark, sf_dir), "repo", "/repo")
+
+
+def graph_build_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star_graph(spark, sf_dir)[0].select("id", "kind", "name", "qualified_name", "file_path", "language", "provenance")
+
+
+def graph_build_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star_graph(spark, sf_dir)[1].select("kind", "source", "target", "source_name", "target_name", "file_path", "resolution", "provenance")
+
+
+def entry_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of documents below folders of various names, and whether their paths are entries, services or tests."""
+    names = ("src/Main", "lib/core", "entryability", "x/UserService", "app/router", "docs", "unit-tests", "controller")
+    folder = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("seq") % len(names) + 1).cast("int"))
+    paths = fixtures.doc_files(spark, sf_dir).select(F.concat(folder, F.lit("/d"), F.col("seq").cast("string"), F.lit(".ts")).alias("path"))
+    return paths.select("path", scalars.is_entry_path(F.col("path")).alias("is_entry"))
+
+
+def speaking_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by the kind of their owner, those of owners that count for nothing left out."""
+    kinds = ("file", "function", "repository", "method", "import", "class")
+    kind = F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("seq") % len(kinds) + 1).cast("int"))
+    return summary.count_by(calls.calls_of(fixtures.doc_lines(spark, sf_dir).withColumn("owner_kind", kind)), "owner_kind")
+
+
+def figures_without_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actual, _ = fixtures.star_observations(spark, sf_dir)
+    return metrics.evaluate(actual, None)
+
+
+def profile_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modules of module manifests with names of their own and of build profiles, the first of each root."""
+    one = manifests_of(spark, sf_dir).groupBy("path").agg(F.min("o_orderkey").cast("string").alias("k"))
+    item = lambda name, src: F.struct(name.alias("name"), F.lit(src).alias("src_path"))
+    profile = F.array(item(F.concat(F.lit("m"), "k"), "./entry"), item(F.lit(None).cast("string"), "x"), item(F.concat(F.lit("n"), "k"), "lib/core/"))
+    return structure.first_of_root(structure.declared_modules(one.select("path", F.concat(F.lit("mod"), "k").alias("module_name"), profile.alias("profile"))))
+
+
+def affected_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls between documents that have to be resolved anew when all files that aren't indexed change."""
+    made = doc_calls(spark, sf_dir).where("resolution = 'internal'").select(F.lit("calls").alias("kind"), F.col("owner").alias("source"), "target", "file_path")
+    changed = fixtures.doc_files(spark, sf_dir).where("NOT is_indexed").select("path")
+    return incremental.affected_relations(made.distinct(), fixtures.doc_lines(spark, sf_dir).select("id", "file_path"), changed)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -361,5 +412,6 @@ QUERIES = {
         count_entities_by_kind, count_relations_by_kind, count_relations_by_resolution, summary_by_language, acceptance, upper_median,
         last_write_wins, first_write_wins, first_match, sample_scores, sample_strata, sample_select, sample_reasons, review_seed_entities, review_seed_relations,
         reviewed_gate, call_resolution, forward_calls, call_resolution_in_order, import_edges, incremental_replace, project_structure,
+        graph_build_entities, graph_build_relations, entry_paths, speaking_owners, figures_without_truth, profile_modules, affected_relations,
     )
 }

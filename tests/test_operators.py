@@ -224,3 +224,25 @@ def test_incremental_replacement(spark):
     new = spark.createDataFrame([("a", 10), ("a", 11), ("c", 30)], "file_path string, v int")
     changed = spark.createDataFrame([("a",), ("b",)], "file_path string")
     assert sorted(map(tuple, incremental.replace_rows(old, new, changed, "file_path").collect())) == [("a", 10), ("a", 11), ("c", 3)]
+
+
+def test_paths_that_share_a_label_are_told_apart(spark, monkeypatch):
+    """Labels of 32 bits collide; here all do. No relation, language or endpoint may be lost or mixed up by that."""
+    from evispark.operators import summary
+
+    monkeypatch.setattr(graph, "stable_id", lambda value: F.lit("00000000"))
+    nodes = spark.createDataFrame([("n1", "function", "f", "f", "a.ts", "typescript", 1)], "id string, kind string, name string, qualified_name string, file_path string, language string, seq long")
+    edges = spark.createDataFrame([], "kind string, source string, target string, seq long")
+    files = spark.createDataFrame([("a.ts", "typescript", 1), ("b.py", "python", 2), ("c.py", "python", 3)], "path string, language string, seq long")
+    entities, relations = graph.build(nodes, edges, files, "repo", "/repo")
+    held = {(r.target, r.target_name) for r in relations.collect()}
+    assert held == {("file:00000000", p) for p in ("a.ts", "b.py", "c.py")}
+    back = relations.select("kind", F.col("target").alias("source"), F.col("target_name").alias("source_name"), "resolution", "file_path")
+    counts = {r.language: r.relations for r in summary.by_language(files, entities, back).collect()}
+    assert (counts["typescript"], counts["python"]) == (1, 2)
+    chosen = spark.createDataFrame([("b.py",)], "path string")
+    kept, edges = sampling.review_seed(entities, relations, chosen)
+    assert sorted(r.name for r in kept.collect()) == ["b.py", "repo"] and edges.count() == 1
+    imports = spark.createDataFrame([("x", p, k) for k, p in enumerate(("a.ts", "b.py", "c.py"))] + [("y", "a.ts", 9)], "name string, file_path string, seq long")
+    found = graph.import_edges(imports, entities, "syntax")[1].collect()
+    assert sorted((r.source_name, r.target_name) for r in found) == [("a.ts", "x"), ("a.ts", "y"), ("b.py", "x"), ("c.py", "x")]
