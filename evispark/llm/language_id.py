@@ -5,7 +5,7 @@ to those of its n-grams that are known, at the greatest length (``MAX_GRAM`` dow
 is known; they count with the mean of their log frequencies. A word is a letter and the letters and marks behind it. A text's languages are compared by the sum over its
 words; ``score`` is the share of the best one after the sum has been flattened by ``TEMPERATURE``.
 
-Learning takes a bounded sample of every language that the labels name: ``sample_rows`` rows of each, or all where it
+The languages' names and shares, one row each, reach the driver and the executors. Learning takes a bounded sample of every language that the labels name: ``sample_rows`` rows of each, or all where it
 has fewer, chosen by a hash of key and text. Words and n-grams are counted by Spark, also those that occur once; each
 language keeps its own ``vocabulary`` most frequent words and n-grams (fewer where there are so many languages that
 all would keep more than ``MOST``), and only those reach the driver and the executors.
@@ -72,7 +72,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     if not names:
         return model_of([], [], [], {})
     shares = spark.createDataFrame([(name, int(min(1.0, sample_rows / of[name]) * (1 << 30))) for name in names], "lang string, share long")
-    drawn = rows.withColumn("h", F.xxhash64("key", "text")).join(shares, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share"))
+    drawn = rows.withColumn("h", F.xxhash64("key", "text")).join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share"))
     drawn = drawn.dropDuplicates(["lang", "h"]).repartition(spark.sparkContext.defaultParallelism)
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("item"))
     counts = words.groupBy("lang", "item").agg(F.count("*").alias("n")).persist()
