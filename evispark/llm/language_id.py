@@ -3,11 +3,12 @@
 A word that the training rows know counts with its log frequency in each language. An unseen word falls back
 to those of its n-grams that are known, at the greatest length (``MAX_GRAM`` down to one character) at which any
 is known; they count with the mean of their log frequencies. A word is a letter and the letters and marks behind
-it. A text's languages are compared by the sum over its words; ``score`` is the share of the best one after the sum has been flattened by ``TEMPERATURE``.
+it. A text's languages are compared by the sum over its words; ``score`` is the share of the best one after the sum
+has been flattened by ``TEMPERATURE``.
 
 Learning takes a bounded sample of every language that the labels name: ``sample_rows`` rows of each, or all where it
-has fewer, chosen by a hash of key and text; the languages' names and counts, one row each, reach the driver. Words and n-grams are counted by Spark, also those that occur once; each
-language keeps its own ``vocabulary`` most frequent words and n-grams (fewer where there are so many languages that
+has fewer, chosen by a hash of key and text; the languages' names and counts, one row each, reach the driver. Words
+and n-grams are counted by Spark, also those that occur once; each language keeps its own ``vocabulary`` most frequent words and n-grams (fewer where there are so many languages that
 all would keep more than ``MOST``), and only those reach the driver and the executors.
 
 Defined results: a null text, a text without letters, and any text when nothing has been learned give ``und``
