@@ -1,9 +1,62 @@
-"""Replacement of the evidence of changed files."""
+"""Replacement of the evidence of changed files.
+
+A stored table is kept in buckets of its key's hash, so that a change rewrites the buckets of the keys that it names
+and no others. The new buckets are staged as a whole before they take the old ones' place: a replacement that was
+interrupted is finished from what it staged, and one that is run again changes nothing more. While buckets are
+swapped, a reader may see old and new ones side by side.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from evispark.session import exists, remove
+
+#: Buckets of a stored table, and files that a bucket's rows are dealt out to, so that a hot key isn't one task.
+BUCKETS, FILES = 256, 8
+BUCKET = "__bucket"
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with their bucket, at most ``FILES`` tasks to a bucket. Columns of maps have no hash and aren't allowed."""
+    return rows.repartition(BUCKET, F.pmod(F.xxhash64(*[c for c in rows.columns if c != BUCKET]), F.lit(FILES)))
+
+
+def create(rows: DataFrame, folder: str, key: str) -> None:
+    """Stores a table below folder."""
+    dealt(rows.withColumn(BUCKET, bucket_of(key))).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{folder}/rows")
+
+
+def stored(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """A stored table with the bucket of each row; the schema is named, as a table may have no rows."""
+    return spark.read.schema(StructType([*schema.fields, StructField(BUCKET, IntegerType())])).parquet(folder)
+
+
+def current(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    return stored(spark, f"{folder}/rows", schema).drop(BUCKET)
+
+
+def replace_stored(spark: SparkSession, folder: str, new: DataFrame, changed: DataFrame, key: str, number: int) -> None:
+    """Replaces the rows of changed keys in a stored table by those of ``new``. A number names a replacement; one that
+    has been staged is not computed again."""
+    staged, rows = f"{folder}/staged/{number}", f"{folder}/rows"
+    touched = [r[0] for r in changed.select(bucket_of(key).alias(BUCKET)).distinct().collect()]  # BUCKETS at most
+    if not exists(spark, f"{staged}/_SUCCESS"):
+        old = stored(spark, rows, new.schema).where(F.col(BUCKET).isin(touched))
+        made = replace_rows(old, new.withColumn(BUCKET, bucket_of(key)), changed, key)
+        dealt(made).write.mode("overwrite").partitionBy(BUCKET).parquet(staged)
+    made = stored(spark, staged, new.schema)
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(rows)
+    for bucket in touched:
+        if not exists(spark, f"{staged}/{BUCKET}={bucket}"):
+            remove(spark, f"{rows}/{BUCKET}={bucket}")
+    remove(spark, f"{folder}/staged/{number - 1}")
 
 
 def replace_rows(old: DataFrame, new: DataFrame, changed: DataFrame, key: str) -> DataFrame:

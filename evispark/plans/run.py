@@ -23,6 +23,7 @@ from evispark.operators import diagnostics, graph, incremental, metrics, samplin
 from evispark.operators.metrics import Tables
 from evispark.plans.config import Config, Repository
 from evispark.schema import AST_NODES, FILES, MANIFESTS, SCHEMA_VERSION, UI_LANGUAGE, UNREVIEWED_SEED, conform
+from evispark.session import exists, located, remove
 from evispark.sources.json5 import read_manifests
 
 log = logging.getLogger(__name__)
@@ -34,13 +35,24 @@ def now() -> str:
 
 
 def write_json(path: str, value) -> None:
+    """Writes a small document wherever Spark can write; on this machine as a plain file that people may edit."""
+    text = json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n"
+    if "://" in path:
+        system, at = located(SparkSession.active(), path)
+        out = system.create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w", encoding="utf8") as f:
-        f.write(json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n")
+        f.write(text)
 
 
 def read_json(path: str):
     """None where there is no such file; a broken one raises."""
+    if "://" in path:
+        spark = SparkSession.active()
+        return json.loads(spark.read.text(path, wholetext=True).first()[0]) if exists(spark, path) else None
     if not os.path.exists(path):
         return None
     with open(path, encoding="utf8") as f:
@@ -92,18 +104,35 @@ class Timeout:
         self.sc.removeJobTag(self.tag)
 
 
-def measure_replacement(spark: SparkSession, tables: Tables, trials: int, timeout_ms: float) -> dict:
-    """Milliseconds that the replacement of the first file's evidence takes, and their upper median."""
-    first = tables.files.where("is_indexed").orderBy((F.col("language") != UI_LANGUAGE), "path").select(F.col("path").alias("file_path")).limit(1)
-    if not first.count():
+def measure_replacement(spark: SparkSession, tables: Tables, folder: str, trials: int, timeout_ms: float) -> dict:
+    """Milliseconds that a stored table needs to take up a change of one file, and their upper median.
+
+    The first indexed file grows by a line in each trial, so its entities end a line later; its evidence is replaced in
+    a stored copy of the tables below folder and then restored, which isn't timed.
+    """
+    first = tables.files.where("is_indexed").orderBy((F.col("language") != UI_LANGUAGE), "path").select(F.col("path").alias("file_path")).limit(1).collect()
+    if not first:
         raise ValueError("no indexed file to measure with")
+    changed = spark.createDataFrame(first, "file_path string")
+    kept = {"entities": tables.entities, "relations": tables.relations}
+    for name, rows in kept.items():
+        incremental.create(rows, f"{folder}/{name}", "file_path")
+    before = {name: rows.join(changed, "file_path", "left_semi").select(*rows.columns).persist() for name, rows in kept.items()}
+    grown = {**before, "entities": before["entities"].withColumn("end_line", F.col("end_line") + 1)}
     samples = []
-    for _ in range(trials):
-        began = time.perf_counter()
-        with Timeout(spark, timeout_ms / 1000):
-            for rows in (tables.entities, tables.relations):
-                incremental.replace_rows(rows, rows, first, "file_path").write.format("noop").mode("overwrite").save()
-        samples.append((time.perf_counter() - began) * 1000)
+    try:
+        for trial in range(trials):
+            began = time.perf_counter()
+            with Timeout(spark, timeout_ms / 1000):
+                for name, rows in grown.items():
+                    incremental.replace_stored(spark, f"{folder}/{name}", rows, changed, "file_path", 2 * trial)
+            samples.append((time.perf_counter() - began) * 1000)
+            for name, rows in before.items():
+                incremental.replace_stored(spark, f"{folder}/{name}", rows, changed, "file_path", 2 * trial + 1)
+    finally:
+        for rows in before.values():
+            rows.unpersist()
+        remove(spark, folder)
     median = spark.createDataFrame([(x,) for x in samples], "ms double").agg(upper_median("ms")).first()[0]
     return {"samplesMs": samples, "medianMs": median}
 
@@ -156,7 +185,7 @@ def run_repository(spark: SparkSession, repo: Repository, config: Config) -> boo
         for name, observe in ((WIDE, observe_graph), (NARROW, observe_syntax)):
             save(observe(spark, repo), f"{folder}/{name}")
         wide, narrow = load(spark, f"{folder}/{WIDE}"), load(spark, f"{folder}/{NARROW}")
-        timing = measure_replacement(spark, wide, config.trials, config.timeout_ms)
+        timing = measure_replacement(spark, wide, f"{folder}/trial", config.trials, config.timeout_ms)
         write_json(f"{folder}/incremental.json", timing)
         scored = sampling.scores(wide.files.where("is_indexed"), wide.entities, wide.relations, config.seed)
         drawn = sampling.sample(scored, config.samples[repo.size])
@@ -179,7 +208,7 @@ def init_ground_truth(spark: SparkSession, repo: Repository, config: Config) ->
     if read_json(f"{folder}/{TRUTH}/header.json") is not None:
         log.info("kept the existing review of %s", repo.id)
         return False
-    if not os.path.exists(f"{folder}/{WIDE}") or not os.path.exists(f"{folder}/sample"):
+    if not all(exists(spark, f"{folder}/{name}") for name in (WIDE, "sample")):
         log.info("skipped %s: run it first", repo.id)
         return False
     wide, chosen = load(spark, f"{folder}/{WIDE}"), spark.read.parquet(f"{folder}/sample").where("selected").select("path")
@@ -195,7 +224,7 @@ def evaluate_existing(spark: SparkSession, repo: Repository, config: Config) ->
     """Reports again from what a run has left, without observing anew. Without a review the scope is the sample."""
     folder = f"{config.output}/{repo.id}"
     timing = read_json(f"{folder}/incremental.json")
-    if timing is None or not all(os.path.exists(f"{folder}/{name}") for name in (WIDE, NARROW, "sample")):
+    if timing is None or not all(exists(spark, f"{folder}/{name}") for name in (WIDE, NARROW, "sample")):
         log.info("skipped %s: run it first", repo.id)
         return False
     wide, narrow = load(spark, f"{folder}/{WIDE}"), load(spark, f"{folder}/{NARROW}")

@@ -70,7 +70,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def located(spark: SparkSession, path: str) -> tuple:
+    """(file system, path in it) of a path wherever Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder wherever Spark can write."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    system, at = located(spark, path)
+    system.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = located(spark, path)
+    return system.exists(at)

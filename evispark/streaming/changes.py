@@ -1,30 +1,26 @@
 """Evidence kept current by a stream of changed files.
 
 The stream holds the new evidence of files, and a row of nulls but for the file where one is gone. Each batch
-replaces the rows of the files it names; versions are folders numbered by batch, so a batch that is run again
-writes the same folder anew and nothing is applied twice.
+replaces the rows of the files it names, in their buckets of the stored table only; a batch that is run again is
+finished from what it staged or replaces rows by the same rows, so nothing is applied twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from evispark.operators.incremental import replace_rows
-
-
-def version(spark: SparkSession, folder: str, batch: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v={batch}")
+from evispark.operators.incremental import replace_stored
 
 
 def start(stream: DataFrame, folder: str, checkpoint: str, key: str = "file_path", present: str = "id") -> StreamingQuery:
-    """Applies a stream to the table below folder, whose version -1 must exist. Rows with a null ``present`` only remove."""
+    """Applies a stream to the table that ``incremental.create`` stored below folder. Rows with a null ``present`` only
+    remove."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = version(spark, folder, number - 1)
-        new = batch.where(F.col(present).isNotNull()).select(*old.columns)
-        replace_rows(old, new, batch.select(key), key).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        held = batch.persist()
+        replace_stored(batch.sparkSession, folder, held.where(F.col(present).isNotNull()), held.select(key), key, number)
+        held.unpersist()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
