@@ -9,6 +9,10 @@ calibrated for its kind and no base span or better proposal overlaps it.
 The trees are fitted here on ``EXAMPLES`` generated sentences (a fixed seed; half of them calibrate), which
 write such data in the formats people use, and look-alikes: order numbers, versions, dates, sums, serial numbers.
 A kind's threshold is the lowest one at which ``PRECISION`` of its calibration proposals above are personal.
+``calibrated`` then raises the thresholds by what the corpus itself holds: formats and words confirm or refute most
+proposals of its texts (``verdict``; the others count on neither side), and a kind's threshold rises to the lowest
+one, no lower than before, at which ``PRECISION`` of the judged proposals above are confirmed. All texts are counted,
+by kind and step of the score, so what meets the driver doesn't grow with them.
 
 Defined results: a null or empty text holds nothing; positions are code points; a base match that fails its
 check uses up its text but isn't reported; repeated rows give equal results; a column with the name of the result
@@ -36,6 +40,8 @@ KINDS = BASE + EXTRA
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 EXAMPLES, PRECISION = 6_000, 0.99
 CONTEXT = 40
+#: Scores are counted in steps of 1 / STEPS, and beyond REACH on either side as REACH.
+STEPS, REACH = 20, 20
 
 # The base rules (the parts of e-mail and IP addresses), and the proposals' patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -179,6 +185,24 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
     ]
 
 
+def verdict(text: str, span: tuple[int, int, str]) -> int:
+    """1 where format and words confirm a proposal, -1 where they refute it, 0 where they leave it open."""
+    start, end, kind = span
+    body, digits = text[start:end], digits_of(text[start:end])
+    joined = (start > 0 and (text[start - 1].isalnum() or text[start - 1] in "#$€£=_")) or (end < len(text) and (text[end].isalnum() or text[end] in "%€$_="))
+    last = [w.strip(":#.,(").lower() for w in text[max(0, start - CONTEXT) : start].split()[-2:]]
+    named, other = any(w in x for x in last for w in NEAR[kind]), any(x in FAR for x in last)
+    if joined or (other and not named):
+        return -1
+    if kind == "iban":
+        return 1 if mod97(body) else -1
+    if kind == "ssn" and (digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000"):
+        return -1
+    if kind == "email_text" and any(c in body for c in "[("):
+        return 1
+    return int(named)
+
+
 def iban_of(rng: random.Random) -> str:
     head, body = rng.choice(["DE", "FR", "ES", "NL", "GB", "IT"]), "".join(rng.choice("0123456789") for _ in range(rng.choice([14, 18, 20])))
     check = 98 - int("".join(str(int(c, 36)) for c in body + head + "00")) % 97
@@ -254,15 +278,61 @@ def learned(count: int = EXAMPLES, precision: float = PRECISION) -> Model:
     return Model(trees, thresholds)
 
 
+def open_proposals(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The proposals of a text that no base span overlaps."""
+    return [s for s in proposals(text, text.lower()) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+
+
+def raised(model: Model, judged: list[tuple[str, int, int, int]], precision: float) -> Model:
+    """The model with thresholds raised by judged proposals: (kind, step, confirmed, refuted). A kind for which they
+    never reach the precision is reported above all that they refute."""
+    thresholds = dict(model.thresholds)
+    for kind, least in model.thresholds.items():
+        right = wrong = 0
+        fits = above = None
+        for _, step, yes, no in sorted((row for row in judged if row[0] == kind and row[1] / STEPS >= least), key=lambda row: -row[1]):
+            above = step + 1 if no and above is None else above
+            right, wrong = right + yes, wrong + no
+            fits = step if right and right >= precision * (right + wrong) else fits
+        if wrong and right < precision * (right + wrong):
+            thresholds[kind] = (above if fits is None else fits) / STEPS
+    return Model(model.trees, thresholds)
+
+
+def calibrated(docs: DataFrame, text: str = "text", model: Model | None = None, precision: float = PRECISION) -> Model:
+    """The model with its thresholds raised by the proposals of all texts: one pass, one count by kind and step."""
+    known = model or learned()
+    share = docs.sparkSession.sparkContext.broadcast(known)  # trees of a fixed number and depth
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int], list[int]] = {}
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                spans = open_proposals(t, base_spans(t)) if t else []
+                said = [(s, v) for s in spans if (v := verdict(t, s))]
+                if not said:
+                    continue
+                margin = share.value.trees.margin(np.array([features(t, s) for s, _ in said], float))
+                steps = np.floor(np.clip(margin, -REACH, REACH) * STEPS).astype(int).tolist()
+                for (span, v), step in zip(said, steps):
+                    counts.setdefault((span[2], step), [0, 0])[v < 0] += 1
+        rows = [(kind, step, yes, no) for (kind, step), (yes, no) in counts.items()]
+        columns = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["kind", "step", "yes", "no"])
+
+    found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(judge, "kind string, step bigint, yes bigint, no bigint")
+    judged = found.groupBy("kind", "step").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    return raised(known, [tuple(r) for r in judged.collect()], precision)  # kinds times steps at most
+
+
 def extra_spans(texts: list[str], base: list[list[tuple[int, int, str]]], model: Model) -> list[list[tuple[int, int, str]]]:
     """The proposals that the trees select, by text."""
     spans, owner, rows = [], [], []
     for k, text in enumerate(texts):
-        for span in proposals(text, text.lower()):
-            if not any(a < span[1] and span[0] < b for a, b, _ in base[k]):
-                spans.append(span)
-                owner.append(k)
-                rows.append(features(text, span))
+        for span in open_proposals(text, base[k]):
+            spans.append(span)
+            owner.append(k)
+            rows.append(features(text, span))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if not rows:
         return out

@@ -82,7 +82,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     spans = F.col("personal")
     base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
-    return pii.find_personal_data(docs).select(
+    return pii.find_personal_data(docs, model=pii.calibrated(docs)).select(
         "doc_id",
         *[count_of(spans, k).alias(f"n_{k}") for k in pii.BASE],
         F.sha2(span_list(base), 256).alias("base_sha256"),

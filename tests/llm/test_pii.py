@@ -39,6 +39,54 @@ def test_trees_part_personal_data_from_look_alikes():
         assert y[mine][hit].mean() > 0.97 and y[mine][hit].sum() / y[mine].sum() > 0.75
 
 
+def test_thresholds_rise_by_what_the_judged_proposals_need():
+    model = pii.Model(None, {"ssn": 1.0, "iban": 2.0, "national_phone": 0.5, "email_text": float("inf")})
+    s = pii.STEPS
+    judged = [("ssn", 3 * s, 99, 0), ("ssn", 2 * s, 0, 1), ("ssn", s, 0, 50), ("ssn", 0, 0, 900), ("iban", 5 * s, 0, 1), ("iban", 3 * s, 40, 0), ("national_phone", s, 5, 0), ("email_text", s, 0, 3)]
+    got = pii.raised(model, judged, 0.99).thresholds
+    assert got == {"ssn": 2.0, "iban": 5.0 + 1 / s, "national_phone": 0.5, "email_text": float("inf")}
+
+
+def planted(count, seed):
+    """Sentences of documents' own words with generated personal data or look-alikes, and the span and kind of the former."""
+    rng, out = random.Random(seed), []
+    for _ in range(count):
+        kind, personal = rng.choice(pii.EXTRA), rng.random() < 0.5
+        lead, body = pii.written(rng, kind, personal)
+        words = lambda: " ".join("".join(rng.choice("aeinorstçé") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(3, 20)))
+        head = f"{words()} {lead} "
+        out.append((head + body + " " + words(), (kind, len(head), len(head) + len(body)) if personal else None))
+    return out
+
+
+def test_calibration_counts_whole_texts_of_all_rows(spark):
+    rows = planted(3000, 5)
+    docs = spark.createDataFrame([(t,) for t, _ in rows] + [(None,), ("",)], "`a.text` string")
+    model = pii.learned()
+    counts = {}
+    for text, _ in rows:
+        for span in pii.open_proposals(text, pii.base_spans(text)):
+            said = pii.verdict(text, span)
+            step = int(np.floor(np.clip(model.trees.margin(np.array([pii.features(text, span)], float))[0], -pii.REACH, pii.REACH) * pii.STEPS))
+            if said:
+                counts.setdefault((span[2], step), [0, 0])[said < 0] += 1
+    want = pii.raised(model, [(k, step, yes, no) for (k, step), (yes, no) in counts.items()], pii.PRECISION).thresholds
+    got = pii.calibrated(docs.repartition(3), "a.text")
+    assert got.thresholds == want and all(got.thresholds[k] >= model.thresholds[k] for k in pii.EXTRA)
+    base = [pii.base_spans(t) for t, _ in rows]
+    found = pii.extra_spans([t for t, _ in rows], base, got)
+    truth = [true for _, true in rows if true]
+    caught = sum(true is not None and (true[1], true[2], true[0]) in spans for (_, true), spans in zip(rows, found))
+    assert caught >= 0.97 * sum(map(len, found)) and caught >= 0.6 * len(truth)
+    assert pii.calibrated(docs.limit(0), "a.text").thresholds == model.thresholds
+
+
+def test_documents_without_such_data_are_left_alone(spark):
+    docs = table(spark, SF, "documents")
+    found = pii.find_personal_data(docs, model=pii.calibrated(docs))
+    assert sum(s.kind in pii.EXTRA for r in found.select("personal").collect() for s in r.personal) == 0
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(3)
     x = rng.random((2000, 4))
