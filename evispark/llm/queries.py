@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.llm import chat_format, decontaminate, language_id, packing, pii, quality_classifier, secrets, sql
+from evispark.llm.exact_dedup import exact_duplicates
 from evispark.llm.quality_rules import quality_rules
 from evispark.llm.simhash import near_duplicates
 from evispark.llm.token_counts import token_counts
@@ -115,6 +116,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
@@ -126,5 +132,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op12_exact_dedup": op12_exact_dedup,
 }
-ORACLE_SQL = {"op1_quality_rules": sql.OP1, "op10_chat_format": sql.OP10}
+ORACLE_SQL = {"op1_quality_rules": sql.OP1, "op10_chat_format": sql.OP10, "op12_exact_dedup": sql.OP12}

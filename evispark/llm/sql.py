@@ -61,3 +61,11 @@ SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss)::BIGINT AS
        formatted_chars::BIGINT AS formatted_chars
 FROM agg
 """
+
+OP12 = """
+WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER g = 1 AS kept, text_sha256
+FROM d
+WINDOW g AS (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+"""
