@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import chat_format, decontaminate, language_id, packing, pii, quality_classifier, secrets, sql
+from evispark.llm import chat_format, decontaminate, language_id, packing, pii, quality_classifier, secrets, sql, vector_codes
 from evispark.llm.exact_dedup import exact_duplicates
 from evispark.llm.quality_rules import quality_rules
 from evispark.llm.simhash import near_duplicates
@@ -121,6 +121,12 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+    coded = vector_codes.with_label_error(rows).withColumn("codebooks_sha256", F.lit(books.sha256()))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
@@ -133,5 +139,11 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_vector_codes": op13_vector_codes,
+}
+ORACLE_SQL = {
+    "op1_quality_rules": sql.OP1,
+    "op10_chat_format": sql.OP10,
+    "op12_exact_dedup": sql.OP12,
+    "op13_vector_codes": sql.OP13,
 }
-ORACLE_SQL = {"op1_quality_rules": sql.OP1, "op10_chat_format": sql.OP10, "op12_exact_dedup": sql.OP12}

@@ -69,3 +69,38 @@ SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER g AS group_s
 FROM d
 WINDOW g AS (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """
+
+
+def lloyd(rounds: int) -> str:
+    """Codebooks b0 to b<rounds> and assignments a1 to a<rounds + 1>, each part against every entry."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k + 1} AS MATERIALIZED (
+  SELECT r, part, min(struct_pack(d := d, e := entry)) AS best
+  FROM (SELECT x.r, x.part, b.entry, sum((x.val - b.val) * (x.val - b.val)) AS d FROM x JOIN b{k} b USING (part, pos) GROUP BY ALL)
+  GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""
+b{k + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, val) AS val
+  FROM b{k} LEFT JOIN (
+    SELECT part, best.e AS entry, pos, sum(val) AS s, count(*) AS n FROM x JOIN a{k + 1} USING (r, part) GROUP BY ALL) USING (part, entry, pos))""")
+    return ",".join(steps)
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT r, k * 4 // len(v) AS part, k % (len(v) // 4) AS pos, v[k + 1] AS val
+  FROM (SELECT r, v, unnest(range(len(v))) AS k FROM v)),
+b0 AS MATERIALIZED (SELECT part, r AS entry, pos, val FROM x WHERE r < 256),{lloyd(4)},
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+  FROM a5 JOIN v USING (r) GROUP BY r, vec_id, label),
+books AS (SELECT sha256(string_agg(val::BIGINT, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, books
+"""
