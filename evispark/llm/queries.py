@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.llm import chat_format, decontaminate, language_id, packing, pii, quality_classifier, secrets, sql, vector_codes
+from evispark.llm.divergence import divergences
 from evispark.llm.exact_dedup import exact_duplicates
 from evispark.llm.quality_rules import quality_rules
 from evispark.llm.simhash import near_duplicates
@@ -116,6 +117,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(documents(spark, sf_dir, "lang", "source"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -138,12 +143,14 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op11_source_divergence": op11_source_divergence,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL = {
     "op1_quality_rules": sql.OP1,
     "op10_chat_format": sql.OP10,
+    "op11_source_divergence": sql.OP11,
     "op12_exact_dedup": sql.OP12,
     "op13_vector_codes": sql.OP13,
 }
