@@ -3,7 +3,8 @@
 A call's target is the first entity whose name equals the called text or whose qualified name ends with a dot and
 that text. Which entity is first doesn't depend on the call, so candidates are reduced to one row per text before
 they meet the calls, and no range join is needed: a call that stands behind its candidate is resolved when it is
-met, one before it in a second pass, and one without a candidate names an external symbol.
+met, one before it in a second pass, and one without a candidate names an external symbol. The symbols that an ordered
+walk creates on its way are found without walking (see ``symbols``).
 
 A text that very many calls use meets one candidate row; the calls stand on the left of those joins, so adaptive
 execution splits their partition where it is skewed.
@@ -50,24 +51,15 @@ def resolve(calls: DataFrame, entities: DataFrame) -> DataFrame:
 def symbols(calls: DataFrame, entities: DataFrame) -> DataFrame:
     """(text, symbol_seq): the external symbols that calls create when they are met in order.
 
-    A symbol for ``a.b`` is itself a candidate for later calls of ``b``, so texts are settled by falling number of
-    dots: one round for each number that occurs.
+    A text is open if no entity stands at or before its first call. An open text becomes a symbol unless a longer one
+    that ends in it (``a.b`` ends in ``b``) became one before. Longer texts needn't be settled first for that: of the open texts
+    that end in a text, the one that is met first becomes a symbol, as no other could have come before it. So the first
+    symbol among them is met when the first open one is, and one join settles texts with any number of dots.
     """
     texts = calls.groupBy("text").agg(F.min("seq").alias("met")).join(candidates(entities).select("text", "first_seq"), "text", "left")
-    texts = cut_lineage(texts.withColumn("dots", F.char_length("text") - F.char_length(F.replace("text", F.lit("."), F.lit("")))))
-    levels = [r[0] for r in texts.select("dots").distinct().orderBy(F.desc("dots")).collect()]  # as many as dots in the longest text
-    made = None
-    for dots in levels:
-        level = texts.where(F.col("dots") == dots)
-        if made is not None:
-            longer = made.select(F.explode(dot_suffixes(F.col("text"))).alias("text"), "symbol_seq").groupBy("text").agg(F.min("symbol_seq").alias("longer"))
-            level = level.join(longer, "text", "left")
-        else:
-            level = level.withColumn("longer", F.lit(None).cast("bigint"))
-        new = level.where("(first_seq IS NULL OR met < first_seq) AND (longer IS NULL OR met < longer)")
-        new = new.select("text", F.col("met").alias("symbol_seq"))
-        made = new if made is None else made.unionByName(new)
-    return cut_lineage(made) if made is not None else texts.select("text", F.col("met").alias("symbol_seq"))
+    open_ = cut_lineage(texts.where("first_seq IS NULL OR met < first_seq").select("text", "met"))
+    longer = open_.select(F.explode(dot_suffixes(F.col("text"))).alias("text"), "met").groupBy("text").agg(F.min("met").alias("longer"))
+    return open_.join(longer, "text", "left").where("longer IS NULL OR met < longer").select("text", F.col("met").alias("symbol_seq"))
 
 
 def resolve_in_order(calls: DataFrame, entities: DataFrame) -> DataFrame:
@@ -77,7 +69,7 @@ def resolve_in_order(calls: DataFrame, entities: DataFrame) -> DataFrame:
     call of an owner overwrites its first; the forward pass rewrites only what is still unresolved, and what it
     rewrites is written last. ``target`` is the entity's id or 'external:' and the symbol's text.
     """
-    made = symbols(calls, entities)
+    made = cut_lineage(symbols(calls, entities))
     exact = made.select("text", F.col("symbol_seq").alias("own_seq"))
     reach = made.select(F.explode(F.array_distinct(F.concat(F.array("text"), dot_suffixes(F.col("text"))))).alias("text"), F.col("text").alias("symbol"), "symbol_seq")
     reach = reach.groupBy("text").agg(F.min_by("symbol", "symbol_seq").alias("symbol"), F.min("symbol_seq").alias("symbol_seq"))

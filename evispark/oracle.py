@@ -91,6 +91,31 @@ DOT_TEXTS = """texts AS (
     SELECT id, qualified_name, seq, array_to_string(list_slice(string_split(qualified_name, '.'), k, len(string_split(qualified_name, '.'))), '.')
     FROM (SELECT *, unnest(range(2, len(string_split(qualified_name, '.')) + 1)) AS k FROM lines)) WHERE text <> ''),
   cand AS (SELECT text, min(seq) AS first_seq, arg_min(id, seq) AS first_id, arg_min(qualified_name, seq) AS first_name FROM texts GROUP BY text)"""
+# An ordered walk: open texts are settled by falling length, each against the symbols made so far
+IN_ORDER = """ met AS (SELECT text, min(seq) AS met FROM lines WHERE text <> '' GROUP BY text),
+  opened AS MATERIALIZED (
+    SELECT text, met, row_number() OVER (ORDER BY len(string_split(text, '.')) DESC, text) AS k
+    FROM met LEFT JOIN cand USING (text) WHERE first_seq IS NULL OR met < first_seq),
+  levels AS (SELECT len(string_split(text, '.')) AS dots, list({'t': text, 'm': met}) AS texts FROM opened GROUP BY 1),
+  settled AS (
+    SELECT (SELECT coalesce(max(dots), 0) + 1 FROM levels) AS dots, []::STRUCT(t VARCHAR, m BIGINT)[] AS made
+    UNION ALL
+    SELECT s.dots - 1, made || list_filter(texts, lambda x: len(list_filter(made, lambda y: y.m <= x.m AND ends_with(y.t, '.' || x.t))) = 0)
+    FROM settled s LEFT JOIN levels l ON l.dots = s.dots - 1 WHERE s.dots > 1),
+  symbols AS (SELECT made.t AS text, made.m AS symbol_seq FROM (SELECT unnest(made) AS made FROM settled WHERE dots = 1)),
+  reach AS (
+    SELECT text, arg_min(symbol, symbol_seq) AS symbol, min(symbol_seq) AS symbol_seq FROM (
+      SELECT text, text AS symbol, symbol_seq FROM symbols
+      UNION ALL SELECT array_to_string(list_slice(string_split(text, '.'), k, len(string_split(text, '.'))), '.'), text, symbol_seq
+      FROM (SELECT *, unnest(range(2, len(string_split(text, '.')) + 1)) AS k FROM symbols)) GROUP BY text),
+  met_calls AS (
+    SELECT id AS owner, l.seq, l.text, s.symbol_seq IS NOT DISTINCT FROM l.seq AS creates, first_id, first_name,
+           CASE WHEN s.symbol_seq IS NOT DISTINCT FROM l.seq THEN 'external:' || l.text WHEN first_seq <= coalesce(r.symbol_seq, first_seq) THEN first_id ELSE 'external:' || symbol END AS target
+    FROM lines l LEFT JOIN cand USING (text) LEFT JOIN symbols s USING (text) LEFT JOIN reach r USING (text) WHERE l.text <> ''),
+  walked AS (
+    SELECT owner, CASE WHEN creates AND first_id IS NOT NULL THEN first_id ELSE target END AS target, CASE WHEN creates AND first_id IS NOT NULL THEN first_name ELSE text END AS target_name,
+           CASE WHEN creates AND first_id IS NULL THEN 'unresolved' ELSE 'internal' END AS resolution, seq
+    FROM met_calls)"""
 WITH_FILES = EVERY + """, ents_f AS (
   SELECT * FROM every_ent UNION ALL SELECT 'file:' || path, 'file', NULL, NULL, path, language, seq - 1099511627776 FROM files WHERE seq % 10 <> 0)"""
 SCORES = WITH_FILES + f""", scored AS (
@@ -190,6 +215,7 @@ ORACLE_SQL = {
     "reviewed_gate": "SELECT o_orderkey, o_orderkey % 3 = 2 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AS is_truth FROM orders",
     "call_resolution": f"""WITH {LINES}, {DOT_TEXTS} SELECT l.id AS owner, l.text, c.first_id AS target, CASE WHEN c.first_id IS NULL THEN 'unresolved' ELSE 'internal' END AS resolution,
         CASE WHEN c.first_id IS NULL THEN 'external' WHEN c.first_seq <= l.seq THEN 'visit' ELSE 'forward' END AS pass FROM lines l LEFT JOIN cand c ON l.text = c.text WHERE l.text <> ''""",
+    "call_resolution_in_order": f"WITH RECURSIVE {LINES}, {DOT_TEXTS}, {IN_ORDER} SELECT owner, target, target_name, resolution, seq FROM walked",
     "forward_calls": f"WITH {LINES}, {DOT_TEXTS} SELECT l.id AS owner, c.first_id AS target, c.first_name AS target_name FROM lines l JOIN cand c ON l.text = c.text WHERE c.first_seq > l.seq",
     "import_edges": f"""WITH {LINES} SELECT DISTINCT 'file:' || file_path AS source, 'external:' || {fnv('name')} AS target, file_path AS source_name, name AS target_name, 'external' AS resolution FROM lines WHERE name <> ''""",
     "incremental_replace": """SELECT user_id, event_id, event_type, value FROM events WHERE user_id % 7 <> 3

@@ -146,6 +146,21 @@ def test_ordered_walk_equals_brute_force(spark):
         assert got == walked(ents, sites)
 
 
+def test_texts_of_thirty_dots_are_settled_in_one_round(spark, monkeypatch):
+    rng, rounds = random.Random(3), []
+    cut = calls.cut_lineage
+    monkeypatch.setattr(calls, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    full = ".".join(rng.choice("abc") for _ in range(31))
+    names = [full[2 * k :] for k in range(31)] + [f"z.{full[2 * k :]}" for k in range(0, 31, 3)]
+    places = rng.sample(range(900), 240)
+    ents = [(f"e{p}", n := rng.choice(names), f"f.ts::{n}", "f.ts", p) for p in places[:12]]
+    sites = [(f"o{rng.randrange(9)}", rng.choice(names), p) for p in places[12:]]
+    table = spark.createDataFrame(ents, "id string, name string, qualified_name string, file_path string, seq long")
+    met = spark.createDataFrame([(o, "function", o, t, "f.ts", p) for o, t, p in sites], "owner string, owner_kind string, owner_name string, text string, file_path string, seq long")
+    got = {(r.owner, r.target, r.target_name, r.resolution) for r in calls.resolve_in_order(calls.calls_of(met), table).collect()}
+    assert got == walked(ents, sites) and len(rounds) == 2
+
+
 TREE = [
     # node, parent, type, text, start, row, name, function
     (1, None, "program", "...", 0, 0, None, None),
