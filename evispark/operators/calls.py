@@ -27,21 +27,34 @@ def calls_of(sites: DataFrame) -> DataFrame:
     return sites.where(F.col("text").isNotNull() & (F.col("text") != "") & ~F.col("owner_kind").isin(*SILENT_OWNERS))
 
 
-def candidates(entities: DataFrame) -> DataFrame:
-    """(text, first_id, first_name, first_seq): for every text the first entity (id, name, qualified_name, file_path, seq) that it can mean."""
+def postings(entities: DataFrame) -> DataFrame:
+    """(text, id, qualified_name, file_path, seq): every text that an entity (id, name, qualified_name, file_path, seq) can be called by."""
     texts = F.array_distinct(F.concat(F.array("name"), dot_suffixes(F.col("qualified_name"))))
-    rows = entities.where("file_path <> ''").select(F.explode(texts).alias("text"), "id", "qualified_name", "seq").where("text <> ''")
-    first = F.struct("id", "qualified_name")
-    held = rows.groupBy("text").agg(F.min_by(first, "seq").alias("v"), F.min("seq").alias("first_seq"))
+    return entities.where("file_path <> ''").select(F.explode(texts).alias("text"), "id", "qualified_name", "file_path", "seq").where("text <> ''")
+
+
+def first_of(known: DataFrame) -> DataFrame:
+    """(text, first_id, first_name, first_seq): the first entity of each text of postings."""
+    held = known.groupBy("text").agg(F.min_by(F.struct("id", "qualified_name"), "seq").alias("v"), F.min("seq").alias("first_seq"))
     return held.select("text", F.col("v.id").alias("first_id"), F.col("v.qualified_name").alias("first_name"), "first_seq")
 
 
+def candidates(entities: DataFrame) -> DataFrame:
+    """(text, first_id, first_name, first_seq): for every text the first entity that it can mean."""
+    return first_of(postings(entities))
+
+
 def resolve(calls: DataFrame, entities: DataFrame) -> DataFrame:
     """Strict resolution, one row per call: ``target`` (null if none), ``resolution`` and the ``pass`` that found it.
 
     pass: 'visit' for an entity at or before the call, 'forward' for a later one, null for an external symbol.
     """
-    joined = calls.join(candidates(entities), "text", "left")
+    return resolve_by(calls, candidates(entities))
+
+
+def resolve_by(calls: DataFrame, first: DataFrame) -> DataFrame:
+    """As resolve, by the candidates of the texts."""
+    joined = calls.join(first, "text", "left")
     found = F.col("first_id").isNotNull()
     passed = F.when(found, F.when(F.col("first_seq") <= F.col("seq"), "visit").otherwise("forward"))
     named = joined.withColumns({"target": F.col("first_id"), "target_name": F.coalesce("first_name", "text"), "resolution": F.when(found, "internal").otherwise("unresolved"), "pass": passed})

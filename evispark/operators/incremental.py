@@ -1,72 +1,72 @@
-"""Replacement of the evidence of changed files.
+"""What a change of some files changes elsewhere: calls kept resolved, and relations to resolve anew.
 
-A stored table is kept in buckets of its key's hash, so that a change rewrites the buckets of the keys that it names
-and no others. The new buckets are staged as a whole before they take the old ones' place: a replacement that was
-interrupted is finished from what it staged, and one that is run again changes nothing more. While buckets are
-swapped, a reader may see old and new ones side by side.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
-
-from evispark.session import exists, remove
-
-#: Buckets of a stored table, and files that a bucket's rows are dealt out to, so that a hot key isn't one task.
-BUCKETS, FILES = 256, 8
-BUCKET = "__bucket"
-
-
-def bucket_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+A store of four tables keeps the calls of a graph resolved (strictly, as ``calls.resolve`` does):
 
+* ``entities`` and ``calls`` by file, as the files declare them;
+* ``postings`` by text: every entity that a text can mean, so that the next one is known when the first goes;
+* ``resolved`` by text: the calls with their targets.
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows with their bucket, at most ``FILES`` tasks to a bucket. Columns of maps have no hash and aren't allowed."""
-    return rows.repartition(BUCKET, F.pmod(F.xxhash64(*[c for c in rows.columns if c != BUCKET]), F.lit(FILES)))
-
-
-def create(rows: DataFrame, folder: str, key: str) -> None:
-    """Stores a table below folder."""
-    dealt(rows.withColumn(BUCKET, bucket_of(key))).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{folder}/rows")
-
-
-def stored(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """A stored table with the bucket of each row; the schema is named, as a table may have no rows."""
-    return spark.read.schema(StructType([*schema.fields, StructField(BUCKET, IntegerType())])).parquet(folder)
-
-
-def current(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    return stored(spark, f"{folder}/rows", schema).drop(BUCKET)
+When files change, only the texts of their old and new entities can have another first candidate, and only calls of
+texts whose first candidate did change, whatever file they are in, are resolved anew. Both are found in the
+buckets of those texts. Afterwards ``resolved`` is what resolving everything would give.
+"""
 
+from __future__ import annotations
 
-def replace_stored(spark: SparkSession, folder: str, new: DataFrame, changed: DataFrame, key: str, number: int) -> None:
-    """Replaces the rows of changed keys in a stored table by those of ``new``. A number names a replacement; one that
-    has been staged is not computed again."""
-    staged, rows = f"{folder}/staged/{number}", f"{folder}/rows"
-    touched = [r[0] for r in changed.select(bucket_of(key).alias(BUCKET)).distinct().collect()]  # BUCKETS at most
-    if not exists(spark, f"{staged}/_SUCCESS"):
-        old = stored(spark, rows, new.schema).where(F.col(BUCKET).isin(touched))
-        made = replace_rows(old, new.withColumn(BUCKET, bucket_of(key)), changed, key)
-        dealt(made).write.mode("overwrite").partitionBy(BUCKET).parquet(staged)
-    made = stored(spark, staged, new.schema)
-    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(rows)
-    for bucket in touched:
-        if not exists(spark, f"{staged}/{BUCKET}={bucket}"):
-            remove(spark, f"{rows}/{BUCKET}={bucket}")
-    remove(spark, f"{folder}/staged/{number - 1}")
+from functools import reduce
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def replace_rows(old: DataFrame, new: DataFrame, changed: DataFrame, key: str) -> DataFrame:
-    """Old rows but those of changed keys, and the new rows of changed keys. A changed key without new rows is gone."""
-    keys = changed.select(key).distinct()
-    return old.join(keys, key, "left_anti").select(*old.columns).unionByName(new.join(keys, key, "left_semi").select(*old.columns))
+from evispark.operators.calls import first_of, postings, resolve_by
+from evispark.session import cut_lineage
+from evispark.sources import store
+
+ENTITY = ("id", "name", "qualified_name", "file_path", "seq")
+CALL = ("owner", "text", "file_path", "seq")
+
+
+def keep_resolved(entities: DataFrame, calls: DataFrame, folder: str, buckets: int = store.BUCKETS) -> store.Version:
+    """Stores entities and calls (``calls.calls_of``) with their resolution below folder."""
+    entities, calls = entities.select(*ENTITY), calls.select(*CALL)
+    known = postings(entities)
+    tables = {"entities": (entities, "file_path"), "calls": (calls, "file_path"), "postings": (known, "text"), "resolved": (resolve_by(calls, first_of(known)), "text")}
+    return store.create(tables, folder, buckets)
+
+
+def distinct_of(column: str, *tables: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [t.select(column) for t in tables]).distinct()
+
+
+def replace_files(spark: SparkSession, folder: str, changed: DataFrame, entities: DataFrame, calls: DataFrame, writer: str, number: int) -> DataFrame:
+    """Gives changed files (file_path) new entities and calls, none where they are gone. Returns the calls of other files
+    that were resolved anew; none if the writer's change of that number was made before."""
+    now = store.latest(spark, folder)
+    if now.applied.get(writer, -1) >= number:
+        return spark.createDataFrame([], now.schema("resolved"))
+    files = cut_lineage(changed.select("file_path").distinct())
+    entities, calls = (cut_lineage(t.select(*c).join(files, "file_path", "left_semi").select(*c)) for t, c in ((entities, ENTITY), (calls, CALL)))
+    made, gone = cut_lineage(postings(entities)), cut_lineage(postings(now.of_keys("entities", files)))
+    declared = cut_lineage(distinct_of("text", made, gone))
+    called = cut_lineage(distinct_of("text", calls, now.of_keys("calls", files)))
+    held = cut_lineage(now.of_keys("postings", distinct_of("text", declared, called)))
+    after = held.join(files, "file_path", "left_anti").select(*held.columns).unionByName(made)
+    mark = F.struct("first_id", "first_name", "first_seq")
+    before, then = first_of(held).select("text", mark.alias("was")), first_of(after).select("text", mark.alias("is"))
+    moved = declared.join(before, "text", "left").join(then, "text", "left").where(~F.col("was").eqNullSafe(F.col("is")))
+    moved = cut_lineage(moved.select("text"))
+    touched = distinct_of("text", moved, called)
+    stays = now.of_keys("resolved", touched).join(files, "file_path", "left_anti")
+    again = stays.join(moved, "text", "left_semi").select(*CALL)
+    renewed = cut_lineage(resolve_by(again.withColumn("own", F.lit(False)).unionByName(calls.withColumn("own", F.lit(True))), first_of(after)))
+    resolved = stays.join(moved, "text", "left_anti").unionByName(renewed.drop("own"))
+    rewritten = {"entities": (entities, files), "calls": (calls, files), "postings": (after.join(declared, "text", "left_semi"), declared), "resolved": (resolved, touched)}
+    store.change(spark, folder, rewritten, writer, number)
+    return renewed.where("NOT own").select(*now.schema("resolved").names)
 
 
 def affected_relations(relations: DataFrame, entities: DataFrame, changed: DataFrame) -> DataFrame:
-    """Relations of other files that point to or from entities of changed files, and so have to be resolved anew."""
+    """Relations of other files that point to or from entities of changed files, and so may have to be resolved anew."""
     ids = entities.join(changed.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select("id").distinct()
     outside = relations.join(changed.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti")
     hit = outside.select("kind", "source", "target", F.explode(F.array("source", "target")).alias("id")).join(ids, "id", "left_semi")

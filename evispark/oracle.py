@@ -91,6 +91,18 @@ DOT_TEXTS = """texts AS (
     SELECT id, qualified_name, seq, array_to_string(list_slice(string_split(qualified_name, '.'), k, len(string_split(qualified_name, '.'))), '.')
     FROM (SELECT *, unnest(range(2, len(string_split(qualified_name, '.')) + 1)) AS k FROM lines)) WHERE text <> ''),
   cand AS (SELECT text, min(seq) AS first_seq, arg_min(id, seq) AS first_id, arg_min(qualified_name, seq) AS first_name FROM texts GROUP BY text)"""
+# The lines after a change: words of files that aren't indexed swapped, those of one source gone
+NEXT = """ next_lines AS (
+    SELECT id, seq, file_path, name, text, qualified_name FROM lines WHERE file_path IN (SELECT path FROM dfiles WHERE is_indexed)
+    UNION ALL SELECT id, seq, file_path, text, name, file_path || '::' || text FROM lines
+    WHERE file_path IN (SELECT path FROM dfiles WHERE NOT is_indexed) AND NOT starts_with(file_path, 'src0/')),
+  next_texts AS (
+    SELECT DISTINCT id, qualified_name, seq, text FROM (
+      SELECT id, qualified_name, seq, name AS text FROM next_lines
+      UNION ALL
+      SELECT id, qualified_name, seq, array_to_string(list_slice(string_split(qualified_name, '.'), k, len(string_split(qualified_name, '.'))), '.')
+      FROM (SELECT *, unnest(range(2, len(string_split(qualified_name, '.')) + 1)) AS k FROM next_lines)) WHERE text <> ''),
+  next_cand AS (SELECT text, min(seq) AS first_seq, arg_min(id, seq) AS first_id, arg_min(qualified_name, seq) AS first_name FROM next_texts GROUP BY text)"""
 # An ordered walk: open texts are settled by falling length, each against the symbols made so far
 IN_ORDER = """ met AS (SELECT text, min(seq) AS met FROM lines WHERE text <> '' GROUP BY text),
   opened AS MATERIALIZED (
@@ -216,6 +228,12 @@ ORACLE_SQL = {
     "call_resolution": f"""WITH {LINES}, {DOT_TEXTS} SELECT l.id AS owner, l.text, c.first_id AS target, CASE WHEN c.first_id IS NULL THEN 'unresolved' ELSE 'internal' END AS resolution,
         CASE WHEN c.first_id IS NULL THEN 'external' WHEN c.first_seq <= l.seq THEN 'visit' ELSE 'forward' END AS pass FROM lines l LEFT JOIN cand c ON l.text = c.text WHERE l.text <> ''""",
     "call_resolution_in_order": f"WITH RECURSIVE {LINES}, {DOT_TEXTS}, {IN_ORDER} SELECT owner, target, target_name, resolution, seq FROM walked",
+    "calls_after_change": f"""WITH {LINES}, {NEXT} SELECT l.id AS owner, l.text, c.first_id AS target, coalesce(c.first_name, l.text) AS target_name,
+        CASE WHEN c.first_id IS NULL THEN 'unresolved' ELSE 'internal' END AS resolution, CASE WHEN c.first_id IS NULL THEN 'external' WHEN c.first_seq <= l.seq THEN 'visit' ELSE 'forward' END AS pass
+      FROM next_lines l LEFT JOIN next_cand c ON l.text = c.text WHERE l.text <> ''""",
+    "calls_resolved_anew": f"""WITH {LINES}, {DOT_TEXTS}, {NEXT} SELECT l.id AS owner, l.text, n.first_id AS target, CASE WHEN n.first_id IS NULL THEN 'unresolved' ELSE 'internal' END AS resolution
+      FROM lines l LEFT JOIN cand c ON l.text = c.text LEFT JOIN next_cand n ON l.text = n.text
+      WHERE l.text <> '' AND l.file_path IN (SELECT path FROM dfiles WHERE is_indexed) AND (c.first_id, c.first_name, c.first_seq) IS DISTINCT FROM (n.first_id, n.first_name, n.first_seq)""",
     "forward_calls": f"WITH {LINES}, {DOT_TEXTS} SELECT l.id AS owner, c.first_id AS target, c.first_name AS target_name FROM lines l JOIN cand c ON l.text = c.text WHERE c.first_seq > l.seq",
     "import_edges": f"""WITH {LINES} SELECT DISTINCT 'file:' || file_path AS source, 'external:' || {fnv('name')} AS target, file_path AS source_name, name AS target_name, 'external' AS resolution FROM lines WHERE name <> ''""",
     "incremental_replace": """SELECT user_id, event_id, event_type, value FROM events WHERE user_id % 7 <> 3

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from evispark.functions.keyed import upper_median
 from evispark.functions.scalars import language_of
-from evispark.operators import diagnostics, graph, incremental, metrics, sampling, structure, summary, syntax
+from evispark.operators import diagnostics, graph, metrics, sampling, structure, summary, syntax
 from evispark.operators.metrics import Tables
 from evispark.plans.config import Config, Repository
 from evispark.schema import AST_NODES, FILES, MANIFESTS, SCHEMA_VERSION, UI_LANGUAGE, UNREVIEWED_SEED, conform
-from evispark.session import exists, located, remove
+from evispark.session import exists, read_text, remove, write_text
+from evispark.sources import store
 from evispark.sources.json5 import read_manifests
 
 log = logging.getLogger(__name__)
@@ -38,10 +39,7 @@ def write_json(path: str, value) -> None:
     """Writes a small document wherever Spark can write; on this machine as a plain file that people may edit."""
     text = json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n"
     if "://" in path:
-        system, at = located(SparkSession.active(), path)
-        out = system.create(at, True)
-        out.write(bytearray(text.encode()))
-        out.close()
+        write_text(SparkSession.active(), path, text)
         return
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w", encoding="utf8") as f:
@@ -52,7 +50,7 @@ def read_json(path: str):
     """None where there is no such file; a broken one raises."""
     if "://" in path:
         spark = SparkSession.active()
-        return json.loads(spark.read.text(path, wholetext=True).first()[0]) if exists(spark, path) else None
+        return json.loads(read_text(spark, path)) if exists(spark, path) else None
     if not os.path.exists(path):
         return None
     with open(path, encoding="utf8") as f:
@@ -115,20 +113,18 @@ def measure_replacement(spark: SparkSession, tables: Tables, folder: str, trials
         raise ValueError("no indexed file to measure with")
     changed = spark.createDataFrame(first, "file_path string")
     kept = {"entities": tables.entities, "relations": tables.relations}
-    for name, rows in kept.items():
-        incremental.create(rows, f"{folder}/{name}", "file_path")
+    store.create({name: (rows, "file_path") for name, rows in kept.items()}, folder)
     before = {name: rows.join(changed, "file_path", "left_semi").select(*rows.columns).persist() for name, rows in kept.items()}
     grown = {**before, "entities": before["entities"].withColumn("end_line", F.col("end_line") + 1)}
+    put = lambda held, number: store.change(spark, folder, {name: (rows, changed) for name, rows in held.items()}, "trial", number)
     samples = []
     try:
         for trial in range(trials):
             began = time.perf_counter()
             with Timeout(spark, timeout_ms / 1000):
-                for name, rows in grown.items():
-                    incremental.replace_stored(spark, f"{folder}/{name}", rows, changed, "file_path", 2 * trial)
+                put(grown, 2 * trial)
             samples.append((time.perf_counter() - began) * 1000)
-            for name, rows in before.items():
-                incremental.replace_stored(spark, f"{folder}/{name}", rows, changed, "file_path", 2 * trial + 1)
+            put(before, 2 * trial + 1)
     finally:
         for rows in before.values():
             rows.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from evispark import fixtures
 from evispark.functions import keyed, scalars
 from evispark.operators import calls, diagnostics, graph, incremental, metrics, sampling, structure, summary
 from evispark.schema import ENTITIES, RELATIONS, conform
-from evispark.session import table
+from evispark.session import cut_lineage, remove, shared_dir, table
 from evispark.sources import files as file_source
+from evispark.sources import store
 
 SEED, SAMPLE = "review-v1", 30
 
@@ -342,7 +345,7 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir)
     new = rows.where("event_id % 2 = 0").withColumns({"event_id": F.col("event_id") + 1_000_000, "value": F.col("value") * 2})
-    return incremental.replace_rows(rows, new, rows.where("user_id % 7 = 3").select("user_id"), "user_id")
+    return store.replace_rows(rows, new, rows.where("user_id % 7 = 3").select("user_id"), "user_id")
 
 
 def project_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,6 +406,38 @@ def affected_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.affected_relations(made.distinct(), fixtures.doc_lines(spark, sf_dir).select("id", "file_path"), changed)
 
 
+def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next version of the lines of files that aren't indexed: first and second words have changed places, and those
+    of one source are gone."""
+    lines = fixtures.doc_lines(spark, sf_dir).where("NOT startswith(file_path, 'src0/')")
+    changed = lines.join(fixtures.doc_files(spark, sf_dir).where("NOT is_indexed").select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    swapped = changed.withColumns({"name": F.col("text"), "text": F.col("name")})
+    return swapped.withColumn("qualified_name", F.concat("file_path", F.lit("::"), "name"))
+
+
+def line_calls(lines: DataFrame) -> DataFrame:
+    return calls.calls_of(lines.select(F.col("id").alias("owner"), F.lit("function").alias("owner_kind"), "text", "file_path", "seq"))
+
+
+def changed_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(calls, calls of other files that were resolved anew) after a store of all lines took up the changed ones."""
+    lines, new, folder = fixtures.doc_lines(spark, sf_dir), changed_lines(spark, sf_dir), f"{shared_dir(spark)}/calls-{uuid.uuid4()}"
+    incremental.keep_resolved(lines, line_calls(lines), folder, buckets=16)
+    changed = fixtures.doc_files(spark, sf_dir).where("NOT is_indexed").select(F.col("path").alias("file_path"))
+    again = incremental.replace_files(spark, folder, changed, new, line_calls(new), "query", 0)
+    held = cut_lineage(store.latest(spark, folder).read("resolved"))
+    remove(spark, folder)
+    return held, again
+
+
+def calls_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changed_store(spark, sf_dir)[0].select("owner", "text", "target", "target_name", "resolution", F.coalesce("pass", F.lit("external")).alias("pass"))
+
+
+def calls_resolved_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changed_store(spark, sf_dir)[1].select("owner", "text", "target", "resolution")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -412,6 +447,6 @@ QUERIES = {
         count_entities_by_kind, count_relations_by_kind, count_relations_by_resolution, summary_by_language, acceptance, upper_median,
         last_write_wins, first_write_wins, first_match, sample_scores, sample_strata, sample_select, sample_reasons, review_seed_entities, review_seed_relations,
         reviewed_gate, call_resolution, forward_calls, call_resolution_in_order, import_edges, incremental_replace, project_structure,
-        graph_build_entities, graph_build_relations, entry_paths, speaking_owners, figures_without_truth, profile_modules, affected_relations,
+        graph_build_entities, graph_build_relations, entry_paths, speaking_owners, figures_without_truth, profile_modules, affected_relations, calls_after_change, calls_resolved_anew,
     )
 }

@@ -85,3 +85,34 @@ def remove(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     system, at = located(spark, path)
     return system.exists(at)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder wherever Spark can read; none where there is no such folder."""
+    system, at = located(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small document wherever Spark can write."""
+    system, at = located(spark, path)
+    out = system.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small document."""
+    system, at = located(spark, path)
+    stream = system.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Gives a file the name target, unless there is one of that name; whether it has."""
+    system, at = located(spark, source)
+    to = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return not system.exists(to) and system.rename(at, to)

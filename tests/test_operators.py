@@ -6,9 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 from evispark.functions import keyed, scalars
-from evispark.operators import calls, diagnostics, graph, incremental, metrics, sampling, structure, syntax
+from evispark.operators import calls, diagnostics, graph, metrics, sampling, structure, syntax
 from evispark.schema import AST_NODES, ENTITIES, FILES, RELATIONS, conform
-from evispark.sources import files, json5
+from evispark.sources import files, json5, store
 
 
 def one(spark, column):
@@ -238,7 +238,7 @@ def test_incremental_replacement(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "file_path string, v int")
     new = spark.createDataFrame([("a", 10), ("a", 11), ("c", 30)], "file_path string, v int")
     changed = spark.createDataFrame([("a",), ("b",)], "file_path string")
-    assert sorted(map(tuple, incremental.replace_rows(old, new, changed, "file_path").collect())) == [("a", 10), ("a", 11), ("c", 3)]
+    assert sorted(map(tuple, store.replace_rows(old, new, changed, "file_path").collect())) == [("a", 10), ("a", 11), ("c", 3)]
 
 
 def test_paths_that_share_a_label_are_told_apart(spark, monkeypatch):

@@ -1,14 +1,11 @@
-"""The commands over a small repository, and the stream of changes."""
+"""The commands over a small repository."""
 
 import json
 
 import pytest
 
-from evispark.operators import incremental
 from evispark.plans import config, run
 from evispark.schema import AST_NODES, FILES
-from evispark.session import remove
-from evispark.streaming import changes
 from tests.test_operators import TREE
 
 NODES = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, decorators array<string>, seq long"
@@ -66,40 +63,6 @@ def test_config_is_checked(tmp_path):
             config.load(str(tmp_path / "c.json"))
 
 
-def test_stream_of_changes(spark, tmp_path):
-    kind = "file_path string, id string, v int"
-    others = [(f"o{k}", f"x{k}", k) for k in range(50)]
-    held = spark.createDataFrame([("a", "a1", 1), ("b", "b1", 2), *others], kind)
-    incremental.create(held, f"{tmp_path}/t", "file_path")
-    spark.createDataFrame([("a", "a2", 5), ("a", "a3", 6), ("b", None, None)], kind).coalesce(1).write.parquet(f"{tmp_path}/in")
-    query = changes.start(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/check")
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(map(tuple, incremental.current(spark, f"{tmp_path}/t", held.schema).collect())) == sorted([("a", "a2", 5), ("a", "a3", 6), *others])
-
-
-def test_replacement_rewrites_the_touched_buckets_and_can_be_resumed(spark, tmp_path):
-    kind, at = "file_path string, id string", f"{tmp_path}/t"
-    held = spark.createDataFrame([(f"f{k}", f"x{k}") for k in range(40)], kind)
-    incremental.create(held, at, "file_path")
-    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "rows").rglob("*.parquet")}
-    rows = lambda: sorted(map(tuple, incremental.current(spark, at, held.schema).collect()))
-    before, new = files(), spark.createDataFrame([("f3", "y"), ("f39", "z"), ("f7", "not changed")], kind)
-    changed = spark.createDataFrame([("f3",), ("f39",), ("f5",)], "file_path string")
-    want = sorted([(f"f{k}", f"x{k}") for k in range(40) if k not in (3, 5, 39)] + [("f3", "y"), ("f39", "z")])
-    incremental.replace_stored(spark, at, new, changed, "file_path", 0)
-    assert rows() == want and sum(files().get(p) == t for p, t in before.items()) >= 30
-    incremental.replace_stored(spark, at, new, changed, "file_path", 0)
-    assert rows() == want
-    for p in (tmp_path / "t" / "rows").rglob("*.parquet"):  # a swap that was interrupted: a touched bucket is gone
-        if spark.read.parquet(str(p)).where("file_path = 'f3'").count():
-            remove(spark, str(p))
-    incremental.replace_stored(spark, at, new, changed, "file_path", 0)
-    assert rows() == want
-    incremental.replace_stored(spark, at, held.limit(0), held.select("file_path"), "file_path", 1)
-    assert rows() == []
-
-
 def test_json_behind_a_file_system(spark, tmp_path):
     at = f"file://{tmp_path}/deep/x.json"
     assert run.read_json(at) is None
