@@ -35,6 +35,8 @@ LEAST, TOP, SHARE = 3, 200, 1_000_000_000
 HELD, CHUNK = 500_000, 1 << 20
 #: Groups whose numbers are broadcast (some 60 bytes each); more are joined by exchange, but for the hot ones.
 FEW = 100_000
+#: Shares of a group's terms that are ranked apart first.
+SHARES = 32
 #: Bytes of terms stay, those of A-Z as a-z; all others part terms.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -163,8 +165,9 @@ def term_rows(vectors: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """(lang, source, item, value, rank): the terms that a source has more of than its language, the first by difference."""
     more = vectors.select("lang", "term", "q", F.explode(F.expr("filter(slots, s -> s.p > q)")).alias("s"))
     rows = more.selectExpr("lang", "s.slot AS slot", "term AS item", f"{apart('s.p', 'q')} AS value")
-    # Spark ranks within each task first, so that a group's last task gets top rows of each at most
-    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slot").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
+    ranked = lambda held, *keys: held.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
+    first = ranked(rows.withColumn("share", F.pmod(F.xxhash64("item"), F.lit(SHARES))), "lang", "slot", "share")
+    best = ranked(first.select("lang", "slot", "item", "value"), "lang", "slot")
     return best.join(groups.select("lang", "slot", "source"), ["lang", "slot"]).select("lang", "source", "item", "value", "rank")
 
 
