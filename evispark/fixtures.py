@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evispark.operators.metrics import Tables
 from evispark.schema import ENTITIES, FILES, RELATIONS, conform
 from evispark.session import table
+from evispark.sources.parsers import Markup, parsed
 
 KIND_OF_PRIORITY = {"1-URGENT": "component", "2-HIGH": "class", "3-MEDIUM": "function", "5-LOW": "method", "4-NOT SPECIFIED": "property"}
 KIND_OF_FLAG = {"R": "references", "A": "calls", "N": "imports"}
@@ -85,3 +86,21 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, called = F.lower(F.coalesce(F.get(words, F.lit(0)), F.lit(""))), F.lower(F.coalesce(F.get(words, F.lit(1)), F.lit("")))
     seq = F.col("doc_id") * 1_000_000 + F.col("line")
     return lines.select(F.concat(F.lit("line:"), seq.cast("string")).alias("id"), name.alias("name"), F.concat("file_path", F.lit("::"), name).alias("qualified_name"), "file_path", "language", called.alias("text"), seq.alias("seq"))
+
+
+class Pages(Markup):
+    """Pages as sources: navigation is a namespace whose links call what their first word names, the article is a struct with
+    the advertisement before it as its decorator, its headline a method and the footer a function."""
+
+    types = {"nav": "namespace_declaration", "article": "struct_declaration", "h1": "method_definition", "footer": "function_declaration", "a": "call_expression", "div": "decorator"}
+    named, calling = ("h1", "footer"), ("a",)
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content, seq): a file for each page."""
+    path = F.concat(F.col("page_id").cast("string"), F.lit("/"), F.col("url"))
+    return table(spark, sf_dir, "pages").select(path.alias("path"), F.col("html").alias("content"), F.col("page_id").alias("seq"))
+
+
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(page_files(spark, sf_dir), Pages)

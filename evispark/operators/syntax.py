@@ -1,16 +1,21 @@
 """Entities, containment, imports and calls from parsed syntax trees.
 
-Input is a table of named nodes in preorder (``schema.AST_NODES``), as any parser writes it. A node's owner is its
-nearest classified ancestor, found by pointer doubling: as many rounds as the logarithm of the deepest chain of
-unclassified nodes, each a join within files.
+Input is a table of named nodes in preorder (``schema.AST_NODES``), as any parser writes it. A tree's nodes are nested
+intervals of that order, so one scan of a file's sorted nodes with a stack of the open ones gives every node its owner,
+the nearest classified ancestor, and its decorators. A task holds the open nodes only, as many as a tree is deep, and
+passes on those that declare or call something.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from evispark.functions.scalars import basename, import_name, relation_id
 from evispark.operators.calls import calls_of, resolve, resolve_in_order
@@ -32,23 +37,71 @@ def is_decorator(kind: Column) -> Column:
     return F.contains(kind, F.lit("decorator"))
 
 
-def with_decorators(nodes: DataFrame) -> DataFrame:
-    """Adds ``decorators`` to every node: those right before it among its siblings, then those among its children; null if none.
-
-    Siblings between two other nodes share the number of other nodes before them, which is the key of the join.
-    """
-    siblings = Window.partitionBy("file_path", "parent_id").orderBy("preorder").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    other = (~is_decorator(F.col("type"))).cast("int")
-    placed = nodes.withColumn("__gap", F.sum(other).over(siblings) - other)
-    marks = placed.where(is_decorator(F.col("type"))).select("file_path", "parent_id", F.col("__gap"), "preorder", F.regexp_replace("text", "^@", "").alias("mark"))
-    listed = lambda *keys: marks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("preorder", "mark"))).alias("m"))
-    before = listed("file_path", "parent_id", "__gap").withColumnRenamed("m", "__before")
-    inside = listed("file_path", "parent_id").select("file_path", F.col("parent_id").alias("node_id"), F.col("m").alias("__inside"))
-    joined = placed.join(before, (placed.file_path == before.file_path) & placed.parent_id.eqNullSafe(before.parent_id) & (placed["__gap"] == before["__gap"]), "left").select(placed["*"], "__before")
-    joined = joined.join(inside, ["file_path", "node_id"], "left")
-    names = lambda c: F.transform(F.coalesce(F.when(~is_decorator(F.col("type")), F.col(c)) if c == "__before" else F.col(c), F.array()), lambda x: x["mark"])
-    both = F.concat(names("__before"), names("__inside"))
-    return joined.withColumn("decorators", F.when(F.size(both) > 0, both)).select(*nodes.columns, "decorators")
+@dataclass
+class Open:
+    """A node whose end hasn't been met: who owns what is in it, its row if that is wanted, the decorators right before it,
+    those among its children, and those since its last child that is none."""
+
+    node: int | None
+    owner: int | None
+    row: dict | None = None
+    before: list[str] = field(default_factory=list)
+    inside: list[str] = field(default_factory=list)
+    run: list[str] = field(default_factory=list)
+
+
+def scanned(schema: pa.Schema):
+    """Over nodes sorted by file and preorder, with ``__mark`` (a decorator's text), ``__declares`` and ``__wanted``: the wanted
+    nodes, each at its end, with ``owner_node`` and ``decorators`` (null if none). A node whose parent isn't open stands at the
+    top of its file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, stack, out = None, [], []
+
+        def close() -> None:
+            done = stack.pop()
+            if done.row is not None:
+                out.append(done.row | {"decorators": done.before + done.inside or None})
+
+        for batch in batches:
+            rows = iter(batch.filter(batch.column("__wanted")).select(schema.names[:-2]).to_pylist())
+            columns = (batch.column(c).to_pylist() for c in ("file_path", "node_id", "parent_id", "__mark", "__declares", "__wanted"))
+            for path, node, parent, mark, declares, wanted in zip(*columns):
+                if path != file or not stack:
+                    while stack:
+                        close()
+                    file, stack = path, [Open(None, None)]
+                while len(stack) > 1 and stack[-1].node != parent:
+                    close()
+                above = stack[-1]
+                own = Open(node, node if declares else above.owner, next(rows) | {"owner_node": above.owner} if wanted else None)
+                if mark is not None:
+                    above.inside.append(mark)
+                    above.run.append(mark)
+                else:
+                    own.before, above.run = above.run, []
+                stack.append(own)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out.clear()
+        while stack:
+            close()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return run
+
+
+def walked(nodes: DataFrame) -> DataFrame:
+    """The nodes that declare or call something, with ``owner_node`` (null where that is the file) and ``decorators``: those
+    right before a node among its siblings, then those among its children."""
+    declares, calls = F.col("type").isin(*KINDS), F.col("type").isin(*CALLS)
+    mark = F.when(is_decorator(F.col("type")), F.regexp_replace("text", "^@", ""))
+    marked = nodes.withColumns({"__mark": mark, "__declares": declares, "__wanted": declares | calls})
+    slim = marked.withColumn("text", F.when(F.col("__wanted"), F.col("text")))
+    ordered = slim.repartition("file_path").sortWithinPartitions("file_path", "preorder")
+    kind = StructType(nodes.schema.fields).add("owner_node", LongType()).add("decorators", ArrayType(StringType()))
+    return ordered.mapInArrow(scanned(to_arrow_schema(kind)), kind)
 
 
 def classified(nodes: DataFrame) -> DataFrame:
@@ -59,21 +112,6 @@ def classified(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("kind", F.when(component, "component").otherwise(F.try_element_at(table, F.col("type"))))
 
 
-def with_owner(nodes: DataFrame) -> DataFrame:
-    """Adds ``owner_node``: the nearest classified ancestor, or null where that is the file."""
-    own = nodes.select("file_path", "node_id", "parent_id", F.col("kind").isNotNull().alias("named"))
-    parents = own.select("file_path", F.col("node_id").alias("at"), "named", F.col("parent_id").alias("above"))
-    # (node, at, done): at is the ancestor reached so far; done once it is classified or there is none
-    state = own.select("file_path", "node_id", F.col("parent_id").alias("at")).join(parents, ["file_path", "at"], "left")
-    state = state.select("file_path", "node_id", "at", (F.col("at").isNull() | F.coalesce("named", F.lit(True))).alias("done"))
-    state = cut_lineage(state)
-    while state.where("NOT done").limit(1).count():
-        step = state.select("file_path", F.col("node_id").alias("at"), F.col("at").alias("next"), F.col("done").alias("next_done"))
-        moved = state.where("NOT done").join(step, ["file_path", "at"]).select("file_path", "node_id", F.col("next").alias("at"), F.col("next_done").alias("done"))
-        state = cut_lineage(state.where("done").unionByName(moved))
-    return nodes.join(state.select("file_path", "node_id", F.col("at").alias("owner_node")), ["file_path", "node_id"], "left")
-
-
 @dataclass(frozen=True)
 class Extraction:
     """An extraction's tables."""
@@ -98,7 +136,7 @@ def extract(nodes: DataFrame, files: DataFrame, provenance: str = "syntax", in_o
     """
     numbered = nodes.join(files.select(F.col("path").alias("file_path"), F.col("seq").alias("__file")), "file_path")
     numbered = numbered.withColumn("seq", F.col("__file") * (1 << 32) + F.col("preorder") + 1)
-    owned = cut_lineage(with_owner(classified(with_decorators(numbered))))
+    owned = cut_lineage(classified(walked(numbered)))
     kept = owned.where("kind IS NOT NULL")
     name = F.coalesce("name_text", import_name(F.col("text")), F.concat(F.lit("<anonymous@"), (F.col("start_row") + 1).cast("string"), F.lit(">")))
     named = kept.withColumns({"name": name, "id": F.concat_ws(":", "file_path", "start_index", "kind")})

@@ -91,6 +91,36 @@ DOT_TEXTS = """texts AS (
     SELECT id, qualified_name, seq, array_to_string(list_slice(string_split(qualified_name, '.'), k, len(string_split(qualified_name, '.'))), '.')
     FROM (SELECT *, unnest(range(2, len(string_split(qualified_name, '.')) + 1)) AS k FROM lines)) WHERE text <> ''),
   cand AS (SELECT text, min(seq) AS first_seq, arg_min(id, seq) AS first_id, arg_min(qualified_name, seq) AS first_name FROM texts GROUP BY text)"""
+# What pages declare: places are numbers of characters, rows numbers of line feeds
+PAGES = r"""pages_ AS (
+    SELECT page_id, page_id || '/' || url AS path, html FROM pages WHERE html IS NOT NULL),
+  declared AS (
+    SELECT *, strpos(html, '<' || tag || '>') - 1 AS start, CASE WHEN strpos(html, '</' || tag || '>') > 0 THEN strpos(html, '</' || tag || '>') + len(tag) + 2 ELSE len(html) END AS stop
+    FROM pages_, (VALUES ('nav', 'namespace', 'namespace_declaration'), ('article', 'struct', 'struct_declaration'), ('h1', 'method', 'method_definition'), ('footer', 'function', 'function_declaration')) AS t(tag, kind, native_kind)
+    WHERE strpos(html, '<' || tag || '>') > 0),
+  rows_ AS (
+    SELECT *, len(string_split(substr(html, 1, start), chr(10))) AS start_line, len(string_split(substr(html, 1, stop), chr(10))) AS end_line,
+           nullif(regexp_extract(substr(html, start + 1), '^<(h1|footer)>([^\s<]+)', 2), '') AS word
+    FROM declared),
+  own AS (
+    SELECT page_id, path, html, kind, native_kind, tag, start, stop, start_line, end_line, path || ':' || start || ':' || kind AS id, coalesce(word, '<anonymous@' || start_line || '>') AS name
+    FROM rows_),
+  owned AS (
+    SELECT o.*, a.id AS owner, o.path || '::' || CASE WHEN o.tag = 'h1' THEN a.name || '.' ELSE '' END || o.name AS qualified_name, a.path || '::' || a.name AS owner_name
+    FROM own o LEFT JOIN own a ON a.page_id = o.page_id AND a.tag = 'article' AND o.tag = 'h1'),
+  every_page AS (
+    SELECT id, kind, native_kind, name, qualified_name, path AS file_path, start_line, end_line, page_id * 4294967296 + start + 1 AS seq FROM owned
+    UNION ALL SELECT 'file:' || path, 'file', NULL, string_split(path, '/')[-1], path, path, 1, 1, page_id FROM pages_)"""
+PAGE_CALLS = PAGES + r""", sites AS (
+    SELECT id AS owner, path || '::' || name AS owner_name, unnest(regexp_extract_all(substr(html, start + 1, stop - start), '<a [^>]*>([^\s<]+)', 1)) AS text,
+           page_id * 4294967296 + start + 2 AS seq
+    FROM own WHERE tag = 'nav'),
+  texts AS (
+    SELECT DISTINCT id, qualified_name, seq, text FROM (
+      SELECT id, qualified_name, seq, name AS text FROM every_page
+      UNION ALL SELECT id, qualified_name, seq, array_to_string(list_slice(string_split(qualified_name, '.'), k, len(string_split(qualified_name, '.'))), '.')
+      FROM (SELECT *, unnest(range(2, len(string_split(qualified_name, '.')) + 1)) AS k FROM every_page)) WHERE text <> ''),
+  cand AS (SELECT text, min(seq) AS first_seq, arg_min(id, seq) AS first_id, arg_min(qualified_name, seq) AS first_name FROM texts GROUP BY text)"""
 # The lines after a change: words of files that aren't indexed swapped, those of one source gone
 NEXT = """ next_lines AS (
     SELECT id, seq, file_path, name, text, qualified_name FROM lines WHERE file_path IN (SELECT path FROM dfiles WHERE is_indexed)
@@ -234,6 +264,16 @@ ORACLE_SQL = {
     "calls_resolved_anew": f"""WITH {LINES}, {DOT_TEXTS}, {NEXT} SELECT l.id AS owner, l.text, n.first_id AS target, CASE WHEN n.first_id IS NULL THEN 'unresolved' ELSE 'internal' END AS resolution
       FROM lines l LEFT JOIN cand c ON l.text = c.text LEFT JOIN next_cand n ON l.text = n.text
       WHERE l.text <> '' AND l.file_path IN (SELECT path FROM dfiles WHERE is_indexed) AND (c.first_id, c.first_name, c.first_seq) IS DISTINCT FROM (n.first_id, n.first_name, n.first_seq)""",
+    "page_entities": f"WITH {PAGES} SELECT id, kind, native_kind, name, qualified_name, file_path, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line FROM every_page",
+    "page_owners": f"""WITH {PAGES} SELECT coalesce(owner, 'file:' || path) AS source, id AS target, CASE WHEN owner IS NULL THEN path ELSE owner_name END AS source_name,
+        qualified_name AS target_name, path AS file_path FROM owned""",
+    "page_decorators": f"""WITH {PAGES} SELECT id, regexp_extract(substr(html, 1, start), '<div[^>]*>[^<]*</div>$') AS decorators FROM own WHERE tag = 'article' AND regexp_matches(substr(html, 1, start), '<div[^>]*>[^<]*</div>$')""",
+    "page_calls": f"""WITH {PAGE_CALLS} SELECT owner AS source, coalesce(first_id, 'external:' || s.text) AS target, owner_name AS source_name, coalesce(first_name, s.text) AS target_name,
+        CASE WHEN first_id IS NULL THEN 'unresolved' ELSE 'internal' END AS resolution FROM sites s LEFT JOIN cand c ON s.text = c.text""",
+    "page_node_types": """WITH tags AS (
+        SELECT unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<(script|style)[^>]*>).*?(</(script|style)>)', '\\1', 'gs'), '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1)) AS tag FROM pages)
+      SELECT coalesce(map {'nav': 'namespace_declaration', 'article': 'struct_declaration', 'h1': 'method_definition', 'footer': 'function_declaration', 'a': 'call_expression', 'div': 'decorator'}[lower(tag)], lower(tag)) AS type,
+        count(*) AS n FROM tags GROUP BY 1""",
     "forward_calls": f"WITH {LINES}, {DOT_TEXTS} SELECT l.id AS owner, c.first_id AS target, c.first_name AS target_name FROM lines l JOIN cand c ON l.text = c.text WHERE c.first_seq > l.seq",
     "import_edges": f"""WITH {LINES} SELECT DISTINCT 'file:' || file_path AS source, 'external:' || {fnv('name')} AS target, file_path AS source_name, name AS target_name, 'external' AS resolution FROM lines WHERE name <> ''""",
     "incremental_replace": """SELECT user_id, event_id, event_type, value FROM events WHERE user_id % 7 <> 3

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evispark import fixtures
 from evispark.functions import keyed, scalars
-from evispark.operators import calls, diagnostics, graph, incremental, metrics, sampling, structure, summary
+from evispark.operators import calls, diagnostics, graph, incremental, metrics, sampling, structure, summary, syntax
 from evispark.schema import ENTITIES, RELATIONS, conform
 from evispark.session import cut_lineage, remove, shared_dir, table
 from evispark.sources import files as file_source
@@ -438,6 +438,31 @@ def calls_resolved_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed_store(spark, sf_dir)[1].select("owner", "text", "target", "resolution")
 
 
+def page_graph(spark: SparkSession, sf_dir: str, in_order: bool = False) -> syntax.Extraction:
+    return syntax.extract(fixtures.page_nodes(spark, sf_dir), fixtures.page_files(spark, sf_dir).select("path", "seq"), in_order=in_order)
+
+
+def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_graph(spark, sf_dir).entities.select("id", "kind", "native_kind", "name", "qualified_name", "file_path", "start_line", "end_line")
+
+
+def page_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_graph(spark, sf_dir).relations.where("kind = 'contains'").select("source", "target", "source_name", "target_name", "file_path")
+
+
+def page_decorators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_graph(spark, sf_dir).entities.where("decorators IS NOT NULL").select("id", F.array_join("decorators", "\n").alias("decorators"))
+
+
+def page_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_graph(spark, sf_dir).relations.where("kind = 'calls'").select("source", "target", "source_name", "target_name", "resolution")
+
+
+def page_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of each type of the pages' syntax trees."""
+    return summary.count_by(fixtures.page_nodes(spark, sf_dir), "type")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -448,5 +473,6 @@ QUERIES = {
         last_write_wins, first_write_wins, first_match, sample_scores, sample_strata, sample_select, sample_reasons, review_seed_entities, review_seed_relations,
         reviewed_gate, call_resolution, forward_calls, call_resolution_in_order, import_edges, incremental_replace, project_structure,
         graph_build_entities, graph_build_relations, entry_paths, speaking_owners, figures_without_truth, profile_modules, affected_relations, calls_after_change, calls_resolved_anew,
+        page_entities, page_owners, page_decorators, page_calls, page_node_types,
     )
 }
