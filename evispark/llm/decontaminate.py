@@ -5,10 +5,11 @@ for a changed, added or lost one; an item's score is its best local alignment's
 ``threshold`` on the item has leaked. So it has, whatever the share, where the alignment is worth ``excerpt`` equal
 words.
 
-Seeds: a changed or lost word costs three and spoils two of an item's word pairs, so a leak of L words at threshold t
-spoils at most 4/3 L (1 - t) of them. Of each item's pairs the rarest are seeds, by the number of documents that hold
-them: as many as a leak can spoil, and two more (one, where an item has too few pairs for that). So every leak holds
-that many seeds, but for one made by inserting words into most pairs, which costs only one each. Items of more than
+Seeds: a text holds a pair of neighbouring words of an item if they follow each other there, or with one word between.
+A changed or lost word costs three and spoils two of an item's pairs; an added word costs one, and it takes two to spoil
+a pair. So a leak of L words at threshold t spoils at most 4/3 L (1 - t) of them, however it was edited. Of each item's
+pairs the rarest are seeds, by the number of documents that hold them: as many as a leak can spoil, and two more (one,
+where an item has too few pairs for that). So every leak holds that many seeds. Items of more than
 ``CHUNK`` pairs choose within each chunk, so that long excerpts hold seeds too. One pass counts the pairs'
 documents; a second joins seeds to the documents' pairs where the documents lie, bounds a candidate's score by the
 words it shares with the item, and aligns what remains.
@@ -157,12 +158,13 @@ def present(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def known_grams(ids: np.ndarray, bounds: np.ndarray, block: Block, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the texts' word pairs (and words) that are among the sorted keys, and their numbers there."""
-    pair = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-    ends = np.zeros(len(ids) + 1, bool)
+    """Places of the texts' word pairs (and words) that are among the sorted keys, and their numbers there. A pair's words are
+    neighbours or have one word between them."""
+    ends = np.zeros(len(ids) + 2, bool)
     ends[bounds] = True
-    pair = pair[~ends[pair + 1]]
-    at, key = pair, ids[pair] * np.int64(block.base) + ids[pair + 1]
+    pair = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & ~ends[1 : len(ids)])
+    parted = np.flatnonzero((ids[:-2] > 0) & (ids[2:] > 0) & ~ends[1 : len(ids) - 1] & ~ends[2 : len(ids)])
+    at, key = np.append(pair, parted), np.append(ids[pair] * np.int64(block.base) + ids[pair + 1], ids[parted] * np.int64(block.base) + ids[parted + 2])
     if block.words_too:
         word = np.flatnonzero(ids)
         at, key = np.append(at, word), np.append(key, ids[word] * np.int64(block.base))

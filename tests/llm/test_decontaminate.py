@@ -114,14 +114,28 @@ def test_every_alignment_is_the_best(spark):
         assert score == smith_waterman(a, b) == smith_waterman(a, b[start:end])
 
 
+def swapped(words, rng, share):
+    out, k = [], 0
+    while k < len(words):
+        step = 2 if k + 1 < len(words) and rng.random() < share else 1
+        out += words[k : k + step][::-1]
+        k += step
+    return out
+
+
 def test_recall_of_edited_copies(spark):
-    """Against the alignment of all pairs, for edits of ten to thirty percent and of every fourth word."""
+    """Against the alignment of all pairs, for edits of ten to thirty percent and of every fourth word, for words inserted
+    behind half of the words to all of them, for neighbours that change places, and for some of each."""
     rng = random.Random(9)
     common, rare = [f"c{k}" for k in range(40)], [f"r{k}" for k in range(2000)]
     some = lambda n: [rng.choice(common if rng.random() < 0.5 else rare) for _ in range(n)]
     items = [(k, some(rng.randrange(8, 31))) for k in range(150)]
     kinds = {share: (lambda w, s=share: edited(w, rng, s)) for share in (0.1, 0.15, 0.2, 0.25, 0.3)}
     kinds[4] = lambda w: [f"x{x}" if k % 4 == 3 else x for k, x in enumerate(w)]
+    parted = lambda w, s: [y for x in w for y in ([x, rng.choice(common + rare)] if rng.random() < s else [x])]
+    kinds |= {f"insert {s}": (lambda w, s=s: parted(w, s)) for s in (0.5, 0.7, 0.8, 1)}
+    kinds |= {f"swap {s}": (lambda w, s=s: swapped(w, rng, s)) for s in (0.3, 0.6)}
+    kinds["mixed"] = lambda w: parted(edited(swapped(w, rng, 0.1), rng, 0.1), 0.3)
     docs, made = [], {}
     for kind, change in kinds.items():
         for i, words in items:
@@ -133,7 +147,7 @@ def test_recall_of_edited_copies(spark):
     assert set(found) <= set(want)
     for kind in kinds:
         true = [p for p in want if made[p[0]] == kind]
-        assert len(true) > 60 and sum(found.get(p) == want[p] for p in true) >= 0.99 * len(true)
+        assert len(true) > 15 and sum(found.get(p) == want[p] for p in true) >= 0.99 * len(true), kind
 
 
 @pytest.mark.parametrize("block_words", [2_000_000, 10])
