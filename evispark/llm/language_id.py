@@ -7,9 +7,9 @@ it. A text's languages are compared by the sum over its words; ``score`` is the
 has been flattened by ``TEMPERATURE``.
 
 Learning takes a bounded sample of every language that the labels name: ``sample_rows`` rows of each, or all where it
-has fewer, chosen by a hash of key and text; the languages' names and counts, one row each, reach the driver. Words
-and n-grams are counted by Spark, also those that occur once; each language keeps its own ``vocabulary`` most frequent words and n-grams (fewer where there are so many languages that
-all would keep more than ``MOST``), and only those reach the driver and the executors.
+has fewer, chosen by a hash of key and text; with more than ``most_rows // sample_rows`` languages, each gets its even
+share of ``most_rows``. All words and n-grams of the sample are learned, also those that occur once. Spark counts them; the
+counts reach the driver and the executors, so what those hold grows with the sample and not with the corpus.
 
 Defined results: a null text, a text without letters, and any text when nothing has been learned give ``und``
 with score 0; ties go to the language with more labelled rows, then to the first by name; rows with a null
@@ -26,13 +26,13 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm.arrow import Numbers, encoded, slices
 from evispark.llm.columns import at, by_place, named
 
-SAMPLE_ROWS, VOCABULARY, MOST = 5_000, 50_000, 1_000_000
+SAMPLE_ROWS, MOST_ROWS = 1_000, 20_000
 MAX_GRAM = 5
 UNKNOWN = "und"
 #: Evidence is divided by the words' number to this power: neighbouring words aren't independent.
@@ -58,13 +58,7 @@ class Model:
     prior: np.ndarray
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The ``most`` items of each language with the greatest counts."""
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("lang", "item", "n")
-
-
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, most_rows: int = MOST_ROWS) -> Model:
     """A model of the labelled rows; rows without text or label teach nothing."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -72,18 +66,18 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     names = sorted(of)
     if not names:
         return model_of([], [], [], {})
+    sample_rows = min(sample_rows, max(1, most_rows // len(names)))
     shares = spark.createDataFrame([(name, int(min(1.0, sample_rows / of[name]) * (1 << 30))) for name in names], "lang string, share long")
     drawn = rows.withColumn("h", F.xxhash64("key", "text")).join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share"))
     drawn = drawn.dropDuplicates(["lang", "h"]).repartition(spark.sparkContext.defaultParallelism)
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("item"))
     counts = words.groupBy("lang", "item").agg(F.count("*").alias("n")).persist()
-    most = min(vocabulary, max(1, MOST // len(names)))
     try:
-        known = most_frequent(counts, most).toPandas()
+        known = counts.toPandas()
         marked = F.concat(F.lit("^"), "item", F.lit("$"))
         grams = F.flatten(F.array(*[gram_list(marked, n) for n in range(1, MAX_GRAM + 1)]))
         pieces = counts.select("lang", "n", F.explode(grams).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
-        short = most_frequent(pieces, most).toPandas()
+        short = pieces.toPandas()
     finally:
         counts.unpersist()
     entries = [(f" {w}", lang, n) for w, lang, n in zip(known["item"], known["lang"], known["n"])]

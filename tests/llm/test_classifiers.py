@@ -153,6 +153,21 @@ def test_backing_off_and_letters(spark):
     assert [r.lang_pred for r in found][7:9] == ["und", "und"] and found[9].lang_pred == "hi"
 
 
+def test_every_word_of_the_sample_is_learned(spark):
+    """Two languages of 60,000 words each that differ in nothing but their words, most of which occur once."""
+    rng = random.Random(11)
+    words = [f"{'abcdefgh'[k % 8]}{k:05}".translate(str.maketrans("0123456789", "ijklmnopqr")) for k in range(120_000)]
+    rng.shuffle(words)
+    own = {"x": words[:60_000], "y": words[60_000:]}
+    rows = [(x, " ".join(w[k : k + 100])) for x, w in own.items() for k in range(0, 60_000, 100)]
+    model = language_id.learn(spark.createDataFrame([(k, x, t) for k, (x, t) in enumerate(rows)], "doc_id long, lang string, text string"))
+    assert sum(item[0] == " " for item in model.items) == 120_000
+    texts = [w for x in own for w in rng.sample(own[x], 300)]
+    found = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), model).orderBy("id").collect()
+    predict = brute_language(rows)
+    assert [r.lang_pred for r in found] == [predict(t)[0] for t in texts] == ["x"] * 300 + ["y"] * 300
+
+
 def test_rare_languages_keep_their_words(spark):
     """A language with a few rows among many others' keeps its vocabulary, and every language is learned."""
     rng = random.Random(3)
