@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions.keyed import first_wins
 from evispark.functions.scalars import is_entry_path, jitter
+from evispark.session import cut_lineage, sent
 
 ALL_REASON = "all files selected"
 
@@ -41,29 +42,33 @@ def strata(scored: DataFrame, size: int) -> DataFrame:
 def sample(scored: DataFrame, size: int, files: DataFrame | None = None) -> DataFrame:
     """(path, selected, reasons) of every file; ``size`` 0 selects all, as does one that no fewer files than that exist.
 
-    files: what was scored; counting them costs less than scoring them twice.
+    files: what was scored; counting them costs less than scoring them. Scores, a row for each file, are written once and
+    then ranked by languages and as a whole.
     """
     if size == 0 or (scored if files is None else files).limit(size + 1).count() <= size:
         return scored.select("path", F.lit(True).alias("selected"), F.array(F.lit(ALL_REASON)).alias("reasons"))
-    marked = scored.join(strata(scored, size), "path", "left")
+    scored = cut_lineage(scored)
+    first = strata(scored, size)  # no more rows than the sample
+    marked = scored.join(sent(first, size), "path", "left")
     chosen = marked.orderBy(F.col("stratum").isNull(), "stratum", F.desc("score"), F.collate("path", "UNICODE")).limit(size).select("path", F.lit(True).alias("selected"))
     reasons = F.when(F.col("stratum").isNotNull(), F.concat("reasons", F.array(F.lit("language stratum")))).otherwise(F.col("reasons"))
-    return marked.join(chosen, "path", "left").select("path", F.coalesce("selected", F.lit(False)).alias("selected"), reasons.alias("reasons"))
+    return marked.join(sent(chosen, size), "path", "left").select("path", F.coalesce("selected", F.lit(False)).alias("selected"), reasons.alias("reasons"))
 
 
 def review_seed(entities: DataFrame, relations: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of the selected files (path), with the endpoints of those relations, marked as manual.
 
-    An endpoint is told by id and name; where no entity of its id has that name, by its id alone.
+    An endpoint is told by id and name; where no entity of its id has that name, by its id alone. Relations and entities are
+    each read once. The files and the endpoints of a sample are sent to them, so that only what belongs to the seed moves;
+    those of a sample of everything are joined by exchange.
     """
-    paths = selected.select(F.col("path").alias("file_path")).distinct()
-    edges = relations.where("file_path <> ''").join(paths, "file_path", "left_semi").select(*relations.columns)
+    paths = cut_lineage(selected.select(F.col("path").alias("file_path")).distinct())
+    edges = cut_lineage(relations.where("file_path <> ''").join(sent(paths, paths.count()), "file_path", "left_semi").select(*relations.columns))
     end = lambda side: F.struct(F.col(side).alias("id"), F.col(f"{side}_name").alias("name"))
-    ends = edges.select(F.explode(F.array(end("source"), end("target"))).alias("e")).groupBy("e.id").agg(F.collect_set("e.name").alias("names"), F.bool_or(F.col("e.name").isNull()).alias("any"))
-    met = entities.join(ends, "id").withColumn("named", F.coalesce(F.array_contains("names", F.col("qualified_name")), F.lit(False)))
-    known = met.where("named").select("id").distinct()
-    by_id = met.where("NOT named").join(known, "id", "left_anti")
-    own = entities.where("file_path <> ''").join(paths, "file_path", "left_semi")
-    outside = met.where("named").unionByName(by_id).join(paths, "file_path", "left_anti")
-    kept = own.select(*entities.columns).unionByName(outside.select(*entities.columns))
-    return kept.withColumn("provenance", F.lit("manual")), edges.withColumn("provenance", F.lit("manual"))
+    ends = cut_lineage(edges.select(F.explode(F.array(end("source"), end("target"))).alias("e")).groupBy("e.id").agg(F.collect_set("e.name").alias("__names")))
+    marked = entities.join(sent(paths.withColumn("__own", F.lit(True)), paths.count()), "file_path", "left").join(sent(ends, ends.count()), "id", "left")
+    marked = marked.withColumn("__own", F.coalesce(F.col("__own") & (F.col("file_path") != ""), F.lit(False))).where(F.col("__own") | F.col("__names").isNotNull())
+    held = cut_lineage(marked.withColumn("__named", F.coalesce(F.array_contains("__names", F.col("qualified_name")), F.lit(False))))
+    known = held.where("__named").select("id").distinct()
+    kept = held.where("__own OR __named").unionByName(held.where("NOT __own AND NOT __named").join(known, "id", "left_anti").select(*held.columns))
+    return kept.select(*entities.columns).withColumn("provenance", F.lit("manual")), edges.withColumn("provenance", F.lit("manual"))

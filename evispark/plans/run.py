@@ -1,7 +1,7 @@
 """Runs over repositories: observe, measure, sample, report; seed a review; evaluate a finished one.
 
-An observation is kept as tables (entities, relations, files) and a header below ``<output>/<repository>/<name>``;
-reports are single small JSON documents.
+An observation is a store of tables (entities, relations, files) below ``<output>/<repository>/<name>``: all tables of a run
+appear at once, and a run that fails leaves those of the run before. Reports are single small JSON documents.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from evispark.sources import store
 from evispark.sources.json5 import read_manifests
 
 log = logging.getLogger(__name__)
-WIDE, NARROW, TRUTH = "graph-observation", "syntax-observation", "ground-truth"
+WIDE, NARROW, TRUTH, SAMPLE = "graph-observation", "syntax-observation", "ground-truth", "sample"
+ARTEFACT_BUCKETS = 8
 
 
 def now() -> str:
@@ -58,12 +59,23 @@ def read_json(path: str):
 
 
 def save(tables: Tables, folder: str) -> None:
-    for name in ("entities", "relations", "files"):
-        getattr(tables, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    keys = {"entities": "file_path", "relations": "file_path", "files": "path"}
+    store.create({name: (getattr(tables, name), key) for name, key in keys.items()}, folder, ARTEFACT_BUCKETS)
 
 
 def load(spark: SparkSession, folder: str) -> Tables:
-    return Tables(*[spark.read.parquet(f"{folder}/{name}") for name in ("entities", "relations", "files")])
+    held = store.latest(spark, folder)
+    return Tables(*[held.read(name) for name in ("entities", "relations", "files")])
+
+
+def finished(spark: SparkSession, folder: str, *names: str) -> bool:
+    """Whether all of these stores have been published."""
+    return all(store.numbers(spark, f"{folder}/{name}") for name in names)
+
+
+def selected_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The paths of the sample that a run has drawn."""
+    return store.latest(spark, f"{folder}/{SAMPLE}").read("sample").where("selected").select("path")
 
 
 def source(spark: SparkSession, repo: Repository, name: str) -> DataFrame:
@@ -185,11 +197,12 @@ def run_repository(spark: SparkSession, repo: Repository, config: Config) -> boo
         write_json(f"{folder}/incremental.json", timing)
         scored = sampling.scores(wide.files.where("is_indexed"), wide.entities, wide.relations, config.seed)
         drawn = sampling.sample(scored, config.samples[repo.size])
-        drawn.write.mode("overwrite").parquet(f"{folder}/sample")
-        selected = [r["path"] for r in spark.read.parquet(f"{folder}/sample").where("selected").orderBy("path").collect()]  # a review's size
+        store.create({"sample": (drawn, "path")}, f"{folder}/{SAMPLE}", ARTEFACT_BUCKETS)
+        selected = [r["path"] for r in selected_paths(spark, folder).orderBy("path").collect()]  # the report names every one
         truth, sampled, status = reviewed(spark, folder)
         status = status if status == "reviewed" else "missing-or-unreviewed"
         write_json(f"{folder}/report.json", report(spark, repo, config, wide, narrow, truth, status, paths(spark, sampled) if truth else None, timing, selected))
+        remove(spark, f"{folder}/crash.json")
     except Exception as error:  # noqa: BLE001  the other repositories still run
         crashed = True
         write_json(f"{folder}/crash.json", {"repository": vars(repo), "error": {"message": str(error), "stack": traceback.format_exc()}})
@@ -204,10 +217,10 @@ def init_ground_truth(spark: SparkSession, repo: Repository, config: Config) ->
     if read_json(f"{folder}/{TRUTH}/header.json") is not None:
         log.info("kept the existing review of %s", repo.id)
         return False
-    if not all(exists(spark, f"{folder}/{name}") for name in (WIDE, "sample")):
+    if not finished(spark, folder, WIDE, SAMPLE):
         log.info("skipped %s: run it first", repo.id)
         return False
-    wide, chosen = load(spark, f"{folder}/{WIDE}"), spark.read.parquet(f"{folder}/sample").where("selected").select("path")
+    wide, chosen = load(spark, f"{folder}/{WIDE}"), selected_paths(spark, folder)
     entities, relations = sampling.review_seed(wide.entities, wide.relations, chosen)
     save(Tables(entities, relations, wide.files.join(chosen, "path", "left_semi")), f"{folder}/{TRUTH}")
     names = [r["path"] for r in chosen.orderBy("path").collect()]
@@ -220,11 +233,11 @@ def evaluate_existing(spark: SparkSession, repo: Repository, config: Config) ->
     """Reports again from what a run has left, without observing anew. Without a review the scope is the sample."""
     folder = f"{config.output}/{repo.id}"
     timing = read_json(f"{folder}/incremental.json")
-    if timing is None or not all(exists(spark, f"{folder}/{name}") for name in (WIDE, NARROW, "sample")):
+    if timing is None or not finished(spark, folder, WIDE, NARROW, SAMPLE):
         log.info("skipped %s: run it first", repo.id)
         return False
     wide, narrow = load(spark, f"{folder}/{WIDE}"), load(spark, f"{folder}/{NARROW}")
-    selected = [r["path"] for r in spark.read.parquet(f"{folder}/sample").where("selected").orderBy("path").collect()]
+    selected = [r["path"] for r in selected_paths(spark, folder).orderBy("path").collect()]
     truth, sampled, status = reviewed(spark, folder)
     write_json(f"{folder}/report.json", report(spark, repo, config, wide, narrow, truth, status, paths(spark, sampled if truth else selected), timing, selected))
     return True

@@ -7,7 +7,10 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a lookup that may be sent to all tasks.
+FEW = 200_000
 #: Bytes of a table that may be dealt out anew.
 SMALL = 256 << 20
 
@@ -48,6 +51,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if small and df.rdd.getNumPartitions() < tasks else df
 
 
+def sent(lookup: DataFrame, rows: int) -> DataFrame:
+    """A lookup for a join, sent to all tasks if its rows, which are known to be no more than these, are ``FEW``."""
+    return F.broadcast(lookup) if rows <= FEW else lookup
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir as the cluster names it.
 

@@ -1,59 +1,64 @@
-"""Listing of source files as a Spark data source, and the filters of the scans."""
+"""Listing of source files by all tasks, and the filters of the scans."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from evispark.functions.scalars import basename, language_of
 from evispark.operators.structure import MANIFESTS
+from evispark.session import cut_lineage, show_package
 
+#: Entries of a folder that are passed on at once.
+ENTRIES = 10_000
 # Folders that the scans pass over.
 IGNORED = ("node_modules", "oh_modules", "build", ".git", "dist", "target", "vendor", ".hvigor", ".idea", ".codegraph")
 IGNORED_BY_MANIFESTS = ("node_modules", "oh_modules", "build", ".git")
 
 
-class FolderReader(DataSourceReader):
-    """One partition for the files at the top and one for each folder there."""
+def file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """(file system, folder in it) of a local path or of the address of a store."""
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
-    def __init__(self, root: str):
-        self.root = root
 
-    def partitions(self) -> list[InputPartition]:
-        folders = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and e.name not in IGNORED_BY_MANIFESTS)
-        return [InputPartition(None), *map(InputPartition, folders)]
+def entries(root: str):
+    """Over folders (path, relative to root): what each holds directly, (path, is_folder). Links to folders are left out."""
 
-    def read(self, partition: InputPartition) -> Iterator[tuple[str]]:
-        if partition.value is None:
-            yield from ((e.name,) for e in os.scandir(self.root) if e.is_file())
-            return
-        for at, folders, names in os.walk(os.path.join(self.root, partition.value)):
-            folders[:] = [f for f in folders if f not in IGNORED_BY_MANIFESTS]
-            for name in names:
-                yield (os.path.relpath(os.path.join(at, name), self.root).replace(os.sep, "/"),)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = file_system(root)
+        local = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                infos = system.get_file_info(fs.FileSelector(f"{top.rstrip('/')}/{folder}".rstrip("/") or "/"))
+                held = [(f"{folder}/{i.base_name}".lstrip("/"), i.type == fs.FileType.Directory) for i in infos if not (local and i.type == fs.FileType.Directory and os.path.islink(i.path))]
+                for a in range(0, len(held), ENTRIES):
+                    paths, folders = zip(*held[a : a + ENTRIES])
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], names=["path", "is_folder"])
 
-
-class Folder(DataSource):
-    """``spark.read.format("folder").load(root)``: the paths of all files below a folder that all executors can see, dotfiles included."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "folder"
-
-    def schema(self) -> str:
-        return "path string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return FolderReader(self.options["path"])
+    return run
 
 
 def paths_below(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(Folder)
-    return spark.read.format("folder").load(root)
+    """(path): all files below a folder that all executors can see, local or of a store, dotfiles included, but for those in
+    folders that every scan passes over.
+
+    Folders are listed a level at a time, and the folders found are dealt out to all tasks anew, so one deep tree is listed
+    by many tasks. Folders and files go through the shared checkpoint folder and never through the driver.
+    """
+    show_package(spark)
+    level, files = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        listed = cut_lineage(level.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(entries(root), "path string, is_folder boolean"))
+        files.append(listed.where("NOT is_folder").select("path"))
+        level = listed.where(F.col("is_folder") & ~basename(F.col("path")).isin(*IGNORED_BY_MANIFESTS)).select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, files)
 
 
 def supported_files(paths: DataFrame, language: str | None = None) -> DataFrame:

@@ -108,11 +108,12 @@ def clean(spark: SparkSession, folder: str, keep: int = KEEP) -> None:
 
 
 def create(tables: dict[str, tuple[DataFrame, str]], folder: str, buckets: int = BUCKETS) -> Version:
-    """Stores tables (rows, key) below folder."""
+    """Stores tables (rows, key) below folder as one version. What the store held before is read until it is published."""
     spark, run, made = next(iter(tables.values()))[0].sparkSession, f"data/{uuid.uuid4()}", {}
     for name, (rows, key) in tables.items():
         made[name] = {"key": key, "n": buckets, "schema": rows.schema.jsonValue(), "buckets": write_buckets(rows, folder, f"{run}/{name}", key, buckets)}
-    publish(first := Version(spark, folder, 0, {}, made))
+    publish(first := Version(spark, folder, (numbers(spark, folder) or [-1])[-1] + 1, {}, made))
+    clean(spark, folder)
     return first
 
 

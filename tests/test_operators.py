@@ -234,6 +234,48 @@ def test_folder_source(spark, tmp_path):
     assert [r.path for r in files.manifest_files(paths).collect()] == ["lib/package.json"]
 
 
+def test_one_deep_tree_is_listed_by_many_tasks(spark, tmp_path, monkeypatch):
+    want = []
+    for k in range(6):
+        for name in (f"src/a{k}/b/c/d{k}.py", f"src/a{k}/.x", f"src/a{k}/.git/no.py", f"src/e{k}.ts"):
+            (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name).write_text("x")
+            want += [name] * (".git" not in name)
+    (tmp_path / "src" / "empty").mkdir()
+    (tmp_path / "src" / "loop").symlink_to(tmp_path, target_is_directory=True)
+    assert sorted(r.path for r in files.paths_below(spark, str(tmp_path)).collect()) == sorted(want)
+    assert sorted(r.path for r in files.paths_below(spark, f"file://{tmp_path}").collect()) == sorted(want)
+    tasks = []
+    cut = files.cut_lineage
+    monkeypatch.setattr(files, "cut_lineage", lambda df: tasks.append(df.where("NOT is_folder").select(F.spark_partition_id()).distinct().count()) or cut(df))
+    files.paths_below(spark, str(tmp_path))
+    assert len(tasks) == 5 and max(tasks) > 2
+
+
+def test_the_seed_reads_entities_and_relations_once(spark, tmp_path, monkeypatch):
+    """And without bounds for what is sent to them, it is the same."""
+    ents = entities(spark, [(f"e{k}", "class", f"n{k}", f"n{k}", f"f{k % 9}.ts", k) for k in range(60)] + [("e3", "class", "other", "other", "", 99)])
+    edges = conform(spark.createDataFrame([("calls", f"e{k}", f"e{(7 * k) % 61}", f"n{k}", f"n{(7 * k) % 61}", f"f{k % 9}.ts", "internal", k) for k in range(60)], "kind string, source string, target string, source_name string, target_name string, file_path string, resolution string, seq long"), RELATIONS)
+    ents.write.parquet(f"{tmp_path}/e")
+    edges.write.parquet(f"{tmp_path}/r")
+    chosen, plans, cut = spark.createDataFrame([("f1.ts",), ("f2.ts",)], "path string"), [], sampling.cut_lineage
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(sampling, "cut_lineage", lambda df: planned(df) or cut(df))
+    out = [sampling.review_seed(spark.read.parquet(f"{tmp_path}/e"), spark.read.parquet(f"{tmp_path}/r"), chosen)]
+    for df in out[0]:
+        planned(df)
+    assert sum(p.count("FileScan parquet") for p in plans) == 2
+    assert not any("Exchange hashpartitioning(file_path" in p or "SortMergeJoin" in p for p in (plans[1], plans[3]))
+    monkeypatch.setattr("evispark.session.FEW", -1)
+    out.append(sampling.review_seed(ents, edges, chosen))
+    rows = [[sorted(map(str, df.collect())) for df in pair] for pair in out]
+    assert rows[0] == rows[1] and len(rows[0][1]) == 14
+    paths = {"f1.ts", "f2.ts"}
+    mine = [e for e in edges.collect() if e.file_path in paths]
+    ends = {(i, n) for e in mine for i, n in ((e.source, e.source_name), (e.target, e.target_name))}
+    assert {r.id for r in out[0][0].collect()} == {e.id for e in ents.collect() if e.file_path in paths or (e.id, e.qualified_name) in ends}
+
+
 def test_incremental_replacement(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "file_path string, v int")
     new = spark.createDataFrame([("a", 10), ("a", 11), ("c", 30)], "file_path string, v int")

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from evispark.plans import config, run
 from evispark.schema import AST_NODES, FILES
@@ -56,6 +57,27 @@ def test_run_review_and_evaluate(spark, settings):
         settings.repository("other")
 
 
+def test_a_failed_run_leaves_the_last_ones_tables(spark, settings, monkeypatch):
+    small = settings.repository("small")
+    out = f"{settings.output}/small"
+    assert run.run_repository(spark, small, settings)
+    before = [sorted(map(str, t.collect())) for t in vars(run.load(spark, f"{out}/{run.WIDE}")).values()]
+
+    def fails(spark, repo):
+        found = kept(spark, repo)
+        found.relations = found.relations.withColumn("seq", F.raise_error(F.lit("broken")).cast("long"))
+        return found
+
+    kept = run.observe_graph
+    monkeypatch.setattr(run, "observe_graph", fails)
+    assert not run.run_repository(spark, small, settings)
+    assert run.read_json(f"{out}/crash.json") and run.read_json(f"{out}/run-status.json")["crashed"]
+    assert [sorted(map(str, t.collect())) for t in vars(run.load(spark, f"{out}/{run.WIDE}")).values()] == before
+    monkeypatch.setattr(run, "observe_graph", kept)
+    assert run.run_repository(spark, small, settings)
+    assert run.read_json(f"{out}/crash.json") is None and not run.read_json(f"{out}/run-status.json")["crashed"]
+
+
 def test_config_is_checked(tmp_path):
     for raw in ({}, {"repositories": []}, {"repositories": [{"id": "a", "size": "huge", "path": "x"}] * 3}, {"repositories": [{"id": "a", "size": "small", "path": "x"}] * 3, "acceptance": {"fileCoverage": 2}}):
         (tmp_path / "c.json").write_text(json.dumps(raw))
