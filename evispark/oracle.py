@@ -274,6 +274,11 @@ ORACLE_SQL = {
         SELECT unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<(script|style)[^>]*>).*?(</(script|style)>)', '\\1', 'gs'), '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1)) AS tag FROM pages)
       SELECT coalesce(map {'nav': 'namespace_declaration', 'article': 'struct_declaration', 'h1': 'method_definition', 'footer': 'function_declaration', 'a': 'call_expression', 'div': 'decorator'}[lower(tag)], lower(tag)) AS type,
         count(*) AS n FROM tags GROUP BY 1""",
+    "counts_after_change": f"""WITH {LINES}, {NEXT}, every_line AS (SELECT n.*, l.language FROM next_lines n JOIN lines l USING (id))
+      SELECT 'entities_by_kind' AS measure, CASE WHEN text = '' THEN 'line' ELSE 'call' END AS value, count(*) AS n FROM every_line GROUP BY 1, 2
+      UNION ALL SELECT 'entities_by_language', language, count(*) FROM every_line GROUP BY 1, 2
+      UNION ALL SELECT 'relations_by_kind', 'calls', count(*) FROM every_line WHERE text <> ''
+      UNION ALL SELECT 'relations_by_resolution', CASE WHEN name = text THEN 'internal' ELSE 'unresolved' END, count(*) FROM every_line WHERE text <> '' GROUP BY 1, 2""",
     "forward_calls": f"WITH {LINES}, {DOT_TEXTS} SELECT l.id AS owner, c.first_id AS target, c.first_name AS target_name FROM lines l JOIN cand c ON l.text = c.text WHERE c.first_seq > l.seq",
     "import_edges": f"""WITH {LINES} SELECT DISTINCT 'file:' || file_path AS source, 'external:' || {fnv('name')} AS target, file_path AS source_name, name AS target_name, 'external' AS resolution FROM lines WHERE name <> ''""",
     "incremental_replace": """SELECT user_id, event_id, event_type, value FROM events WHERE user_id % 7 <> 3

@@ -14,6 +14,7 @@ from evispark.schema import ENTITIES, RELATIONS, conform
 from evispark.session import cut_lineage, remove, shared_dir, table
 from evispark.sources import files as file_source
 from evispark.sources import store
+from evispark.streaming import counts
 
 SEED, SAMPLE = "review-v1", 30
 
@@ -463,6 +464,35 @@ def page_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.count_by(fixtures.page_nodes(spark, sf_dir), "type")
 
 
+def line_evidence(lines: DataFrame) -> DataFrame:
+    """Lines as entities, and those that call something as relations."""
+    rows = lambda part, kind, resolution, language: lines.select("file_path", F.lit(part).alias("part"), kind.alias("kind"), resolution.alias("resolution"), language.alias("language"), "text")
+    own = rows("entity", F.when(F.col("text") == "", "line").otherwise("call"), F.lit(None).cast("string"), F.col("language"))
+    calling = rows("relation", F.lit("calls"), F.when(F.col("name") == F.col("text"), "internal").otherwise("unresolved"), F.lit(None).cast("string"))
+    return own.unionByName(calling.where("text <> ''")).drop("text")
+
+
+def counts_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that a stream of all lines, and then of the changed ones, leaves."""
+    folder, lines = f"{shared_dir(spark)}/counts-{uuid.uuid4()}", fixtures.doc_lines(spark, sf_dir)
+    gone = fixtures.doc_files(spark, sf_dir).where("NOT is_indexed").select(F.col("path").alias("file_path"), *[F.lit(None).cast("string").alias(c) for c in ("part", "kind", "resolution", "language")])
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, counts.PROVIDER)
+    try:
+        counts.create(spark, f"{folder}/counts")
+        for evidence in (line_evidence(lines), line_evidence(changed_lines(spark, sf_dir)).unionByName(gone)):
+            evidence.write.mode("append").parquet(f"{folder}/evidence")
+            query = counts.start(spark.readStream.schema(counts.EVIDENCE).parquet(f"{folder}/evidence"), f"{folder}/counts", f"{folder}/checkpoint")
+            query.processAllAvailable()
+            query.stop()
+    finally:
+        spark.conf.set(setting, before)
+    held = cut_lineage(store.latest(spark, f"{folder}/counts").read("counts"))
+    remove(spark, folder)
+    return held
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -473,6 +503,6 @@ QUERIES = {
         last_write_wins, first_write_wins, first_match, sample_scores, sample_strata, sample_select, sample_reasons, review_seed_entities, review_seed_relations,
         reviewed_gate, call_resolution, forward_calls, call_resolution_in_order, import_edges, incremental_replace, project_structure,
         graph_build_entities, graph_build_relations, entry_paths, speaking_owners, figures_without_truth, profile_modules, affected_relations, calls_after_change, calls_resolved_anew,
-        page_entities, page_owners, page_decorators, page_calls, page_node_types,
+        page_entities, page_owners, page_decorators, page_calls, page_node_types, counts_after_change,
     )
 }
