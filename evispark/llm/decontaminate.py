@@ -48,7 +48,7 @@ THRESHOLD = 0.5
 #: More than 100 words: that many of a long item are no leak.
 EXCERPT = 101
 BLOCK_WORDS = 2_000_000
-CALL = 4_000_000
+CALL = 1_000_000
 #: Pairs of a long item among which seeds are chosen, and the items that have words for seeds instead of pairs.
 CHUNK, SHORT = 32, 4
 #: Leaks of all texts that are broadcast to the documents; more are joined by exchange.

@@ -38,7 +38,7 @@ PIECE = 256
 #: Sequences of a group, and its pieces where they are so small that they would be more.
 WINDOWS, MOST_PIECES = 128, 32_768
 #: Bytes whose words are looked up together, and words that a task remembers.
-CALL, MEMORY = 2_000_000, 500_000
+CALL, MEMORY = 1_000_000, 500_000
 #: A stem that ends in an ASCII letter or digit or a Latin-1 letter, and closing ASCII punctuation.
 CLOSING = frozenset(c for c in range(128) if not chr(c).isalnum())
 CLOSED = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([^a-z0-9\x80-\xff]+)", re.S)
