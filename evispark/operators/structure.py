@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evispark.functions.keyed import ancestors, first_wins, strict_ancestors
 from evispark.functions.scalars import basename, clean_root, dirname, joined_path, module_root, package_name, relation_id, stable_id
 from evispark.schema import ENTITIES, METADATA, RELATIONS, conform
+from evispark.session import cut_lineage, sent
 
 # The manifests that are read.
 MODULE_MANIFEST, PROFILE = "module.json5", "build-profile.json5"
@@ -46,12 +47,14 @@ def first_of_root(declared: DataFrame) -> DataFrame:
 def contained_files(roots: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of roots (root, ...) joined to the files (file_path, ...) below them; nested roots each hold the file.
 
-    Each file is expanded to the roots that could hold it, so the prefix test is an equality join. The top holds every
-    file; its rows (one for each kind of root, as first_of_root leaves them) are sent to the files instead.
+    Each file is expanded to the roots that could hold it, so the prefix test is an equality join; where the roots are few
+    enough they are sent to the files, so that a file is exchanged for none of the roots that don't exist. The top holds
+    every file; its rows (one for each kind of root, as first_of_root leaves them) are always sent.
     """
+    roots = cut_lineage(roots)
     expanded = files.withColumn("root", F.explode(ancestors(F.col("file_path")))).where("root <> ''")
     top = F.broadcast(roots.where("root = ''"))
-    return roots.join(expanded, "root").unionByName(files.withColumn("root", F.when(F.col("file_path").isNotNull(), "")).join(top, "root").select(*roots.columns, *[c for c in files.columns if c != "root"]))
+    return expanded.join(sent(roots.where("root <> ''"), roots.count()), "root").select(*roots.columns, *[c for c in files.columns if c != "root"]).unionByName(files.withColumn("root", F.when(F.col("file_path").isNotNull(), "")).join(top, "root").select(*roots.columns, *[c for c in files.columns if c != "root"]))
 
 
 def structure(manifests: DataFrame, files: DataFrame, repository: str, path: str) -> tuple[DataFrame, DataFrame]:

@@ -91,6 +91,13 @@ DOT_TEXTS = """texts AS (
     SELECT id, qualified_name, seq, array_to_string(list_slice(string_split(qualified_name, '.'), k, len(string_split(qualified_name, '.'))), '.')
     FROM (SELECT *, unnest(range(2, len(string_split(qualified_name, '.')) + 1)) AS k FROM lines)) WHERE text <> ''),
   cand AS (SELECT text, min(seq) AS first_seq, arg_min(id, seq) AS first_id, arg_min(qualified_name, seq) AS first_name FROM texts GROUP BY text)"""
+JSON5 = MANIFESTS + r""", written AS (SELECT path, folder, min(o_orderkey) AS k FROM packs WHERE path LIKE '%.json5' GROUP BY path, folder),
+  facts AS (
+    SELECT *, CASE WHEN k % 4 >= 2 AND path LIKE '%/module.json5' THEN k::VARCHAR END AS module_name,
+           CASE WHEN k % 4 >= 2 AND path NOT LIKE '%/module.json5' THEN 'm' || k || '=./lib/core/' ELSE '' END AS modules FROM written)"""
+SYMBOLS = """symbol_lines AS (
+    SELECT path AS file_path, unnest(string_split(text, chr(10))) AS body FROM documents d JOIN dfiles f ON d.doc_id = f.doc_id)"""
+SYMBOL_FILES = "SELECT file_path FROM symbol_lines WHERE ends_with(body, '.')"
 # What pages declare: places are numbers of characters, rows numbers of line feeds
 PAGES = r"""pages_ AS (
     SELECT page_id, page_id || '/' || url AS path, html FROM pages WHERE html IS NOT NULL),
@@ -214,10 +221,10 @@ ORACLE_SQL = {
         coalesce(count(DISTINCT lower(path)) FILTER (is_indexed) / nullif(count(DISTINCT lower(path)), 0)::DOUBLE, 1.0) AS file_coverage FROM files""",
     "missing_files": f"WITH {DOC_FILES} SELECT path FROM dfiles WHERE NOT is_indexed",
     "orphan_edges": f"WITH {EVERY} SELECT kind, source, target, count(*) AS n FROM rels WHERE source NOT IN (SELECT id FROM every_ent) OR target NOT IN (SELECT id FROM every_ent) GROUP BY ALL",
-    "zero_symbol_files": f"WITH {LINES} SELECT path FROM dfiles WHERE is_indexed AND path NOT IN (SELECT file_path FROM lines WHERE length(name) >= 14)",
-    "diagnostic_text": f"""WITH {EVERY}, {LINES},
+    "zero_symbol_files": f"WITH {LINES}, {SYMBOLS} SELECT path FROM dfiles WHERE is_indexed AND path NOT IN ({SYMBOL_FILES})",
+    "diagnostic_text": f"""WITH {EVERY}, {LINES}, {SYMBOLS},
       m AS (SELECT path FROM dfiles WHERE NOT is_indexed),
-      z AS (SELECT path FROM dfiles WHERE is_indexed AND path NOT IN (SELECT file_path FROM lines WHERE length(name) >= 14)),
+      z AS (SELECT path FROM dfiles WHERE is_indexed AND path NOT IN ({SYMBOL_FILES})),
       o AS (SELECT count(*) AS n FROM rels WHERE source NOT IN (SELECT id FROM every_ent) OR target NOT IN (SELECT id FROM every_ent))
       SELECT 0::INT AS place, (SELECT count(*) FROM m) || ' supported source file(s) were not indexed: ' || (SELECT string_agg(path, ', ' ORDER BY path) FROM (SELECT path FROM m ORDER BY path LIMIT 10)) AS line WHERE (SELECT count(*) FROM m) > 0
       UNION ALL SELECT 1, n || ' relation(s) have missing endpoints' FROM o WHERE n > 0
@@ -279,6 +286,18 @@ ORACLE_SQL = {
       UNION ALL SELECT 'entities_by_language', language, count(*) FROM every_line GROUP BY 1, 2
       UNION ALL SELECT 'relations_by_kind', 'calls', count(*) FROM every_line WHERE text <> ''
       UNION ALL SELECT 'relations_by_resolution', CASE WHEN name = text THEN 'internal' ELSE 'unresolved' END, count(*) FROM every_line WHERE text <> '' GROUP BY 1, 2""",
+    "manifest_scan": f"""WITH {MANIFESTS}, scanned AS (
+        SELECT ['', 'x/', '.git/', 'build/a/', 'a/.hidden/', 'src/oh_modules/b/', 'lib/'][o_orderkey % 7 + 1] || o_orderkey || '/' ||
+               CASE o_orderkey % 3 WHEN 0 THEN '.package.json' WHEN 1 THEN string_split(path, '/')[-1] ELSE 'go.mod' END AS path FROM manifests)
+      SELECT path FROM scanned WHERE NOT regexp_matches(path, '(^|/)([.]|(build|oh_modules|node_modules)(/|$))')""",
+    "json5_facts": f"WITH {JSON5} SELECT path, module_name, modules FROM facts",
+    "structure_of_json5": f"""WITH {FILES}, {JSON5}, declared AS (
+        SELECT regexp_replace(path, '(?i)/src/main/module\\.json5$', '') AS root, coalesce(module_name, string_split(regexp_replace(path, '(?i)/src/main/module\\.json5$', ''), '/')[-1]) AS name, path AS manifest
+        FROM facts WHERE path LIKE '%/module.json5'
+        UNION ALL SELECT folder || '/lib/core', 'm' || k, path FROM facts WHERE modules <> ''),
+      roots AS (SELECT root, min(manifest) AS manifest, arg_min(name, manifest) AS name FROM declared GROUP BY root)
+      SELECT root, name, manifest, (SELECT count(*) FROM files WHERE root = '' OR path = root OR starts_with(path, root || '/')) AS n_files FROM roots""",
+    "sample_all": f"WITH {FILES} SELECT path, true AS selected, 'all files selected' AS reasons FROM files WHERE is_indexed",
     "forward_calls": f"WITH {LINES}, {DOT_TEXTS} SELECT l.id AS owner, c.first_id AS target, c.first_name AS target_name FROM lines l JOIN cand c ON l.text = c.text WHERE c.first_seq > l.seq",
     "import_edges": f"""WITH {LINES} SELECT DISTINCT 'file:' || file_path AS source, 'external:' || {fnv('name')} AS target, file_path AS source_name, name AS target_name, 'external' AS resolution FROM lines WHERE name <> ''""",
     "incremental_replace": """SELECT user_id, event_id, event_type, value FROM events WHERE user_id % 7 <> 3

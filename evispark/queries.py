@@ -13,7 +13,7 @@ from evispark.operators import calls, diagnostics, graph, incremental, metrics,
 from evispark.schema import ENTITIES, RELATIONS, conform
 from evispark.session import cut_lineage, remove, shared_dir, table
 from evispark.sources import files as file_source
-from evispark.sources import store
+from evispark.sources import json5, store
 from evispark.streaming import counts
 
 SEED, SAMPLE = "review-v1", 30
@@ -184,9 +184,11 @@ def orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbols_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A symbol for every line whose first word has fourteen letters at least."""
-    rows = fixtures.doc_lines(spark, sf_dir).where(F.char_length("name") >= 14)
-    return conform(rows.withColumn("kind", F.lit("function")), ENTITIES)
+    """An entity for every line: a function where it ends with a full stop, else one that counts as no symbol."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    ends = docs.select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("seq"), F.endswith("body", F.lit(".")).alias("ends"))
+    rows = fixtures.doc_lines(spark, sf_dir).join(ends, "seq")
+    return conform(rows.withColumn("kind", F.when(F.col("ends"), "function").otherwise("file")), ENTITIES)
 
 
 def zero_symbol_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,6 +495,45 @@ def counts_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held
 
 
+def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifests among files that lie below all sorts of folders."""
+    k = F.col("o_orderkey")
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("", "x/", ".git/", "build/a/", "a/.hidden/", "src/oh_modules/b/", "lib/")]), (k % 7 + 1).cast("int"))
+    name = F.when(k % 3 == 0, F.lit(".package.json")).when(k % 3 == 1, F.element_at(F.split("path", "/"), -1)).otherwise(F.lit("go.mod"))
+    return file_source.manifest_files(manifests_of(spark, sf_dir).select(F.concat(folder, k.cast("string"), F.lit("/"), name).alias("path")))
+
+
+def json5_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Module manifests and build profiles of the orders' folders as people write them: comments, names without quotes, single
+    quotes, commas at the end, names that are no strings, and broken ones."""
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    module = F.concat(F.lit("// module\n{module: {name: '"), text, F.lit("', /* kind */ type: \"entry\",},}"))
+    odd = F.concat(F.lit("{'module': {\"name\": +"), text, F.lit("}}"))
+    profile = F.concat(F.lit("{modules: [{name: 'm"), text, F.lit("', srcPath: './lib/core/'}, {name: 0x1F, srcPath: 'x'}, {name: 'none'}, 7,],}"))
+    content = F.when(k % 4 == 0, F.concat(F.lit("{broken "), text)).when(k % 4 == 1, odd).otherwise(F.when(F.endswith("path", F.lit("/module.json5")), module).otherwise(profile))
+    rows = manifests_of(spark, sf_dir).where("path LIKE '%.json5'").select("path", content.alias("content"), k.alias("k"))
+    return rows.groupBy("path").agg(F.min_by("content", "k").alias("content"))
+
+
+def json5_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = json5.read_manifests(json5_of(spark, sf_dir))
+    return read.select("path", "module_name", F.array_join(F.transform("profile", lambda m: F.concat_ws("=", m["name"], m["src_path"])), ";").alias("modules"))
+
+
+def structure_of_json5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modules of those manifests with the number of files that each holds."""
+    roots = structure.first_of_root(structure.declared_modules(json5.read_manifests(json5_of(spark, sf_dir))))
+    held = structure.contained_files(roots, fixtures.star_files(spark, sf_dir).select(F.col("path").alias("file_path")))
+    return roots.join(held.groupBy("root").agg(F.count("*").alias("n")), "root", "left").select("root", "name", "manifest", F.coalesce("n", F.lit(0)).alias("n_files"))
+
+
+def sample_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of size 0 selects every file."""
+    held = sampling.sample(star_scores(spark, sf_dir), 0, indexed_files(spark, sf_dir))
+    return held.select("path", "selected", F.array_join("reasons", "; ").alias("reasons"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -504,5 +545,6 @@ QUERIES = {
         reviewed_gate, call_resolution, forward_calls, call_resolution_in_order, import_edges, incremental_replace, project_structure,
         graph_build_entities, graph_build_relations, entry_paths, speaking_owners, figures_without_truth, profile_modules, affected_relations, calls_after_change, calls_resolved_anew,
         page_entities, page_owners, page_decorators, page_calls, page_node_types, counts_after_change,
+        manifest_scan, json5_facts, structure_of_json5, sample_all,
     )
 }
