@@ -7,7 +7,8 @@ from its format and from the words around it, and a span is reported where its p
 calibrated for its kind and no base span or better proposal overlaps it.
 
 The trees are fitted here on ``EXAMPLES`` generated sentences (a fixed seed; half of them calibrate), which
-write such data in the formats people use, and look-alikes: order numbers, versions, dates, sums, serial numbers.
+write such data in the formats people use, and look-alikes: order numbers, versions, dates, sums, serial numbers. The
+words that stand by either are English, German, French and Spanish.
 A kind's threshold is the lowest one at which ``PRECISION`` of its calibration proposals above are personal.
 ``calibrated`` then raises the thresholds by what the corpus itself holds: formats and words confirm or refute most
 proposals of its texts (``verdict``; the others count on neither side), and a kind's threshold rises to the lowest
@@ -23,9 +24,11 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -51,20 +54,33 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANY_DIGIT = re.compile(r"[0-9]")
 DIGIT_RUN = re.compile(r"[+0-9][0-9 ().+-]*")
-EMAIL_TEXT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:[\[(]at[\])]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]| dot ) ?[A-Za-z0-9-]{1,63}){1,8}", re.I)
+AT, DOT, NAME, LABEL = r" ?(?:[\[(]at[\])]| at ) ?", r" ?(?:[\[(]dot[\])]| dot ) ?", "[A-Za-z0-9._%+-]{1,64}", "[A-Za-z0-9-]{1,63}"
+EMAIL_TEXT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?=((?:{NAME}{DOT}){{0,3}}{NAME}{AT}{LABEL}(?:{DOT}{LABEL}){{1,8}}))", re.I)
+JOINED_BEFORE, JOINED_AFTER = re.compile(rf"(?:{AT}|{DOT})\Z", re.I), re.compile(AT, re.I)
 NATIONAL = re.compile(r"\(?[0-9]{2,5}\)?[ .-][0-9]{2,4}(?:[ .-][0-9]{2,5}){1,3}|\(?0[0-9]{2,5}\)?[ ./-][0-9]{5,8}|[0-9]{10,11}")
 SSN = re.compile(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 
-# Words that stand by personal data, by kind, and by look-alikes.
+# Words that stand by personal data, by kind, and by look-alikes, in English, German, French and Spanish; and the
+# last labels of most addresses.
 NEAR = {
-    "email_text": ("mail", "write", "contact", "reach", "address", "inbox"),
-    "national_phone": ("call", "phone", "tel", "mobile", "cell", "fax", "dial", "ring", "whatsapp", "sms", "hotline", "contact", "reach"),
+    "email_text": ("mail", "write", "contact", "reach", "address", "inbox", "schreib", "kontakt", "erreich", "adresse", "écri", "joindre", "courriel", "correo", "escrib", "direcci"),
+    "national_phone": (
+        "call", "phone", "tel", "mobile", "cell", "fax", "dial", "ring", "whatsapp", "sms", "hotline", "contact", "reach", "number", "ruf", "anruf", "handy", "mobil", "nummer", "erreich",
+        "appel", "téléphon", "portable", "numéro", "joindre", "llam", "teléfono", "móvil", "número", "marque",
+    ),
     "ssn": ("ssn", "social", "security", "taxpayer"),
-    "iban": ("iban", "account", "transfer", "bank", "payment"),
+    "iban": ("iban", "account", "transfer", "bank", "payment", "konto", "überweis", "compte", "virement", "cuenta", "transferencia"),
 }
-FAR = ("order", "invoice", "version", "serial", "part", "item", "isbn", "model", "page", "section", "tracking", "ticket", "build", "score", "total", "price", "year", "date", "id", "ref", "no.", "number")
-PLAIN = ("the", "a", "we", "for", "and", "it", "was", "please", "today", "with", "about", "now", "then", "on", "our", "to", "see")
+FAR = (
+    "order", "invoice", "version", "serial", "part", "item", "isbn", "model", "page", "section", "tracking", "ticket", "build", "score", "total", "price", "year", "date", "id", "ref", "no.",
+    "bestellung", "rechnung", "artikel", "seite", "modell", "preis", "jahr", "datum", "commande", "facture", "article", "modèle", "prix", "année", "pedido", "factura", "artículo", "página", "modelo", "precio", "fecha",
+)
+PLAIN = (
+    "the", "a", "we", "for", "and", "it", "was", "please", "today", "with", "about", "now", "then", "on", "our", "to", "see", "her", "his", "my", "is", "me", "us", "uns", "an", "bitte", "und", "oder",
+    "mich", "ist", "le", "la", "de", "est", "et", "moi", "nous", "el", "es", "mi", "su", "por", "favor",
+)
+ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "us", "uk", "de", "fr", "es", "it", "nl", "ch", "at")
 
 
 def luhn(digits: str) -> bool:
@@ -131,7 +147,7 @@ def proposals(text: str, low: str) -> list[tuple[int, int, str]]:
     """Spans that could be personal data beyond the base rules; they may overlap."""
     found = []
     if " dot " in low or "[dot]" in low or "(dot)" in low:
-        found += [(m.start(), m.end(), "email_text") for m in EMAIL_TEXT.finditer(text)]
+        found += [(m.start(1), m.end(1), "email_text") for m in EMAIL_TEXT.finditer(text)]
     for run in DIGIT_RUN.finditer(text):
         at = run.start() - (run.start() > 0 and text[run.start() - 1] == "(")
         part = text[at : run.end()]
@@ -182,6 +198,9 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
         any(x.strip(":#") in FAR for x in last),
         "at" in body.lower() and any(c in body for c in "[("),
         any(1900 <= int(g) <= 2100 for g in groups if len(g) == 4),
+        kind == "email_text" and JOINED_BEFORE.search(before) is not None,
+        kind == "email_text" and JOINED_AFTER.match(after) is not None,
+        kind == "email_text" and re.split(r"[^a-z0-9]+", body.lower())[-1] in ENDINGS,
     ]
 
 
@@ -217,16 +236,16 @@ def written(rng: random.Random, kind: str, personal: bool) -> tuple[str, str]:
     near, far = rng.choice(NEAR[kind]), rng.choice(FAR)
     lead = near if rng.random() < 0.8 else rng.choice(PLAIN)
     if not personal:
-        lead = far if rng.random() < 0.8 else rng.choice(PLAIN)
+        lead = far + rng.choice(["", "", " number"]) if rng.random() < 0.8 else rng.choice(PLAIN)
     if kind == "email_text":
         at, dot = rng.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot ")])
         if personal:
-            return lead, f"{name()}{rng.choice(['', '.' + name(), n(2)])}{at}{name()}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr'])}"
+            return lead, f"{name()}{rng.choice(['', '.' + name(), n(2), dot + name()])}{at}{name()}{dot}{rng.choice(ENDINGS)}"
         return rng.choice(PLAIN), f"{rng.choice(PLAIN)} at {rng.choice(PLAIN)} dot {rng.choice(PLAIN)}"
     if kind == "national_phone":
         sep = rng.choice("- .")
         if personal:
-            return lead, rng.choice([f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}{sep}{n(3)}{sep}{n(4)}", f"0{n(3)} {n(7)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}", f"0{n(10)}"])
+            return lead, rng.choice([f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}{sep}{n(3)}{sep}{n(4)}", f"0{n(3)} {n(7)}", f"0{n(2)} {n(7)}", f"0{n(3)} {n(8)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}", f"0{n(10)}"])
         return lead, rng.choice([f"{n(3)}{sep}{n(3)}{sep}{n(4)}", f"{n(10)}", f"{n(4)}-{n(2)}-{n(2)}", f"{n(2)}.{n(2)}.{n(4)}", f"{n(3)} {n(3)} {n(3)} {n(3)}", f"{n(3)}-{n(1)}-{n(5)}-{n(2)}", f"{n(4)} {n(4)} {n(4)}", f"{n(11)}"])
     if kind == "ssn":
         body = f"{n(3)}-{n(2)}-{n(4)}"
@@ -251,7 +270,7 @@ def examples(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         for span in proposals(text, text.lower()):
             if span[2] in EXTRA:
                 rows.append(features(text, span))
-                whole = span[0] <= start + 1 and span[1] >= start + len(body)
+                whole = start <= span[0] <= start + 1 and span[1] == start + len(body)
                 labels.append(personal and span[2] == kind and whole)
     return np.array(rows, float), np.array(labels, float)
 
@@ -280,7 +299,10 @@ def learned(count: int = EXAMPLES, precision: float = PRECISION) -> Model:
 
 def open_proposals(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The proposals of a text that no base span overlaps."""
-    return [s for s in proposals(text, text.lower()) if not any(a < s[1] and s[0] < b for a, b, _ in base)]
+    held = sorted((a, b) for a, b, _ in base)
+    starts, ends = [a for a, _ in held], list(accumulate((b for _, b in held), max))
+    free = lambda s: not (k := bisect_left(starts, s[1])) or ends[k - 1] <= s[0]
+    return [s for s in proposals(text, text.lower()) if free(s)]
 
 
 def raised(model: Model, judged: list[tuple[str, int, int, int]], precision: float) -> Model:
@@ -337,9 +359,12 @@ def extra_spans(texts: list[str], base: list[list[tuple[int, int, str]]], model:
     if not rows:
         return out
     margin = model.trees.margin(np.array(rows, float))
+    taken: list[list[tuple[int, int]]] = [[] for _ in texts]  # by start; they don't overlap
     for i in np.argsort(-margin, kind="stable").tolist():
-        a, b, kind = spans[i]
-        if margin[i] >= model.thresholds[kind] and not any(x < b and a < y for x, y, _ in out[owner[i]]):
+        (a, b, kind), mine = spans[i], taken[owner[i]]
+        k = bisect_left(mine, (b, b))
+        if margin[i] >= model.thresholds[kind] and (not k or mine[k - 1][1] <= a):
+            mine.insert(k, (a, b))
             out[owner[i]].append(spans[i])
     return out
 
