@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evispark.llm.arrow import encoded
 from evispark.llm.columns import at, by_place, named
@@ -56,27 +57,30 @@ def merged(digests: pa.Array, counts: np.ndarray, counters: int) -> tuple[pa.Arr
     return digests, counts
 
 
-def summaries(counters: int):
+def summaries(counters: int, kind: pa.DataType = pa.binary()):
     """Over partitions of digests: the rows seen (digest null), and the digests of a Misra-Gries summary of them."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts, rows = pa.array([], pa.binary()), np.zeros(0, np.int64), 0
+        held, counts, rows = pa.array([], kind), np.zeros(0, np.int64), 0
         for batch in batches:
-            seen = pc.value_counts(batch.column("digest").cast(pa.binary()))
+            seen = pc.value_counts(batch.column("digest").cast(kind))
             rows += len(batch)
             held, counts = merged(pa.concat_arrays([held, seen.field("values")]), np.concatenate([counts, seen.field("counts").to_numpy()]), counters)
-        digests = pa.concat_arrays([pa.array([None], pa.binary()), held])
+        digests = pa.concat_arrays([pa.array([None], kind), held])
         yield pa.RecordBatch.from_arrays([digests, pa.array(np.concatenate([[rows], counts]), pa.int64())], names=["digest", "count"])
 
     return summed
 
 
-def frequent(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The digests that may have more than ``2 * rows / (counters + 1)`` rows: all that have, and ``counters`` at most."""
-    counts = digests.select("digest").mapInArrow(summaries(counters), "digest binary, count bigint")
+def frequent(digests: DataFrame, counters: int = COUNTERS, column: str = "digest") -> DataFrame:
+    """The digests, or other keys without nulls, that may have more than ``2 * rows / (counters + 1)`` rows: all that have, and
+    ``counters`` at most."""
+    keys = digests.select(F.col(column).alias("digest"))
+    kind = keys.schema["digest"].dataType
+    counts = keys.mapInArrow(summaries(counters, to_arrow_type(kind)), f"digest {kind.simpleString()}, count bigint")
     counts = cut_lineage(counts.groupBy("digest").agg(F.sum("count").alias("count")))
     rows = counts.where("digest IS NULL").agg(F.sum("count")).first()[0] or 0
-    return counts.where(F.col("digest").isNotNull() & (F.col("count") * (counters + 1) > rows)).select("digest")
+    return counts.where(F.col("digest").isNotNull() & (F.col("count") * (counters + 1) > rows)).select(F.col("digest").alias(column))
 
 
 def winners(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every line of a document is judged by three rules (punctuation, navigation, boilerplate); lines that
 fail are removed, and a document that loses too much of its text is rejected, as is one that fails the
-base rules (too few words, too many repeated three-word windows).
+base rules (too few words, too many repeated three-word windows). A phrase marks a line of at most ``BOILERPLATE_CHARS`` as
+boilerplate, and a menu's word one of at most ``MENU_CHARS``: longer lines are prose that mentions it, and stay.
 
 Defined results: a null or empty text has no words, fails the base rules and gives the cleaned text
 ``''``; repeated rows are judged alike; other columns of any name are kept, but ``quality_rules`` replaces
