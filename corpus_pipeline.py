@@ -1,8 +1,9 @@
 """A training corpus from raw documents: five stages, each one of the operators of ``evispark.llm``.
 
 1. quality_rules: lines that break a rule go, and documents that are rejected go.
-2. near_dedup: one document, the one with the smallest doc_id, stays of each group of near copies (sets of five-word
-   runs with a Jaccard similarity of 0.8 at least, checked exactly).
+2. near_dedup: one document, the one with the smallest doc_id, stays of each group of near copies (candidates by
+   SimHash's covering search and by minima; sets of five-word runs with a Jaccard similarity of 0.8 at least, checked
+   exactly).
 3. decontamination: documents that hold a leaked benchmark item go.
 4. secret_scans: secrets in the texts are masked.
 5. packing: the documents' tokens are packed into sequences; one row per piece.

@@ -3,13 +3,12 @@
 A text is the set of its ``shingle``-word runs, each a 64-bit hash; two texts link when their sets' Jaccard
 similarity is ``threshold`` at least, and a component is all that links reach. Equal sets are merged first.
 
-Operator 7's fingerprints can't find these pairs: at similarity 0.8 they differ in about ten of 64 bits, and
-covering the radius that holds nearly all such pairs takes 2^19 tables (the README has the figures). So the
-candidates come from minima instead, and what follows them is shared with ``simhash``.
-
-Search: ``BANDS`` keys of ``ROWS`` minima each put a pair of similarity 0.8 under a common key with probability
-0.9999 (more similar pairs surely); sets under a key are joined to its smallest, and what that connects is a
-candidate group, whatever the similarity within it. The groups' full sets then meet, and their links are decided
+Search: SimHash fingerprints of the same runs are linked within operator 7's radius by its covering search, and sets
+whose fingerprints that connects share a key (``print_keys``). At similarity 0.8 fingerprints differ in about ten of
+64 bits, and covering the radius that holds nearly all such pairs takes 2^19 tables (the README has the figures), so
+minima widen the search: ``BANDS`` keys of ``ROWS`` minima each put a pair of similarity 0.8 under a common key with
+probability 0.9999 (more similar pairs surely). Sets under a key are joined to its smallest, and what that connects is
+a candidate group, whatever the similarity within it. The groups' full sets then meet, and their links are decided
 exactly by breadth-first walks. A group with more than ``block`` shingles is dealt out in blocks, each with a copy of
 the group's smallest set, the pivot. Sets that a walk within their block joins to the pivot are connected by that;
 only the loose ones then meet every block of the group, so a large group of true copies is compared in time linear
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm.arrow import encoded, slices
-from evispark.llm.simhash import components, join_keyed
+from evispark.llm.simhash import RADIUS, components, fingerprint_of, join_keyed, links
 from evispark.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -83,21 +82,22 @@ def band_keys(sets: list[np.ndarray], seed: int = 5) -> np.ndarray:
 
 
 def signature(text: Column, shingle: int) -> Column:
-    """struct of the set's id, its size and its band keys."""
+    """struct of the set's id, its size, operator 7's fingerprint of the text and the set's band keys."""
 
-    @F.arrow_udf("struct<id:bigint,size:bigint,keys:array<bigint>>")
+    @F.arrow_udf("struct<id:bigint,size:bigint,fp:bigint,keys:array<bigint>>")
     def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts, ids, sizes, keys = encoded(batch), [], [], [np.zeros(0, np.int64)]
+            texts, ids, sizes, prints, keys = encoded(batch), [], [], [], [np.zeros(0, np.int64)]
             for a, b in slices(list(map(len, texts)), CALL):
                 sets = [shingles_of(t, shingle) for t in texts[a:b]]
                 ids += map(identity, sets)
                 sizes += map(len, sets)
+                prints += [fingerprint_of(t, shingle) for t in texts[a:b]]
                 if some := [s for s in sets if len(s)]:
                     keys.append(band_keys(some).ravel())
             ends = np.cumsum([0, *(BANDS if n else 0 for n in sizes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists], ["id", "size", "keys"])
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), lists], ["id", "size", "fp", "keys"])
 
     return signed(text)
 
@@ -216,15 +216,24 @@ def exact(docs: DataFrame, text: str, shingle: int, threshold: float, block: int
     return first.unionByName(second).where("a <> b").distinct()
 
 
+def print_keys(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(id, k): sets whose fingerprints are in one component of operator 7's links share a key. rows: (id, size, fp)."""
+    prints = cut_lineage(rows.where("size > 0").select("id", "fp").distinct())
+    held = cut_lineage(prints.groupBy("fp").agg(F.count("*").alias("n")))
+    roots = components(links(held.select("fp"), radius))
+    labels = cut_lineage(held.join(roots, held.fp == roots.node, "left").select("fp", "n", F.xxhash64(F.coalesce("root", "fp")).alias("k")))
+    return join_keyed(prints, labels, "fp", prints.count()).select("id", "k")
+
+
 def set_labels(docs: DataFrame, text: str, key: str, shingle: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, place, id) of every row, place being a hash of its text, and (id, first, root, n) of every set: the
     smallest (doc_id, place) of its component, nulls last, and the component's number of sets."""
     own = F.col(f"`{text}`")
     signed = docs.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(own).alias("place"), signature(own, shingle).alias("s"))
-    rows = cut_lineage(signed.select("doc_id", "place", "s.id", "s.size", "s.keys"))
+    rows = cut_lineage(signed.select("doc_id", "place", "s.id", "s.size", "s.fp", "s.keys"))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")
     distinct = cut_lineage(rows.groupBy("id").agg(F.min(row).alias("first"), F.first("size").alias("size")))
-    keyed = rows.select("id", "keys").dropDuplicates(["id"]).select("id", F.explode("keys").alias("k"))
+    keyed = rows.select("id", "keys").dropDuplicates(["id"]).select("id", F.explode("keys").alias("k")).unionByName(print_keys(rows))
     edges = keyed.repartition("k").sortWithinPartitions("k", "id").mapInArrow(starred, "a bigint, b bigint").distinct()
     groups = components(edges).join(distinct.select(F.col("id").alias("node"), "size", "first.place"), "node")
     roots = components(exact(docs, text, shingle, threshold, block, cut_lineage(groups)))

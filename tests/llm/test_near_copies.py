@@ -54,6 +54,35 @@ def test_groups_in_any_number_of_blocks(spark):
         assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame, block=block).collect()} == want
 
 
+def test_fingerprints_find_candidates(spark, monkeypatch):
+    """Operator 7's covering search is a step of the stage: what it links shares a key, and nothing else does."""
+    rng, rows = random.Random(8), [(0, 0, 0)]  # the empty set is no candidate
+    for k in range(1, 400):
+        near = rows[rng.randrange(len(rows))][2] if k % 2 else rng.getrandbits(64) - (1 << 63)
+        for bit in rng.sample(range(63), rng.randrange(7)):
+            near ^= 1 << bit
+        rows.append((k, 9, near))
+    found = defaultdict(set)
+    for r in near_copies.print_keys(spark.createDataFrame(rows, "id long, size long, fp long")).collect():
+        found[r.k].add(r.id)
+    groups, rest = set(), dict((k, fp) for k, size, fp in rows if size)
+    while rest:
+        todo = [rest.popitem()]
+        group = set()
+        while todo:
+            at, fp = todo.pop()
+            group.add(at)
+            near = [k for k, x in rest.items() if ((x ^ fp) & (1 << 64) - 1).bit_count() <= 4]
+            todo += [(k, rest.pop(k)) for k in near]
+        groups.add(frozenset(group))
+    assert set(map(frozenset, found.values())) == groups and 50 < len(groups) < 399
+
+    calls, links = [], near_copies.links
+    monkeypatch.setattr(near_copies, "links", lambda *a: calls.append(a) or links(*a))
+    corpus_pipeline.near_dedup_stage(spark, table(spark, "/root/testdata/sf0.001", "documents"), SF)
+    assert len(calls) == 1
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark, "id string, component_id string")
     rows = near_copies.near_copies(docs).collect()
