@@ -1,7 +1,11 @@
-"""Scalar expressions over names, paths and manifests. All run inside the JVM."""
+"""Scalar expressions over names, paths and manifests. All but the labels of relations run inside the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,16 +62,39 @@ def relation_key(kind: Column, source_name: Column, target_name: Column, resolut
 
 def stable_id(value: Column) -> Column:
     """32-bit FNV-1a over UTF-16 code units as 8 hex digits. A label only: too short to join or deduplicate on."""
-    code = F.hex(F.encode(value, "UTF-16BE"))
-    units = F.when(F.char_length(value) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), (F.length(code) / 4).cast("int") - 1), lambda i: F.conv(F.substring(code, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"))
-    )
-    mixed = F.aggregate(units, F.lit(2166136261).cast("bigint"), lambda h, u: (h.bitwiseXOR(u) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")))
+    # a lambda that named value would evaluate it for each character
+    points = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    mix = lambda h, unit: (h.bitwiseXOR(unit) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint"))
+    pair = lambda h, p: mix(mix(h, F.shiftright(p - 0x10000, 10) + 0xD800), (p - 0x10000).bitwiseAND(F.lit(0x3FF).cast("bigint")) + 0xDC00)
+    mixed = F.aggregate(points, F.lit(2166136261).cast("bigint"), lambda h, p: F.when(p < 0x10000, mix(h, p)).otherwise(pair(h, p)))
     return F.lpad(F.lower(F.hex(mixed)), 8, "0")
 
 
+def labels(texts: list[str]) -> list[str]:
+    """stable_id of many texts at once, a code unit of all of them at a time."""
+    texts = [t.encode("utf-16-le") for t in texts]
+    sizes = np.fromiter((len(t) // 2 for t in texts), np.int64, len(texts))
+    order = np.argsort(-sizes, kind="stable")
+    units = np.frombuffer(b"".join(texts), np.uint16).astype(np.uint32)
+    starts, falling = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    mixed = np.full(len(texts), 2166136261, np.uint32)
+    longer = np.searchsorted(-falling, -np.arange(falling[0] if len(texts) else 0), side="left")  # texts with a unit at each place
+    for at, n in enumerate(longer.tolist()):
+        mixed[:n] = (mixed[:n] ^ units[starts[:n] + at]) * np.uint32(16777619)
+    out = np.empty(len(texts), np.uint32)
+    out[order] = mixed
+    return [f"{x:08x}" for x in out.tolist()]
+
+
 def relation_id(kind: Column, source: Column, target: Column) -> Column:
-    return F.concat(F.lit("edge:"), stable_id(F.concat_ws("|", kind, source, target)))
+    """A label as stable_id gives, for all relations of a batch at once."""
+
+    @F.arrow_udf("string")
+    def labelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(labels(batch.to_pylist()), pa.string())
+
+    return F.concat(F.lit("edge:"), labelled(F.concat_ws("|", kind, source, target)))
 
 
 def jitter(seed: str, path: Column) -> Column:

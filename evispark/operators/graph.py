@@ -114,4 +114,5 @@ def build(nodes: DataFrame, edges: DataFrame, files: DataFrame, repository: str,
     met = visited_edges(edges, nodes)
     entities = with_files.unionByName(complete_endpoints(with_files, met))
     relations = project_edges(met, entities, provenance).unionByName(contain_files(entities, repository, path))
-    return entities, last_wins(relations, ["kind", "source", "target", "source_name", "target_name"])  # two paths can share a label
+    last = last_wins(relations.drop("id"), ["kind", "source", "target", "source_name", "target_name"])  # two paths can share a label
+    return entities, conform(last.withColumn("id", relation_id(F.col("kind"), F.col("source"), F.col("target"))), RELATIONS)

@@ -303,3 +303,16 @@ def test_paths_that_share_a_label_are_told_apart(spark, monkeypatch):
     imports = spark.createDataFrame([("x", p, k) for k, p in enumerate(("a.ts", "b.py", "c.py"))] + [("y", "a.ts", 9)], "name string, file_path string, seq long")
     found = graph.import_edges(imports, entities, "syntax")[1].collect()
     assert sorted((r.source_name, r.target_name) for r in found) == [("a.ts", "x"), ("a.ts", "y"), ("b.py", "x"), ("c.py", "x")]
+
+
+def test_labels_evaluate_their_text_once(spark):
+    """A text that is an expression isn't evaluated again for each of its characters."""
+    plan = spark.range(1).select(scalars.stable_id(F.concat(F.lit("text"), F.col("id").cast("string"))).alias("label"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("concat(text") == 1
+
+
+def test_labels_of_many_texts(spark):
+    texts = ["", "a", "ä€", "\U0001f600x", "x\U00010000", "a\0b", "￿", "long " * 3000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.stable_id(F.col("t")).alias("label"), scalars.relation_id(F.lit("calls"), F.col("t"), F.lit("y")).alias("id"), scalars.stable_id(F.concat_ws("|", F.lit("calls"), "t", F.lit("y"))).alias("own")).collect()
+    assert [r.label for r in rows] == scalars.labels(texts) and rows[1].label == "e40c292c" and all(r.id == f"edge:{r.own}" for r in rows)
+    assert scalars.labels([]) == []
