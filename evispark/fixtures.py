@@ -52,6 +52,14 @@ def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, source, target, seq): star_relations as a set of edges, without what their ends are called."""
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"))
+    source, target = (F.concat(F.lit(kind), F.col(key).cast("string")) for kind, key in (("order:", "l_orderkey"), ("part:", "l_partkey")))
+    edges = lines.join(parts, "l_partkey", "left_semi").select(mapped("l_returnflag", KIND_OF_FLAG).alias("kind"), source.alias("source"), target.alias("target"), F.col("l_orderkey").alias("seq"))
+    return edges.join(star_entities(spark, sf_dir).select(F.col("id").alias("source")), "source", "left_semi").select("kind", "source", "target", "seq")
+
+
 def star_part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts as entities without a file, but for every seventh, which no entity stands for."""
     held = table(spark, sf_dir, "part").where("p_partkey % 7 <> 0")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.functions.keyed import first_wins, last_wins
-from evispark.functions.scalars import basename, normalize_path, relation_id, stable_id
+from evispark.functions.scalars import basename, labels, normalize_path, relation_id, stable_id
 from evispark.schema import ENTITIES, METADATA, RELATIONS, UI_DECORATORS, UI_LANGUAGE, conform
+from evispark.session import cut_lineage
 
 SYNTHETIC = "synthetic"
 
@@ -56,9 +57,10 @@ def complete_files(entities: DataFrame, files: DataFrame) -> DataFrame:
     return conform(shaped, ENTITIES)
 
 
-def complete_endpoints(entities: DataFrame, edges: DataFrame) -> DataFrame:
+def complete_endpoints(entities: DataFrame, edges: DataFrame, ends: tuple[str, ...] = ("source", "target")) -> DataFrame:
     """External symbols for the endpoints of edges (source, target, seq) that are no entities."""
-    ends = edges.select(F.explode(F.array("source", "target")).alias("id"), "seq").groupBy("id").agg(F.min("seq").alias("seq"))
+    each = F.explode(F.array(*ends)) if len(ends) > 1 else F.col(ends[0])
+    ends = edges.select(each.alias("id"), "seq").groupBy("id").agg(F.min("seq").alias("seq"))
     missing = ends.where("id IS NOT NULL").join(entities.select("id"), "id", "left_anti")
     shaped = missing.select(
         "id", F.lit("external_symbol").alias("kind"), F.col("id").alias("name"), F.col("id").alias("qualified_name"), F.lit("").alias("file_path"),
@@ -69,7 +71,7 @@ def complete_endpoints(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 def visited_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that start at a node; others are never met when nodes are walked."""
-    return edges.join(nodes.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+    return edges.join(nodes.select(F.col("id").alias("source")), "source", "left_semi")
 
 
 def project_edges(edges: DataFrame, entities: DataFrame, provenance: str) -> DataFrame:
@@ -82,6 +84,23 @@ def project_edges(edges: DataFrame, entities: DataFrame, provenance: str) -> Dat
     return conform(shaped, RELATIONS)
 
 
+def project_visited(edges: DataFrame, entities: DataFrame, provenance: str) -> DataFrame:
+    """As project_edges behind complete_endpoints and with one row for each key of a relation, for edges that start at entities.
+
+    What completes a target follows from the target, so completed ones needn't be made first. Edges are made
+    distinct before names are met, and entities are one row for each id and name.
+    """
+    named = entities.select("id", "qualified_name", "file_path").repartition("id").groupBy("id", "qualified_name").agg(F.min("file_path").alias("file_path"))
+    source, target = named.toDF("source", "source_name", "source_file"), named.toDF("target_id", "target_name", "target_file")
+    once = edges.where("target IS NOT NULL").groupBy("kind", "source", "target").agg(F.min("seq").alias("seq"))
+    joined = once.join(source, "source").join(target, F.col("target") == F.col("target_id"), "left")
+    shaped = joined.select(
+        "kind", "source", "target", "source_name", F.when(F.col("target_id").isNull(), F.col("target")).otherwise(F.col("target_name")).alias("target_name"), F.nullif(F.col("source_file"), F.lit("")).alias("file_path"),
+        F.when(F.coalesce("target_file", F.lit("")) == "", "external").otherwise("internal").alias("resolution"), F.lit(provenance).alias("provenance"), "seq",
+    )
+    return conform(shaped, RELATIONS)
+
+
 def contain_files(entities: DataFrame, repository: str, path: str) -> DataFrame:
     """The repository contains every file entity."""
     files = entities.where("kind = 'file'").select(F.col("id").alias("target"), F.col("qualified_name").alias("target_name"), "file_path", "seq")
@@ -105,14 +124,26 @@ def import_edges(imports: DataFrame, files: DataFrame, provenance: str) -> tuple
     return conform(symbols, ENTITIES), conform(last.withColumn("id", relation_id(F.col("kind"), F.col("source"), F.col("target"))), RELATIONS)
 
 
+def build_entities(nodes: DataFrame, edges: DataFrame, files: DataFrame, repository: str, path: str, provenance: str = "graph") -> DataFrame:
+    """The entities of a graph store's nodes, edges and files, without the manifests' structure."""
+    own = last_wins(project_nodes(nodes, provenance), ["id"]).unionByName(repository_entity(nodes, repository, path))
+    with_files = own.unionByName(complete_files(own, files))
+    return with_files.unionByName(complete_endpoints(with_files, visited_edges(edges, nodes), ("target",)))  # all sources are nodes
+
+
+def build_relations(nodes: DataFrame, edges: DataFrame, files: DataFrame, repository: str, path: str, provenance: str = "graph") -> DataFrame:
+    """The relations between build_entities; what names them is written to the shared checkpoint folder once."""
+    own = cut_lineage(last_wins(project_nodes(nodes, provenance).select("id", "kind", "qualified_name", "file_path", "seq"), ["id"]))
+    own = own.unionByName(repository_entity(nodes, repository, path).select(*own.columns))
+    entities = own.unionByName(complete_files(own, files).select(*own.columns))
+    contains = F.col("kind").eqNullSafe(F.lit("contains")) & F.col("source").eqNullSafe(F.lit("repository:" + labels([path])[0]))
+    visited = lambda some: project_visited(visited_edges(some, nodes), entities, provenance).drop("id")
+    contained = visited(edges.where(contains)).unionByName(contain_files(entities, repository, path).drop("id"))  # only these can be equal
+    last = last_wins(contained, ["kind", "source", "target", "source_name", "target_name"])  # two paths can share a label
+    relations = visited(edges.where(~contains)).unionByName(last)
+    return conform(relations.withColumn("id", relation_id(F.col("kind"), F.col("source"), F.col("target"))), RELATIONS)
+
+
 def build(nodes: DataFrame, edges: DataFrame, files: DataFrame, repository: str, path: str, provenance: str = "graph") -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of a graph store's nodes, edges and files, without the manifests' structure."""
-    own = last_wins(project_nodes(nodes, provenance), ["id"])
-    root = repository_entity(nodes, repository, path)
-    own = own.unionByName(root)
-    with_files = own.unionByName(complete_files(own, files))
-    met = visited_edges(edges, nodes)
-    entities = with_files.unionByName(complete_endpoints(with_files, met))
-    relations = project_edges(met, entities, provenance).unionByName(contain_files(entities, repository, path))
-    last = last_wins(relations.drop("id"), ["kind", "source", "target", "source_name", "target_name"])  # two paths can share a label
-    return entities, conform(last.withColumn("id", relation_id(F.col("kind"), F.col("source"), F.col("target"))), RELATIONS)
+    return tuple(made(nodes, edges, files, repository, path, provenance) for made in (build_entities, build_relations))

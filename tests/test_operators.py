@@ -74,6 +74,24 @@ def test_built_graph_has_both_endpoints(spark):
     assert {r.kind for r in ents.collect()} == {"function", "class", "repository", "file", "external_symbol"}
 
 
+def test_edges_are_dealt_out_once_for_names(spark):
+    """A built graph's relations don't complete the endpoints again, and equal edges, also those that a store has of the repository, are one."""
+    own = "repository:" + scalars.labels(["/repo"])[0]
+    held = [("n1", "function", "f", "a.ts::f", "a.ts", "typescript", 1), ("n2", "class", "C", None, "b.ts", "typescript", 2), (own, "repository", "repo", "repo", "", "mixed", 3), ("n1", "method", "g", "a.ts::g", "a.ts", "typescript", 4)]
+    nodes = spark.createDataFrame(held, "id string, kind string, name string, qualified_name string, file_path string, language string, seq long")
+    a, b = ("file:" + scalars.labels([p])[0] for p in ("a.ts", "b.ts"))
+    pairs = [("calls", "n1", "n2"), ("calls", "n1", "lib"), ("calls", "n1", "n2"), ("calls", "n1", None), (None, "n2", "n1"), ("contains", own, a), ("contains", own, "n1"), ("uses", own, b), ("calls", "ghost", "n1")]
+    edges = spark.createDataFrame([(*p, k) for k, p in enumerate(pairs, 10)], "kind string, source string, target string, seq long")
+    listed = spark.createDataFrame([("a.ts", "typescript", 1), ("b.ts", "typescript", 2)], "path string, language string, seq long")
+    ents, rels = graph.build(nodes, edges, listed, "repo", "/repo")
+    projected = graph.project_edges(graph.visited_edges(edges, nodes), ents, "graph").unionByName(graph.contain_files(ents, "repo", "/repo"))
+    want = keyed.last_wins(projected.drop("id"), ["kind", "source", "target", "source_name", "target_name"])
+    names = ["kind", "source", "target", "source_name", "target_name", "resolution", "seq"]
+    assert sorted(map(repr, rels.select(*names).collect())) == sorted(map(repr, want.select(*names).collect()))
+    assert sorted(r.name for r in ents.where("kind = 'external_symbol'").collect()) == ["lib"]
+    assert rels._jdf.queryExecution().optimizedPlan().toString().count("external_symbol") == 0
+
+
 def test_metrics_of_two_files(spark):
     listed = conform(spark.createDataFrame([("a.ets", True, True, 1), ("b.ets", True, False, 2)], "path string, is_candidate boolean, is_indexed boolean, seq long"), FILES)
     ents = entities(spark, [("1", "class", "Page", "a.ets::Page", "a.ets", 1)])
