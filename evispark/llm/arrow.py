@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count, islice
 
 import numpy as np
@@ -59,3 +59,20 @@ def tokenizer_of(path: str):
 
 
 _TOKENIZERS: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """Per worker process: what make gives, kept over tasks until one lets go of it."""
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Forgets what tasks of other kinds left in this process, which would stay beside what its next tasks need."""
+    _HELD.clear()
+    _TOKENIZERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
+_HELD: dict = {}

@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.arrow import encoded, slices
+from evispark.llm.arrow import encoded, let_go, slices
 from evispark.llm.simhash import RADIUS, components, fingerprint_of, join_keyed, links
 from evispark.session import cut_lineage
 
@@ -86,13 +87,15 @@ def signature(text: Column, shingle: int) -> Column:
 
     @F.arrow_udf("struct<id:bigint,size:bigint,fp:bigint,keys:array<bigint>>")
     def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         for batch in batches:
-            texts, ids, sizes, prints, keys = encoded(batch), [], [], [], [np.zeros(0, np.int64)]
-            for a, b in slices(list(map(len, texts)), CALL):
-                sets = [shingles_of(t, shingle) for t in texts[a:b]]
+            ids, sizes, prints, keys = [], [], [], [np.zeros(0, np.int64)]
+            for a, b in slices(pc.fill_null(pc.binary_length(batch), 0).to_pylist(), CALL):
+                texts = encoded(batch.slice(a, b - a))
+                sets = [shingles_of(t, shingle) for t in texts]
                 ids += map(identity, sets)
                 sizes += map(len, sets)
-                prints += [fingerprint_of(t, shingle) for t in texts[a:b]]
+                prints += [fingerprint_of(t, shingle) for t in texts]
                 if some := [s for s in sets if len(s)]:
                     keys.append(band_keys(some).ravel())
             ends = np.cumsum([0, *(BANDS if n else 0 for n in sizes)])

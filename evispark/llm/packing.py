@@ -20,7 +20,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.arrow import Numbers, slices, tokenizer_of
+from evispark.llm.arrow import Numbers, held, slices, tokenizer_of
 from evispark.session import cut_lineage
 
 CAPACITY = 2048
@@ -118,10 +117,9 @@ class WordEncoder:
         return [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-@lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
-    """Per worker process, so that its memory outlives a task."""
-    return WordEncoder(path)
+    """Per worker process, so that its memory outlives a task, if no other stage's comes between."""
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 def document_ids(text: Column, tokenizer: str, end_id: int, capacity: int, piece: int, with_ids: bool) -> Column:

@@ -1,8 +1,11 @@
 import random
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import corpus_pipeline
+import public_tokenizers
+import pyarrow as pa
 from evispark.llm import near_copies
 from evispark.session import table
 from tests.llm.brute import odd_docs
@@ -110,3 +113,22 @@ def test_of_repeated_rows_one_stays(spark):
     kept = near_copies.unlike(docs, text="a.text", key="the id").collect()
     assert sorted((r["the id"] or 0, r["a.text"] or "") for r in kept) == [(0, ""), (0, "a b c d e f"), (1, "a b c d e f"), (3, "different"), (3, "other words")]
     assert near_copies.unlike(docs.limit(0), text="a.text", key="the id").count() == 0
+
+
+def test_workers_let_go_of_other_stages(spark):
+    """What packing remembers in a worker process isn't there beside near-dedup's own memory."""
+    from pyspark.sql import functions as F
+
+    from evispark.llm import arrow, packing
+
+    @F.arrow_udf("long")
+    def remembered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([len(arrow._HELD) + len(arrow._TOKENIZERS)] * len(batch), pa.int64())
+
+    docs = spark.createDataFrame([(1, "some words of a text"), (2, None)], "doc_id long, text string").coalesce(1)
+    left = lambda: docs.select(remembered("text").alias("n")).first().n
+    packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert left() == 2
+    signed = docs.select(near_copies.signature(F.col("text"), 5).alias("s")).collect()
+    assert [r.s.size for r in signed] == [1, 0] and left() == 0
