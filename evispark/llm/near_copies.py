@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from evispark.llm.arrow import encoded, let_go, slices
 from evispark.llm.simhash import RADIUS, components, fingerprint_of, join_keyed, links
-from evispark.session import cut_lineage
+from evispark.session import cut_lineage, gathered
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 50, 8
@@ -222,10 +222,12 @@ def exact(docs: DataFrame, text: str, shingle: int, threshold: float, block: int
 def print_keys(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(id, k): sets whose fingerprints are in one component of operator 7's links share a key. rows: (id, size, fp)."""
     prints = cut_lineage(rows.where("size > 0").select("id", "fp").distinct())
-    held = cut_lineage(prints.groupBy("fp").agg(F.count("*").alias("n")))
+    total = prints.count()
+    prints = gathered(prints, total)
+    held = cut_lineage(gathered(prints.groupBy("fp").agg(F.count("*").alias("n")), total))
     roots = components(links(held.select("fp"), radius))
-    labels = cut_lineage(held.join(roots, held.fp == roots.node, "left").select("fp", "n", F.xxhash64(F.coalesce("root", "fp")).alias("k")))
-    return join_keyed(prints, labels, "fp", prints.count()).select("id", "k")
+    labels = cut_lineage(gathered(held.join(roots, held.fp == roots.node, "left").select("fp", "n", F.xxhash64(F.coalesce("root", "fp")).alias("k")), total))
+    return join_keyed(prints, labels, "fp", total).select("id", "k")
 
 
 def set_labels(docs: DataFrame, text: str, key: str, shingle: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:

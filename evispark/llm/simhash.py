@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispark.session import cut_lineage
+from evispark.session import cut_lineage, gathered
 
 SHINGLE = 4
 RADIUS = 4
@@ -198,18 +198,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges; root is the smallest node that links reach.
 
     Alternating large-star and small-star rounds until one changes nothing; each is written to the shared checkpoint
-    folder. The hub of a large component has most of its edges, so hubs' rows are joined apart.
+    folder. The hub of a large component has most of its edges, so hubs' rows are joined apart. A round takes as many tasks
+    as its edges are worth, so that many rounds over few edges don't fill the disk with small files.
     """
     edges = cut_lineage(edges.select("a", "b").where("a <> b"))
     total, mark = edges.count(), None
     while True:
+        edges = gathered(edges, total)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         large = join_keyed(both, least, "a", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = cut_lineage(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+        large = gathered(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), total)
+        down = cut_lineage(gathered(large.distinct(), total))
+        below = down.count()
         least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_keyed(down, least, "a", down.count()).select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b"))
-        edges = cut_lineage(small.where("a <> b").distinct())
+        small = join_keyed(down, least, "a", below).select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b"))
+        edges = cut_lineage(gathered(gathered(small.where("a <> b"), 2 * below).distinct(), 2 * below))
         total, now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (total, now) == mark:
             break

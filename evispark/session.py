@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 FEW = 200_000
 #: Bytes of a table that may be dealt out anew.
 SMALL = 256 << 20
+#: Rows of a few numbers that are worth a task.
+TASK_ROWS = 50_000
 
 
 def local_session(name: str = "evispark", cpus: int = 8, partitions: int = 8) -> SparkSession:
@@ -51,6 +53,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if small and df.rdd.getNumPartitions() < tasks else df
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose rows of a few numbers are known to be no more than these, over no more partitions than they are worth, but as
+    many as tasks can run at once: each task of an exchange or a checkpoint writes files of its own, however small."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def sent(lookup: DataFrame, rows: int) -> DataFrame:
     """A lookup for a join, sent to all tasks if its rows, which are known to be no more than these, are ``FEW``."""
     return F.broadcast(lookup) if rows <= FEW else lookup

@@ -85,3 +85,26 @@ def test_odd_rows(spark):
     by_text = {r.fp: r.component_id for r in rows}
     assert by_text[0] == 0  # null, empty and blank texts share fingerprint zero
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_few_edges_take_few_tasks(spark, monkeypatch):
+    """Rounds over few edges write few files, however many partitions an exchange has; what they find is the same."""
+    kept, made = simhash.cut_lineage, []
+
+    def cut(df):
+        made.append(kept(df))
+        return made[-1]
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 300) if k % 10], "a long, b long")
+    monkeypatch.setattr(simhash, "cut_lineage", cut)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in simhash.components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: (k - 1) // 10 * 10 + 1 for k in range(1, 301)}
+    assert len(made) > 4 and all(df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism for df in made[1:])
