@@ -3,13 +3,20 @@
 Each file's last counts are the state of a stream processor. When new evidence of a file comes in, the processor passes
 on what each count gains or loses, and those signed numbers are summed into a small stored table, once for each batch. A
 file whose evidence comes without rows of its own is gone, and its counts are taken back.
+
+Evidence is counted by file where it lies, so the processor gets a few rows of each file and not every row. Each exchange of
+a state takes longer than counting a file, so files share states by a hash of their path: however many files a batch
+has, states are asked for and written ``STATES`` times at most.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +28,9 @@ from evispark.sources import store
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVIDENCE = "file_path string, part string, kind string, resolution string, language string"
 COUNTS = "measure string, value string, n bigint"
+FOUND = ["file_path", "measure", "value", "n"]
+#: States that files share; a running stream keeps its number.
+STATES = 16_384
 #: part of the evidence: what is counted of it, as (measure, column).
 MEASURES = {"entity": (("entities_by_kind", "kind"), ("entities_by_language", "language")), "relation": (("relations_by_kind", "kind"), ("relations_by_resolution", "resolution"))}
 
@@ -32,26 +42,50 @@ def counted(rows: DataFrame) -> DataFrame:
     return each.groupBy("c.measure", "c.value").agg(F.count("*").alias("n"))
 
 
+def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over evidence: the counts of each batch by file (file_path, measure, value, n); a file whose rows count for nothing
+    has a row without a measure."""
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        of = {part: rows.filter(pc.equal(rows["part"], part)) for part in MEASURES}
+        for part, held in MEASURES.items():
+            for measure, column in held:
+                n = of[part].group_by(["file_path", column]).aggregate([([], "count_all")])
+                yield from pa.table([n["file_path"], pa.array([measure] * len(n), pa.string()), n[column], n["count_all"]], FOUND).to_batches()
+        rest = rows.filter(pc.invert(pc.is_in(rows["part"], pa.array(MEASURES)))).group_by(["file_path"]).aggregate([])
+        yield from pa.table([rest["file_path"], pa.nulls(len(rest), pa.string()), pa.nulls(len(rest), pa.string()), pa.array([0] * len(rest), pa.int64())], FOUND).to_batches()
+
+
 class Deltas(StatefulProcessor):
-    """State: a file's counts by measure and value. A task holds the counts of one file, as many as there are kinds."""
+    """State: the last counts of the files of one hash, as JSON: a list of a file and its (measure, value, n). A task holds those of one hash."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "measure string, value string", "n bigint")
+        self.last = handle.getValueState("counted", "files string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
-        now: Counter[tuple[str, str | None]] = Counter()
+        now: dict[str | None, Counter[tuple[str, str | None]]] = {}
         for row in rows:
-            for measure, column in MEASURES.get(row["part"], ()):
-                now[measure, row[column]] += 1
-        before = {(k[0], k[1]): v[0] for k, v in self.last.iterator()} if self.last.exists() else {}
-        for at in sorted(before.keys() | now.keys(), key=repr):
-            gained = now[at] - before.get(at, 0)
-            if gained:
-                yield Row(measure=at[0], value=at[1], n=gained)
-            if not now[at]:
-                self.last.removeKey(at)
-            elif gained:
-                self.last.updateValue(at, (now[at],))
+            counts = now.setdefault(row["file_path"], Counter())
+            if row["measure"] is not None:
+                counts[row["measure"], row["value"]] += row["n"]
+        last = self.last.get()
+        files = {file: {(m, v): n for m, v, n in held} for file, held in json.loads(last[0])} if last else {}
+        gained: Counter[tuple[str, str | None]] = Counter()
+        changed = False
+        for file, counts in now.items():
+            before = files.pop(file, {})
+            changed = changed or before != counts
+            gained.update(counts)
+            gained.subtract(before)
+            if counts:
+                files[file] = counts
+        if not files and last:
+            self.last.clear()
+        elif changed:
+            self.last.update((json.dumps([(file, [(*at, n) for at, n in counts.items()]) for file, counts in files.items()]),))
+        for at, n in sorted(gained.items(), key=repr):
+            if n:
+                yield Row(measure=at[0], value=at[1], n=n)
 
     def close(self) -> None:
         pass
@@ -59,7 +93,9 @@ class Deltas(StatefulProcessor):
 
 def deltas(stream: DataFrame) -> DataFrame:
     """(measure, value, n): what the counts gain and lose by the stream's evidence."""
-    return stream.groupBy("file_path").transformWithState(statefulProcessor=Deltas(), outputStructType=COUNTS, outputMode="Update", timeMode="None")
+    found = stream.select("file_path", "part", "kind", "resolution", "language").mapInArrow(combined, f"file_path string, {COUNTS}")
+    shared = found.withColumn("state", F.pmod(F.xxhash64("file_path"), F.lit(STATES)))
+    return shared.groupBy("state").transformWithState(statefulProcessor=Deltas(), outputStructType=COUNTS, outputMode="Update", timeMode="None")
 
 
 def create(spark: SparkSession, folder: str) -> store.Version:

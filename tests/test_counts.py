@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from evispark.sources import store
 from evispark.streaming import counts
 
@@ -35,3 +37,43 @@ def test_counts_follow_the_stream(spark, tmp_path):
             assert rows(store.latest(spark, at).read("counts")) == rows(counts.counted(every))
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+class Shared:
+    """A value state that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked, self.value = self.asked + 1, value
+
+    def clear(self):
+        self.asked, self.value = self.asked + 1, None
+
+
+def test_files_share_states_and_rows_are_counted_first():
+    """A hundred files of ten rows ask their state twice; what they gain and lose is right, also for files that go."""
+    schema = pa.schema([(c, pa.string()) for c in ("file_path", "part", "kind", "resolution", "language")])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=schema)
+    rows = [(f"f{k}", "entity", "class", None, None) for k in range(100) for _ in range(10)]
+    state, deltas = Shared(), counts.Deltas()
+    deltas.init(state)
+
+    def sent(rows):
+        found = [r for b in counts.combined([batch(rows)]) for r in b.to_pylist()]
+        gained = {(r.measure, r.value): r.n for r in deltas.handleInputRows((0,), iter(found), None)}
+        return len(found), gained
+
+    assert sent(rows) == (200, {("entities_by_kind", "class"): 1000, ("entities_by_language", None): 1000}) and state.asked == 2
+    assert sent(rows) == (200, {}) and state.asked == 3
+    assert sent([("f0", None, None, None, None), ("f1", "entity", None, None, "ts")]) == (3, {("entities_by_kind", "class"): -20, ("entities_by_kind", None): 1, ("entities_by_language", None): -19 - 1, ("entities_by_language", "ts"): 1})
+    assert sent([(f"f{k}", None, None, None, None) for k in range(1, 100)])[1] == {("entities_by_kind", "class"): -980, ("entities_by_kind", None): -1, ("entities_by_language", None): -980, ("entities_by_language", "ts"): -1}
+    assert state.value is None
