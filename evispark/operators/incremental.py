@@ -8,14 +8,14 @@ A store of four tables keeps the calls of a graph resolved (strictly, as ``calls
 
 When files change, only the texts of their old and new entities can have another first candidate, and only calls of
 texts whose first candidate did change, whatever file they are in, are resolved anew. Both are found in the
-buckets of those texts. Afterwards ``resolved`` is what resolving everything would give.
+buckets of those texts; one aggregation tells the first entity of a text before and after. Afterwards ``resolved`` is what resolving everything would give.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.operators.calls import first_of, postings, resolve_by
@@ -38,6 +38,12 @@ def distinct_of(column: str, *tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select(column) for t in tables]).distinct()
 
 
+def first_where(which: Column, name: str) -> tuple[Column, Column]:
+    """Aggregates of postings: the first of some of a text's entities, as calls.first_of has it, and its place; null if there is none."""
+    seq = F.when(which, F.col("seq"))
+    return F.min_by(F.struct("id", "qualified_name"), seq).alias(name), F.min(seq).alias(f"{name}_seq")
+
+
 def replace_files(spark: SparkSession, folder: str, changed: DataFrame, entities: DataFrame, calls: DataFrame, writer: str, number: int) -> DataFrame:
     """Gives changed files (file_path) new entities and calls, none where they are gone. Returns the calls of other files
     that were resolved anew; none if the writer's change of that number was made before."""
@@ -49,18 +55,21 @@ def replace_files(spark: SparkSession, folder: str, changed: DataFrame, entities
     made, gone = cut_lineage(postings(entities)), cut_lineage(postings(now.of_keys("entities", files)))
     declared = cut_lineage(distinct_of("text", made, gone))
     called = cut_lineage(distinct_of("text", calls, now.of_keys("calls", files)))
-    held = cut_lineage(now.of_keys("postings", distinct_of("text", declared, called)))
-    after = held.join(files, "file_path", "left_anti").select(*held.columns).unionByName(made)
-    mark = F.struct("first_id", "first_name", "first_seq")
-    before, then = first_of(held).select("text", mark.alias("was")), first_of(after).select("text", mark.alias("is"))
-    moved = declared.join(before, "text", "left").join(then, "text", "left").where(~F.col("was").eqNullSafe(F.col("is")))
+    gone_files = files.withColumn("gone", F.lit(True))
+    held = cut_lineage(now.of_keys("postings", distinct_of("text", declared, called)).join(gone_files, "file_path", "left"))
+    stay, added = F.col("gone").isNull(), F.col("new")
+    every = held.withColumn("new", F.lit(False)).unionByName(made.withColumns({"gone": F.lit(None).cast("boolean"), "new": F.lit(True)}))
+    firsts = cut_lineage(every.groupBy("text").agg(*first_where(~added, "was"), *first_where(stay, "is")))
+    moved = firsts.join(declared, "text", "left_semi").where("NOT (was <=> is AND was_seq <=> is_seq)")
     moved = cut_lineage(moved.select("text"))
+    first = firsts.where("is_seq IS NOT NULL").select("text", F.col("is.id").alias("first_id"), F.col("is.qualified_name").alias("first_name"), F.col("is_seq").alias("first_seq"))
+    after = every.where(stay).select(*made.columns)
     touched = distinct_of("text", moved, called)
     stays = now.of_keys("resolved", touched).join(files, "file_path", "left_anti")
     again = stays.join(moved, "text", "left_semi").select(*CALL)
-    renewed = cut_lineage(resolve_by(again.withColumn("own", F.lit(False)).unionByName(calls.withColumn("own", F.lit(True))), first_of(after)))
+    renewed = cut_lineage(resolve_by(again.withColumn("own", F.lit(False)).unionByName(calls.withColumn("own", F.lit(True))), first))
     resolved = stays.join(moved, "text", "left_anti").unionByName(renewed.drop("own"))
-    rewritten = {"entities": (entities, files), "calls": (calls, files), "postings": (after.join(declared, "text", "left_semi"), declared), "resolved": (resolved, touched)}
+    rewritten = {"entities": (entities, files), "calls": (calls, files), "postings": (after, declared), "resolved": (resolved, touched)}
     store.change(spark, folder, rewritten, writer, number)
     return renewed.where("NOT own").select(*now.schema("resolved").names)
 
