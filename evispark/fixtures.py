@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.operators.metrics import Tables
+from evispark.operators.metrics import ACTUAL, TRUTH, Tables, has, sides
 from evispark.schema import ENTITIES, FILES, RELATIONS, conform
 from evispark.session import table
 from evispark.sources.parsers import Markup, parsed
@@ -27,28 +27,47 @@ def star_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(shaped, FILES)
 
 
+def order_id(key: Column) -> Column:
+    return F.concat(F.lit("order:"), key.cast("string"))
+
+
+def order_name(key: Column) -> Column:
+    return F.concat(F.lit("Order#"), (key % 97).cast("string"))
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders with their customer's file (path, language)."""
+    files = star_files(spark, sf_dir).select("path", "language", F.col("seq").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").join(files, "o_custkey")
+
+
 def star_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entity for each order, in its customer's file."""
-    files = star_files(spark, sf_dir).select("path", "language", F.col("seq").alias("o_custkey"))
-    held = table(spark, sf_dir, "orders").join(files, "o_custkey")
-    name = F.concat(F.lit("Order#"), (F.col("o_orderkey") % 97).cast("string"))
-    shaped = held.select(
-        F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"), mapped("o_orderpriority", KIND_OF_PRIORITY).alias("kind"), name.alias("name"),
+    name = order_name(F.col("o_orderkey"))
+    shaped = order_files(spark, sf_dir).select(
+        order_id(F.col("o_orderkey")).alias("id"), mapped("o_orderpriority", KIND_OF_PRIORITY).alias("kind"), name.alias("name"),
         F.concat("path", F.lit("::"), name).alias("qualified_name"), F.col("path").alias("file_path"), "language", F.lit("graph").alias("provenance"), F.col("o_orderkey").alias("seq"),
     )
     return conform(shaped, ENTITIES)
 
 
 def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relation for each line of an order, to its part; with l_discount and l_tax, which make it actual or true."""
-    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    orders = star_entities(spark, sf_dir).select(F.col("seq").alias("l_orderkey"), F.col("id").alias("source"), F.col("qualified_name").alias("source_name"), "file_path")
-    held = lines.join(orders, "l_orderkey").join(parts, "l_partkey")
+    """A relation for each line of an order, to its part; l_discount and l_tax tell its sides.
+
+    Lines meet their parts before their orders, and what joins them are numbers: texts of orders are made behind the joins.
+    """
     rest = F.col("l_suppkey") % 10
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_returnflag", F.when(rest == 0, "external").when(rest == 1, "unresolved").otherwise("internal").alias("resolution"),
+        sides(F.col("l_discount") < 0.09, F.col("l_tax") < 0.07).alias("sides"),
+    )
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    orders = order_files(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), "path")
+    held, key = lines.join(parts, "l_partkey").join(orders, "l_orderkey"), F.col("l_orderkey")
     return held.select(
-        mapped("l_returnflag", KIND_OF_FLAG).alias("kind"), "source", F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target"), "source_name", F.col("p_name").alias("target_name"),
-        "file_path", F.when(rest == 0, "external").when(rest == 1, "unresolved").otherwise("internal").alias("resolution"), F.lit("graph").alias("provenance"),
-        F.col("l_orderkey").alias("seq"), (F.col("l_discount") < 0.09).alias("is_actual"), (F.col("l_tax") < 0.07).alias("is_truth"),
+        mapped("l_returnflag", KIND_OF_FLAG).alias("kind"), order_id(key).alias("source"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target"),
+        F.concat("path", F.lit("::"), order_name(key)).alias("source_name"), F.col("p_name").alias("target_name"),
+        F.col("path").alias("file_path"), "resolution", F.lit("graph").alias("provenance"), key.alias("seq"), "sides",
     )
 
 
@@ -70,11 +89,16 @@ def star_part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(shaped, ENTITIES)
 
 
+def star_sides(spark: SparkSession, sf_dir: str) -> Tables:
+    """Two observations in one set of tables, over the same files and entities: two overlapping halves of the relations; truth lacks every fifth entity and actual every seventh."""
+    entities = star_entities(spark, sf_dir).withColumn("sides", sides(F.col("seq") % 7 != 0, F.col("seq") % 5 != 0))
+    return Tables(entities, conform(star_relations(spark, sf_dir), RELATIONS + ", sides tinyint"), star_files(spark, sf_dir))
+
+
 def star_observations(spark: SparkSession, sf_dir: str) -> tuple[Tables, Tables]:
-    """(actual, truth) over the same files and entities: two overlapping halves of the relations; truth lacks every fifth entity and actual every seventh."""
-    files, entities, relations = star_files(spark, sf_dir), star_entities(spark, sf_dir), star_relations(spark, sf_dir)
-    side = lambda flag, skip: Tables(entities.where(F.col("seq") % skip != 0), conform(relations.where(flag), RELATIONS), files)
-    return side("is_actual", 7), side("is_truth", 5)
+    """(actual, truth): star_sides as two observations of their own."""
+    both = star_sides(spark, sf_dir)
+    return tuple(Tables(conform(both.entities.where(has(side)), ENTITIES), conform(both.relations.where(has(side)), RELATIONS), both.files) for side in (ACTUAL, TRUTH))
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,26 @@ def test_metrics_of_two_files(spark):
     assert metrics.coverage(listed.limit(0)).first().file_coverage == 1.0
 
 
+def test_agreement_of_shared_tables_is_that_of_separate_ones(spark):
+    listed = conform(spark.createDataFrame([("A.ets", True, True, 1), ("b.ets", True, False, 2)], "path string, is_candidate boolean, is_indexed boolean, seq long"), FILES)
+    marks = [(True, True), (True, False), (False, True), (True, None), (None, True), (False, False), (None, None)]
+    flags = metrics.sides(F.element_at(F.lit([a for a, _ in marks]), F.col("seq").cast("int")), F.element_at(F.lit([t for _, t in marks]), F.col("seq").cast("int")))
+    ents = entities(spark, [(str(k), "class", f"Page{k // 3}", f"x::Page{k // 3}", "a.ets" if k < 7 else "b.ets", k) for k in range(1, 8)]).withColumn("sides", flags)
+    ends = [("calls", "a.ets::f", "m.g()", "a.ets"), ("calls", "b.ets::f", "n.g", "A.ETS"), ("calls", "a.ets::f", "h", "a.ets"), (None, "a.ets::f", "h", "a.ets"), (None, "a.ets::f", "h", "a.ets"), ("calls", "a.ets::f", "i", "a.ets"), ("calls", "a.ets::f", "g", "")]
+    rows = [(*e, "internal", k) for k, e in enumerate(ends, 1)] + [("calls", "b.ets::f", "out", "b.ets", "internal", 1)]
+    rels = spark.createDataFrame(rows, "kind string, source_name string, target_name string, file_path string, resolution string, seq long")
+    rels = conform(rels, RELATIONS).withColumn("sides", flags)
+    both = metrics.Tables(ents, rels, listed)
+    actual, truth = (metrics.Tables(ents.where(metrics.has(side)).drop("sides"), rels.where(metrics.has(side)).drop("sides"), listed) for side in (metrics.ACTUAL, metrics.TRUTH))
+    scope = listed.where("is_indexed").select("path")
+    got = metrics.agreement(both, scope).first()
+    assert got == metrics.evaluate(actual, truth, scope).first()
+    assert (got.candidate_files, got.indexed_files, got.entities, got.relations) == (1, 1, 3, 3)  # a repeated key counts as a row each time
+    assert (got.entity_recall, got.entity_precision, got.edge_recall, got.edge_precision) == (1.0, 1.0, 2 / 3, 1.0)
+    empty = metrics.agreement(metrics.Tables(ents.limit(0), rels.limit(0), listed), scope).first()
+    assert (empty.entities, empty.relations, empty.entity_recall, empty.edge_precision) == (0, 0, None, None)
+
+
 def test_modules_apply_strictly_below_their_root(spark):
     rows = entities(spark, [("p", "package", "p", "p", "lib/package.json", 1), ("q", "package", "q", "q", "package.json", 2), ("c", "class", "c", "c", "Lib/A.ts", 3), ("d", "class", "d", "d", "z.ts", 4)])
     scope = spark.createDataFrame([("lib/a.ts",)], "path string")
